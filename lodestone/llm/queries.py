@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, simhash
+from lodestone.llm import decontaminate, hamming_topk, language, mixing, repeats, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op3_language": language.query,
+    "op4_toxicity": toxicity.query,
+    "op5_hamming_topk": hamming_topk.query,
+    "op6_mixing": mixing.query,
     "op7_simhash": simhash.query,
+    "op9_token_output": token_output.query,
+    "op10_repeats": repeats.query,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
+    "op5_hamming_topk": hamming_topk.SQL,
 }
