@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, hamming_topk, language, mixing, repeats, simhash, token_output, toxicity
+from lodestone.llm import decontaminate, hamming_topk, html_text, language, mixing, quality, repeats, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_html_text": html_text.query,
     "op3_language": language.query,
     "op4_toxicity": toxicity.query,
     "op5_hamming_topk": hamming_topk.query,
     "op6_mixing": mixing.query,
     "op7_simhash": simhash.query,
+    "op8_quality": quality.query,
     "op9_token_output": token_output.query,
     "op10_repeats": repeats.query,
 }

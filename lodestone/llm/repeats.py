@@ -150,6 +150,14 @@ def _flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def _pieces(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(values):
+        return []
+    cut = [*np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist(), len(values)]
+    return list(zip(cut, cut[1:], strict=False))
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     return struct.pack("<I", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) + a.tobytes() for a in arrays)
 
@@ -204,8 +212,7 @@ def send_anchors(chunk: int, docs: Chunk, buckets: int, window: int, gram: int)
     bucket = key % np.uint64(buckets)
     by = np.argsort(bucket, kind="stable")
     key, n, bucket = key[by], n[by].astype(np.uint32), bucket[by]
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else []
-    return [(int(bucket[a]), _pack(key[a:b], n[a:b], np.full(b - a, chunk, np.int64))) for a, b in zip(cut, [*cut[1:], len(key)], strict=True)]
+    return [(int(bucket[a]), _pack(key[a:b], n[a:b], np.full(b - a, chunk, np.int64))) for a, b in _pieces(bucket)]
 
 
 def reply_anchors(blobs: list[bytes], hot: int) -> list[tuple[int, bytes]]:
@@ -216,8 +223,7 @@ def reply_anchors(blobs: list[bytes], hot: int) -> list[tuple[int, bytes]]:
     key, chunk, total = key[keep], chunk[keep], total[keep]
     by = np.argsort(chunk, kind="stable")
     key, chunk, flag = key[by], chunk[by], (total[by] > hot).astype(np.uint8)
-    cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(key) else []
-    return [(int(chunk[a]), _pack(key[a:b], flag[a:b])) for a, b in zip(cut, [*cut[1:], len(key)], strict=True)]
+    return [(int(chunk[a]), _pack(key[a:b], flag[a:b])) for a, b in _pieces(chunk)]
 
 
 def send_segments(chunk: int, docs: Chunk, blobs: list[bytes], buckets: int, window: int, gram: int) -> list[tuple[int, bytes]]:
@@ -264,8 +270,7 @@ def send_segments(chunk: int, docs: Chunk, blobs: list[bytes], buckets: int, win
     bucket = key[send] % np.uint64(buckets)
     send = send[np.argsort(bucket, kind="stable")]
     bucket = np.sort(bucket)
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(send) else []
-    for a, b in zip(cut, [*cut[1:], len(send)], strict=True):
+    for a, b in _pieces(bucket):
         s = send[a:b]
         body = buf[_flat(start[s], length[s])]
         out.append((int(bucket[a]), _pack(key[s], docs.order[row[owner[s]]], place[s], np.full(len(s), chunk, np.int64), n[s].astype(np.uint8), lead[s].astype(np.uint8), body)))
@@ -329,8 +334,7 @@ def repeated_spans(blobs: list[bytes], window: int, gram: int) -> list[tuple[int
     chunk, a, b = (np.concatenate(x) for x in zip(*outs, strict=True))
     by = np.lexsort((a, chunk))
     chunk, a, b = chunk[by], a[by], b[by]
-    cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]) if len(a) else []
-    return [(int(chunk[i]), _pack(*merged(a[i:j], b[i:j]))) for i, j in zip(cut, [*cut[1:], len(a)], strict=True)]
+    return [(int(chunk[i]), _pack(*merged(a[i:j], b[i:j]))) for i, j in _pieces(chunk)]
 
 
 def _by_key(heads: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[np.ndarray]:

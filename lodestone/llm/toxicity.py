@@ -30,10 +30,10 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.folds import held_out, learnable
 
-PASSAGE, GRAMS, BUCKETS, DIM = 8, (3, 4, 5), 1 << 17, 8
+PASSAGE, GRAMS, BUCKETS, DIM = 4, (3, 4, 5), 1 << 17, 8
 #: Bounds of what is learned from: documents of a class, and characters of a document to be chosen.
 PER_CLASS, TRAIN_CHARS = 3000, 20_000
-STEPS, BATCH_DOCS, RATE, SHARPNESS, SEED = 160, 1500, 0.05, 3.0, 5
+STEPS, BATCH_DOCS, RATE, SHARPNESS, SEED = 200, 1500, 0.05, 3.0, 5
 #: Distinct words whose numbers a worker keeps.
 REMEMBERED = 400_000
 _words = re.compile(r"[^\W_]+").findall
