@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +38,10 @@ from pyspark.sql.window import Window
 from lodestone.plans.staging import new_path
 
 END_ID, BLOCK, SEGMENT, PERCENTILE = 2, 1024, 1 << 18, 0.95
-#: Strings between white space whose ids a task remembers.
-REMEMBERED = 400_000
+#: Runs of letters in a generation of a worker's memory, and twice the strings between white space.
+REMEMBERED = 600_000
+#: Texts encoded at once.
+TOGETHER = 128
 MAGIC = b"LPF1"
 
 
@@ -117,8 +118,12 @@ def decode_segment(data: bytes, first: int = 0, last: int | None = None) -> tupl
 
 class Encoder:
     """Ids of texts.  No token of this kind of tokenizer crosses white space, so texts are
-    encoded string by string between white space and the strings' ids are remembered; when there are too
-    many, those stay that came up again in every eighth text since the last time."""
+    encoded string by string between white space and the strings' ids are remembered.  A string of Latin letters
+    and plain signs is the token runs of its lower-case letters and of its signs, which are remembered apart.
+    Each memory has two generations: the young one, when full, becomes the old one, from which it takes
+    what comes up again."""
+
+    _simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|$%&*#()]*)").fullmatch
 
     def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         import os
@@ -126,49 +131,83 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.limit = Tokenizer.from_file(tokenizer_path), {}, remembered
-        self.seen: Counter[str] = Counter()
-        self.texts = 0
+        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), remembered
+        self.known: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+        self.old_runs: dict[str, bytes] = {}
         self.odd = re.compile(r"[^ \t\r\n]+").findall
-        self.mark = self._encode(["|"])[0].ids
-
-    def _encode(self, texts: list[str]):
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: many in one call, parted behind the tokens that end a word."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 512):
+            part = words[i : i + 512]
+            raw = self._encode([" ".join(part)])[0]
+            cut = ((np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1) * 4).tolist()
+            if len(cut) == len(part) and cut[-1] == len(raw):
+                out += [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+            else:
+                out += self._encode(part)
+        return out
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of new strings: many in one call, with a string of one token between them that none of them holds."""
-        plain = [w for w in words if "|" not in w and "<" not in w] if len(self.mark) == 1 else []
-        for i in range(0, len(plain), 512):
-            part = plain[i : i + 512]
-            ids = np.array(self._encode([" | ".join(part)])[0].ids, "<u4")
-            cut = np.flatnonzero(ids == self.mark[0])
-            if len(cut) != len(part) - 1:
-                words = list({*words, *part})
-                plain = plain[:i]
-                break
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, [*(cut * 4).tolist(), len(raw)], strict=True):
-                self.known[w] = raw[at:end]
-                at = end + 4
-        rest = [w for w in words if w not in self.known]
-        for w, found in zip(rest, self._encode(rest), strict=True):
-            self.known[w] = np.array(found.ids, "<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
+        parted, rest, old, old_runs = [], [], self.old_known, self.old_runs
+        for w in words:
+            if w in old:
+                self.known[w] = old[w]
+                continue
+            m = self._simple(w)
+            if m:
+                parted.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append(w)
+        runs = self.runs
+        new = {a for _, a, _ in parted if a not in runs}
+        again = new.intersection(old_runs)
+        runs.update([(a, old_runs[a]) for a in again])
+        new = list(new - again)
+        runs.update(zip(new, self._letters(new), strict=True))
+        signs = list({b for _, _, b in parted if b not in runs})
+        runs.update(zip(signs, self._encode(signs), strict=True))
+        self.known.update([(w, runs[a] + runs[b]) for w, a, b in parted])
+        self.known.update(zip(rest, self._encode(rest), strict=True))
+        if len(runs) > self.limit:
+            self.old_runs, self.runs = runs, {"": b""}
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
         # str.split also parts at four control characters that are no white space to the tokenizer
-        words = self.odd(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        new = set(words).difference(self.known)
+        parts = [self.odd(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
+        words = set().union(*parts)
+        new = words.difference(self.known)
         if new:
-            if len(self.known) + len(new) > self.limit:
-                often = sorted((w for w, n in self.seen.items() if n > 1 and w in self.known), key=self.seen.get, reverse=True)
-                self.known = {w: self.known[w] for w in often[: self.limit // 2]}
-                self.seen.clear()
-                new = set(words).difference(self.known)
+            if len(self.known) > self.limit // 2:
+                self.old_known, self.known = self.known, {}
+                new = words
             self._learn(list(new))
-        self.texts += 1
-        if self.texts % 8 == 0:
-            self.seen.update(words)
-        return b"".join(map(self.known.__getitem__, words))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, p)) for p in parts]
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker's encoder, which its next tasks find warm."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", order: list | None = None, end_id: int = END_ID) -> None:
@@ -180,7 +219,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, seq, encode = TaskContext.get().partitionId(), 0, Encoder(tokenizer_path)
+        shard, seq, encode = TaskContext.get().partitionId(), 0, _encoder(tokenizer_path)
         ids: list[bytes] = []
         doc_ids: list[int] = []
         size = 0
@@ -191,13 +230,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
 
         schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(encode(t.as_py()) + end)
-                doc_ids.append(i)
-                size += len(ids[-1]) // 4
-                if size >= SEGMENT:
-                    yield flush()
-                    ids, doc_ids, size, seq = [], [], 0, seq + 1
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                for i, found in zip(part.column(0).to_pylist(), encode.many(part.column(1).to_pylist()), strict=True):
+                    ids.append(found + end)
+                    doc_ids.append(i)
+                    size += len(ids[-1]) // 4
+                    if size >= SEGMENT:
+                        yield flush()
+                        ids, doc_ids, size, seq = [], [], 0, seq + 1
         if ids:
             yield flush()
 
