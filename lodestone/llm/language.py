@@ -35,9 +35,9 @@ LANES = 2048
 _letter = re.compile(r"[^\W\d_]").search
 
 
-def _forward(x: np.ndarray, table: np.ndarray, u: np.ndarray, keep: bool = False):
-    """States (time, lanes, H) of one direction for byte columns ``x`` (time, lanes); with ``keep``
-    also what the backward pass needs.  Gates use the piecewise linear sigmoid 0.25 x + 0.5, which
+def _forward(x: np.ndarray, table: np.ndarray, u: np.ndarray, inside: np.ndarray | None = None, keep: bool = False):
+    """States (time, lanes, H) of one direction for byte columns ``x`` (time, lanes), zero where a lane has no byte
+    (not ``inside``); with ``keep`` also what the backward pass needs.  Gates use the piecewise linear sigmoid 0.25 x + 0.5, which
     is folded into their weights; the update gate, the reset gate and the candidate are separate arrays."""
     n = u.shape[0]
     scale, shift = (0.25, 0.25, 1.0), (0.5, 0.5, 0.0)
@@ -65,13 +65,15 @@ def _forward(x: np.ndarray, table: np.ndarray, u: np.ndarray, keep: bool = False
         np.subtract(h, c, out=new)
         new *= z
         new += c
+        if inside is not None:
+            new *= inside[t][:, None]
         if keep:
             saved[-1] = (*saved[-1][:3], c.copy(), saved[-1][4])
         h = new
     return states, saved
 
 
-def _backward(x: np.ndarray, u: np.ndarray, saved: list, d_states: np.ndarray):
+def _backward(x: np.ndarray, u: np.ndarray, saved: list, d_states: np.ndarray, inside: np.ndarray):
     """Gradients of the input table and of ``u``, through time."""
     n = u.shape[0]
     pre = np.empty((*d_states.shape[:2], 3 * n), np.float32)
@@ -80,6 +82,7 @@ def _backward(x: np.ndarray, u: np.ndarray, saved: list, d_states: np.ndarray):
     for t in range(len(x) - 1, -1, -1):
         h, z, r, c, g = saved[t]
         dh += d_states[t]
+        dh *= inside[t][:, None]
         dc = dh * (1 - z) * (1 - c * c)
         pre[t, :, :n] = dh * (h - c) * (0.25 * ((z > 0) & (z < 1)))
         pre[t, :, n : 2 * n] = dc * g * (0.25 * ((r > 0) & (r < 1)))
@@ -105,10 +108,10 @@ class Network:
         scale = lambda *s: (rng.standard_normal(s) * 0.4).astype(np.float32)
         self.w = [scale(256, 3 * hidden), scale(hidden, 3 * hidden), scale(256, 3 * hidden), scale(hidden, 3 * hidden), scale(2 * hidden, len(languages)), np.zeros(len(languages), np.float32)]
 
-    def _positions(self, x: np.ndarray, keep: bool = False):
+    def _positions(self, x: np.ndarray, inside: np.ndarray | None = None, keep: bool = False):
         """Distributions (languages, time, lanes) of every position, and what led to them."""
-        f, sf = _forward(x, self.w[0], self.w[1], keep)
-        b, sb = _forward(x[::-1], self.w[2], self.w[3], keep)
+        f, sf = _forward(x, self.w[0], self.w[1], inside, keep)
+        b, sb = _forward(x[::-1], self.w[2], self.w[3], None if inside is None else inside[::-1], keep)
         b, n = b[::-1], f.shape[2]
         y = self.w[4][:n].T @ f.reshape(-1, n).T
         y += self.w[4][n:].T @ b.reshape(-1, n).T
@@ -120,7 +123,7 @@ class Network:
 
     def gradients(self, x: np.ndarray, label: np.ndarray, mask: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean cross entropy of the labelled positions, and its gradients."""
-        p, f, b, sf, sb = self._positions(x, True)
+        p, f, b, sf, sb = self._positions(x, mask, True)
         n = f.shape[2]
         weight = mask.astype(np.float32) / np.float32(max(1, mask.sum()))
         lanes = np.arange(x.shape[1])
@@ -132,8 +135,8 @@ class Network:
         d_out = np.concatenate([d @ f.reshape(-1, n), d @ b.reshape(-1, n)], axis=1).T
         df = (self.w[4][:n] @ d).T.reshape(f.shape)
         db = (self.w[4][n:] @ d).T.reshape(b.shape)
-        tf, uf = _backward(x, self.w[1], sf, df)
-        tb, ub = _backward(x[::-1], self.w[3], sb, db[::-1])
+        tf, uf = _backward(x, self.w[1], sf, df, mask)
+        tb, ub = _backward(x[::-1], self.w[3], sb, db[::-1], mask[::-1])
         return loss, [tf, uf, tb, ub, d_out, d.sum(1)]
 
     def train(self, windows: np.ndarray, lengths: np.ndarray, label: np.ndarray, steps: int = STEPS, seed: int = SEED) -> float:
@@ -173,8 +176,9 @@ class Network:
             steps = np.arange(int(left[w[0]]))
             inside = steps[:, None] < left[w][None, :]
             x = np.where(inside, buf[at[w][None, :] + steps[:, None]], 0).astype(np.uint8)
-            p = self._positions(x)[0]
-            if not inside.all():
+            whole = bool(inside.all())
+            p = self._positions(x, None if whole else inside)[0]
+            if not whole:
                 p *= inside
             for j, sums in enumerate(p.sum(1)):
                 total[:, j] += np.bincount(owner[w], sums, len(texts))
