@@ -9,6 +9,7 @@ import logging
 import sys
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from lodestone import __version__
@@ -190,7 +191,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     spark = spark or SparkSession.builder.appName("lodestone").getOrCreate()
     try:
         return {"check": run_check, "link": run_link, "ner": run_ner}[a.command](a, spark)
-    except (ValueError, TypeError, OSError, RuntimeError, MemoryError) as e:
+    except (ValueError, TypeError, OSError, RuntimeError, MemoryError, PySparkException) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by repeated contraction.
 
-Each round hangs every node under its smallest neighbour, shortens the paths by
-one pointer jump and rewrites the edges between the remaining roots.  Edges
+Each round hangs every node under its smallest neighbour, jumps along the paths
+to the roots of these trees and rewrites the edges between the roots.  Edges
 within a component vanish, so the edge table shrinks geometrically; no group of
 neighbours is ever gathered in one task (the minimum is pre-aggregated, hub
 joins are ordinary equi-joins that adaptive execution may split).
@@ -30,8 +30,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         up = up.select("node", F.least("node", "m").alias("up"))
-        hop = up.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
-        up = stage(up.join(hop, F.col("up") == F.col("n2")).select("node", F.col("up2").alias("up")), "parents")
+        up = stage(up, "parents")
+        while True:  # to the roots: each jump halves the paths
+            hop = up.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
+            jumped = up.join(hop, F.col("up") == F.col("n2")).select("node", F.col("up2").alias("up"), (F.col("up") != F.col("up2")).alias("moved"))
+            jumped = stage(jumped, "parents")
+            drop_staged(up)
+            up = jumped
+            if up.where("moved").isEmpty():
+                break
+        up = up.drop("moved")
         levels.append(up)
         left = up.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         right = up.select(F.col("node").alias("b"), F.col("up").alias("rb"))
