@@ -157,10 +157,11 @@ def test_cli(spark, tmp_path, capsys):
     assert json.loads(out.read_text())["dataset"]["row_count"] == 3
     assert cli.main(["check", str(tmp_path / "none.csv")], spark) == 2
     assert cli.main(["version"]) == 0
-    rows = ["id,name,city"] + [f"{i},name{i:03d}xyz,c{i % 4}" for i in range(40)] + [f"{100 + i},name{i:03d}xyz,c{i % 4}" for i in range(8)]
+    person = lambda i: f"name{i:03d}xyz,mail{i * 7}@x,c{i % 4}"
+    rows = ["id,name,mail,city"] + [f"{i},{person(i)}" for i in range(40)] + [f"{100 + i},{person(i)}" for i in range(8)]
     (tmp_path / "p.csv").write_text("\n".join(rows) + "\n")
     audit = tmp_path / "audit.json"
-    code = cli.main(["link", str(tmp_path / "p.csv"), "--id", "id", "--compare", "name:exact", "--block", "city", "--audit", str(audit), "--allow-warning-fit", "--dedupe-output", str(tmp_path / "out")], spark)
+    code = cli.main(["link", str(tmp_path / "p.csv"), "--id", "id", "--compare", "name:exact", "--compare", "mail:exact", "--block", "city", "--audit", str(audit), "--allow-warning-fit", "--dedupe-output", str(tmp_path / "out")], spark)
     assert code == 0 and len(json.loads(audit.read_text())["matched_pairs"]) == 8
     assert spark.read.parquet(str(tmp_path / "out")).count() == 40
     manifest = json.loads((tmp_path / "audit.json.dedupe" / "manifest.json").read_text())
