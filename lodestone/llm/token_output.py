@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,10 +39,11 @@ from pyspark.sql.window import Window
 from lodestone.plans.staging import new_path
 
 END_ID, BLOCK, SEGMENT, PERCENTILE = 2, 1024, 1 << 18, 0.95
-#: Runs of letters in a generation of a worker's memory, and twice the strings between white space.
+#: Runs of letters in a generation of a worker's memory.
 REMEMBERED = 600_000
-#: Texts encoded at once.
-TOGETHER = 128
+#: Bytes of texts encoded at once, and white space beyond ASCII (or that only Python takes for it).
+TOGETHER = 8 << 20
+_ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 MAGIC = b"LPF1"
 
 
@@ -116,14 +118,40 @@ def decode_segment(data: bytes, first: int = 0, last: int | None = None) -> tupl
     return doc_ids, counts, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+class Memory:
+    """Ids of strings in two generations: the young one, when full, becomes the old one, from which it takes what
+    comes up again."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct strings."""
+        found = list(map(self.young.get, words))
+        lost = [w for w, x in zip(words, found, strict=True) if x is None]
+        if lost:
+            if len(self.young) > self.limit:
+                self.old, self.young = self.young, {}
+            fresh = {w: self.old[w] for w in lost if w in self.old}
+            new = [w for w in lost if w not in fresh]
+            fresh.update(zip(new, self.encode(new), strict=True))
+            self.young.update(fresh)
+            found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        return found
+
+
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
-    """Ids of texts.  No token of this kind of tokenizer crosses white space, so texts are
-    encoded string by string between white space and the strings' ids are remembered.  A string of Latin letters
-    and plain signs is the token runs of its lower-case letters and of its signs, which are remembered apart.
-    Each memory has two generations: the young one, when full, becomes the old one, from which it takes
-    what comes up again."""
+    """Ids of texts.  No token of this kind of tokenizer crosses white space, so texts are split there (by Arrow)
+    and each distinct string is encoded once.  A string of Latin letters and plain signs is the token runs of its lower-case
+    letters and of its signs, which are looked up apart.  Workers remember runs and other strings in bounded memories."""
 
-    _simple = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|$%&*#()]*)").fullmatch
+    _parts = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[.,;:!?|$%&*#()]*)$"
 
     def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         import os
@@ -131,11 +159,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), remembered
-        self.known: dict[str, bytes] = {}
-        self.old_known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
-        self.old_runs: dict[str, bytes] = {}
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.letters, self.others = Memory(self._letters, remembered), Memory(self._encode, remembered // 8)
         self.odd = re.compile(r"[^ \t\r\n]+").findall
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -157,46 +182,42 @@ class Encoder:
                 out += self._encode(part)
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        parted, rest, old, old_runs = [], [], self.old_known, self.old_runs
-        for w in words:
-            if w in old:
-                self.known[w] = old[w]
-                continue
-            m = self._simple(w)
-            if m:
-                parted.append((w, m[1].lower(), m[2]))
-            else:
-                rest.append(w)
-        runs = self.runs
-        new = {a for _, a, _ in parted if a not in runs}
-        again = new.intersection(old_runs)
-        runs.update([(a, old_runs[a]) for a in again])
-        new = list(new - again)
-        runs.update(zip(new, self._letters(new), strict=True))
-        signs = list({b for _, _, b in parted if b not in runs})
-        runs.update(zip(signs, self._encode(signs), strict=True))
-        self.known.update([(w, runs[a] + runs[b]) for w, a, b in parted])
-        self.known.update(zip(rest, self._encode(rest), strict=True))
-        if len(runs) > self.limit:
-            self.old_runs, self.runs = runs, {"": b""}
-
-    def many(self, texts: list[str]) -> list[bytes]:
+    def many(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        # str.split also parts at four control characters that are no white space to the tokenizer
-        parts = [self.odd(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        words = set().union(*parts)
-        new = words.difference(self.known)
-        if new:
-            if len(self.known) > self.limit // 2:
-                self.old_known, self.known = self.known, {}
-                new = words
-            self._learn(list(new))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, p)) for p in parts]
+        texts = texts.cast(pa.large_string())
+        if pc.any(pc.match_substring_regex(texts, _ODD_SPACE)).as_py():
+            # str.split also parts at four control characters that are no white space to the tokenizer
+            plain = [self.odd(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts.to_pylist()]
+            offsets = np.cumsum([0, *map(len, plain)])
+            flat = pa.array([w for p in plain for w in p], pa.large_string())
+        else:
+            split = pc.ascii_split_whitespace(texts)
+            flat, offsets = split.flatten(), split.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+        numbered = flat.dictionary_encode()
+        words, at = numbered.dictionary, numbered.indices.to_numpy(zero_copy_only=False)
+        two = pc.extract_regex(words, self._parts)
+        simple = pc.is_valid(two).to_numpy(zero_copy_only=False)
+        letters = pc.utf8_lower(two.field("a").filter(pa.array(simple))).dictionary_encode()
+        signs = two.field("b").filter(pa.array(simple)).dictionary_encode()
+        rest = words.filter(pa.array(~simple))
+        # the distinct pieces: runs of letters, runs of signs, other strings, and the empty one
+        pieces = [*self.letters(_strings(letters.dictionary)), *self.others(_strings(signs.dictionary)), *self.others(_strings(rest)), b""]
+        first, second = np.empty(len(words), np.int64), np.full(len(words), len(pieces) - 1)
+        first[simple], first[~simple] = letters.indices.to_numpy(), len(letters.dictionary) + len(signs.dictionary) + np.arange(len(rest))
+        second[simple] = len(letters.dictionary) + signs.indices.to_numpy()
+        piece = np.stack([first[at], second[at]], axis=1).ravel()
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        begin = np.cumsum(size) - size
+        per = size[piece]
+        ends = np.cumsum(per)
+        pool = np.frombuffer(b"".join(pieces), "<u4")
+        raw = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[piece] - (ends - per), per)].tobytes()
+        cut = (np.r_[0, ends][offsets * 2] * 4).tolist()
+        return [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
+        return self.many(pa.array([text]))[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -230,9 +251,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
 
         schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                for i, found in zip(part.column(0).to_pylist(), encode.many(part.column(1).to_pylist()), strict=True):
+            room = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(room)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                for i, found in zip(part.column(0).to_pylist(), encode.many(part.column(1)), strict=True):
                     ids.append(found + end)
                     doc_ids.append(i)
                     size += len(ids[-1]) // 4
