@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, mixing, quality, simhash, token_output
 from lodestone.plans.staging import new_path, stage
 
-#: Near-duplicates in the pipeline: shingles of five words; one bit in 64 stands for about a hundredth of similarity near one.
-SHINGLE_WORDS = 5
+#: Near-duplicates in the pipeline: five-word shingles, a similarity of 0.8 or more, fingerprints of 256 bits.
+SHINGLE_WORDS, SIMILARITY, WIDE = 5, 0.8, 4
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, k=SHINGLE_WORDS)
+    return simhash.keep_one(docs, k=SHINGLE_WORDS, similarity=SIMILARITY, wide=WIDE)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

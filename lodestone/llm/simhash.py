@@ -1,13 +1,17 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
 Fingerprints: A-Z lower-cased, words split at ASCII white space, ``k``-word
-shingles hashed by XXH64 (seed 42); a bit is set if over half the hashes set it.
-Equal fingerprints are one node.  Two fingerprints within ``radius`` bits agree
-on ``m - radius`` of ``m`` segments, so each node is filed under every choice of
-``m - radius`` segments and only nodes filed together are compared.  There, the 64
-bits are stored as vertical planes over blocks of 64 fingerprints; one word
-operation updates 64 distances held in carry-save bit counters, and a block is
-abandoned once all its distances exceed the radius.  Crowded files are cut into
+shingles hashed by XXH64 (seed 42); a bit is set if over half the hashes set it.  Wide fingerprints add
+words of 64 bits, made of the same hashes mixed with the word's number.  Equal fingerprints are one node.
+
+Narrow fingerprints (64 bits) link exactly: two within ``radius`` bits agree on ``m - radius`` of ``m``
+segments, so each node is filed under every choice of ``m - radius`` segments.  Wide ones link by similarity:
+each bit of two documents of similarity ``s`` agrees with probability 1 - acos(2s / (1 + s)) / pi, so they are
+filed under so many fixed choices of bits that a pair at the threshold shares a file with probability ``RECALL``.
+
+Only nodes filed together are compared.  There, the bits are stored as vertical planes over blocks of 64
+fingerprints; planes of differences are summed by carry-save adders into counters that are bit planes too, 64
+distances at once, and a block is abandoned once all its distances exceed the radius.  Crowded files are cut into
 tiles whose pairs are separate work.  Each task sends a forest of links, not pairs.
 
 Defined cases: null text is empty; no word gives fingerprint zero, which links like
@@ -18,6 +22,7 @@ repeated rows give repeated rows; extra columns are ignored; empty tables give n
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,34 +39,47 @@ WORDS, RADIUS, SEED = 4, 4, 42
 TILE, MEAN_FILE = 2048, 256
 #: Word operations on so many (fingerprint, block) pairs at once; it bounds a task's memory.
 PAIRS = 1 << 15
+#: Wide fingerprints: the chance that a pair at the threshold shares a file, least bits of a file's choice, and by how
+#: many standard deviations of its distance a pair at the threshold may be further apart than expected.
+RECALL, CHOICE_BITS, SLACK = 0.95, 12, 1.0
 
 
-def fingerprint(text: str | None, k: int = WORDS) -> int:
-    """The 64-bit fingerprint of one text."""
+def fingerprint(text: str | None, k: int = WORDS, wide: int = 1) -> list[int]:
+    """The fingerprint of one text: ``wide`` words of 64 bits."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * wide
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     whole, h64 = b" ".join(words), xxhash.xxh64_intdigest
     starts = [0, *ends]
     n = max(1, len(words) - k + 1)
     h = np.fromiter((h64(whole[a : b - 1], SEED) for a, b in zip(starts[:n], starts[min(k, len(words)) :], strict=False)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
-        counts += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    out = []
+    for w in range(wide):
+        g = h if w == 0 else (h ^ (h >> np.uint64(31)) ^ np.uint64(w)) * np.uint64(0x9E3779B97F4A7C15 + 2 * w)
+        g = g if w == 0 else (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        counts = np.zeros(64, np.int64)
+        for i in range(0, n, 65536):
+            counts += np.unpackbits(g[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def _fp(wide: int) -> list[str]:
+    return [f"fp{i}" for i in range(wide)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
-    """Rows ``(doc_id, fp)``; ``fp`` holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, wide: int = 1) -> DataFrame:
+    """Rows ``(doc_id, fp0, ...)``; each column holds 64 bits as a signed long."""
+    names = _fp(wide)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), k) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), k, wide) for t in batch.column(1)], np.uint64).reshape(-1, wide)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(wide)]], ["doc_id", *names])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return d.mapInArrow(run, "doc_id long, fp long")
+    return d.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def segment_masks(n: int, radius: int = RADIUS, mean: int = MEAN_FILE) -> list[int]:
@@ -74,42 +92,96 @@ def segment_masks(n: int, radius: int = RADIUS, mean: int = MEAN_FILE) -> list[i
     return [sum(c) for c in itertools.combinations(segments, m - radius)]
 
 
+def agreement(similarity: float) -> float:
+    """The chance that a bit agrees between two documents whose shingle sets have this Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_of(similarity: float, wide: int) -> int:
+    """The distance of wide fingerprints that counts as this similarity or more."""
+    n, p = 64 * wide, 1 - agreement(similarity)
+    return int(n * p + SLACK * math.sqrt(n * p * (1 - p)))
+
+
+def choice_masks(n: int, wide: int, similarity: float, mean: int = MEAN_FILE) -> list[list[int]]:
+    """For wide fingerprints: masks (one for each word) of fixed choices of bits, more bits for more fingerprints."""
+    bits = max(CHOICE_BITS, math.ceil(math.log2(max(1, n) / mean)) if n > mean else 0)
+    times = math.ceil(math.log(1 - RECALL) / math.log(1 - agreement(similarity) ** bits))
+    rng = np.random.default_rng(SEED)
+    out = []
+    for _ in range(times):
+        chosen = rng.choice(64 * wide, bits, replace=False).tolist()
+        out.append([sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(wide)])
+    return out
+
+
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes: row ``b`` holds bit ``b`` of the fingerprints, 64 of them in a word."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
+    """Bit planes of fingerprints (rows, words): row ``b`` holds bit ``b`` of all, 64 of them in a word."""
+    padded = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), np.uint64)
     padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 64, 8 * fps.shape[1]), axis=2, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view(np.uint64)[:, :, 0]
 
 
+def _adder(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry planes of three planes."""
+    x = a ^ b
+    return x ^ c, (a & b) | (x & c)
+
+
+def _over(count: list[np.ndarray], radius: int) -> np.ndarray:
+    """The lanes whose counter exceeds ``radius``."""
+    above, equal = np.zeros_like(count[0]), ~np.zeros_like(count[0])
+    for j in range(len(count) - 1, -1, -1):
+        if radius >> j & 1:
+            equal = equal & count[j]
+        else:
+            above |= equal & count[j]
+            equal = equal & ~count[j]
+    return above
+
+
 def sliced_matches(query: np.ndarray, planes: np.ndarray, q: np.ndarray, block: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For pairs (query index, block index): those blocks with a lane within the radius, and the lanes' mask.
-    Counters are kept as bit planes of the distance; ``over`` is sticky once the radius is passed."""
-    width = (radius + 1).bit_length()
-    count = np.zeros((width, len(q)), np.uint64)
+    """For pairs (query index, block index): those blocks with a lane within the radius, and the lanes' mask."""
+    bits = len(planes)
+    width = max(bits.bit_length(), (radius + 1).bit_length())
+    count = [np.zeros(len(q), np.uint64) for _ in range(width)]
     over = np.zeros(len(q), np.uint64)
     ones = ~np.uint64(0)
-    for b in range(64):
-        sign = -((query[q] >> np.uint64(b)) & np.uint64(1)).astype(np.int64)
-        carry = planes[b][block] ^ sign.view(np.uint64)
+
+    def differ(b: int) -> np.ndarray:
+        if b >= bits:
+            return np.zeros(len(q), np.uint64)
+        sign = -((query[q, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.int64)
+        return planes[b][block] ^ sign.view(np.uint64)
+
+    for b in range(0, bits, 7):  # seven planes to a number of three bits, which is added to the counters
+        d = [differ(b + i) for i in range(7)]
+        s1, c1 = _adder(d[0], d[1], d[2])
+        s2, c2 = _adder(d[3], d[4], d[5])
+        s3, c3 = _adder(s1, s2, d[6])
+        t, f = _adder(c1, c2, c3)
+        carry = np.zeros(len(q), np.uint64)
         for j in range(width):
-            count[j], carry = count[j] ^ carry, count[j] & carry
-        over |= carry
-        if b >= radius:
-            past = np.full(len(q), ones)  # distance == radius + 1: it grows one by one, so this catches every passage
-            for j in range(width):
-                past &= count[j] if (radius + 1) >> j & 1 else ~count[j]
-            over |= past
-            if b % 8 == 7 and len(q):
-                keep = over != ones
-                if not keep.all():
-                    q, block, over, count = q[keep], block[keep], over[keep], count[:, keep]
-    keep = over != ones
-    return q[keep], block[keep], ~over[keep]
+            add = (s3, t, f)[j] if j < 3 else None
+            if add is None:
+                count[j], carry = count[j] ^ carry, count[j] & carry
+            else:
+                count[j], carry = _adder(count[j], add, carry)
+        if b + 7 > radius:
+            over = _over(count, radius)
+            keep = over != ones
+            if not keep.all():
+                q, block, over, count = q[keep], block[keep], over[keep], [c[keep] for c in count]
+            if not len(q):
+                break
+    return q, block, ~over
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Join the label trees of the pairs (a, b) in place; every label ends at its tree's smallest index."""
+    rest = label[a] != label[b]
+    a, b = a[rest], b[rest]
     while len(a):
         low = np.minimum(label[a], label[b])
         np.minimum.at(label, label[a], low)
@@ -138,10 +210,11 @@ def links(fps: np.ndarray, files: np.ndarray, side: np.ndarray, radius: int) ->
     blocks = -(-size // 64)
     base = np.r_[0, np.cumsum(blocks)]
     slot = np.arange(n) - first[owner] + base[owner] * 64  # each file starts a new block
-    lanes = np.zeros(base[-1] * 64, np.uint64)
+    lanes = np.zeros((base[-1] * 64, fps.shape[1]), np.uint64)
     lanes[slot] = fps
     at = np.full(len(lanes), -1)
     at[slot] = np.arange(n)
+    own = at >= 0
     planes = _planes(lanes)
     # a fingerprint meets only the blocks from its own on
     todo = base[owner + 1] - slot // 64
@@ -152,6 +225,12 @@ def links(fps: np.ndarray, files: np.ndarray, side: np.ndarray, radius: int) ->
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS)))
         q = np.repeat(np.arange(start, stop), todo[start:stop])
         block = slot[q] // 64 + np.arange(len(q)) - np.repeat(ends[start:stop] - todo[start:stop], todo[start:stop]) + (ends[start - 1] if start else 0)
+        # a block whose lanes all hang together with the fingerprint has nothing to tell
+        of = np.where(own, label[at], n)
+        low = of.reshape(-1, 64).min(1)
+        high = np.where(own, of, -1).reshape(-1, 64).max(1)
+        open_ = (low[block] != label[q]) | (high[block] != label[q])
+        q, block = q[open_], block[open_]
         q, block, mask = sliced_matches(fps, planes, q, block, radius)
         if len(q):
             hit = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -164,34 +243,36 @@ def links(fps: np.ndarray, files: np.ndarray, side: np.ndarray, radius: int) ->
     return child, label[child]
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int | None = None) -> DataFrame:
-    """Rows ``(a, b)`` of fingerprints whose components are those of all pairs within ``radius`` bits.
-    ``nodes``: distinct fingerprints in a column ``fp``."""
-    masks = segment_masks(nodes.count() if n is None else n, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    filed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed)])).alias("k"))
-    filed = filed.select("fp", F.xxhash64("k.c", "k.v").alias("file"))
+def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int | None = None, similarity: float | None = None) -> DataFrame:
+    """Rows ``(a, b)`` of nodes whose components are those of all pairs within ``radius`` bits (wide: of those that
+    share a file).  ``nodes``: distinct fingerprints ``fp0, ...`` and their names ``node``."""
+    names = [c for c in nodes.columns if c.startswith("fp")]
+    n = nodes.count() if n is None else n
+    masks = [[m] for m in segment_masks(n, radius)] if similarity is None else choice_masks(n, len(names), similarity)
+    signed = [[m - (1 << 64) if m >> 63 else m for m in ms] for ms in masks]
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(names, ms, strict=True)]) for i, ms in enumerate(signed)])
+    filed = nodes.select("node", *names, F.explode(keys).alias("file"))
     crowded = filed.groupBy("file").count().where(F.col("count") > tile)
     crowded = crowded.select(F.col("file").alias("f"), F.ceil(F.col("count") / tile).cast("int").alias("g"))
     filed = filed.join(crowded, F.col("file") == F.col("f"), "left")
-    t = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
+    t = F.pmod(F.xxhash64("node"), F.col("g")).cast("int")
     # tile t meets every tile u once: in the work unit (smaller, larger); side 0 compares within
-    alone = filed.where("g is null").select("fp", "file", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"))
-    cut = filed.where("g is not null").select("fp", "file", t.alias("t"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("u"))
-    cut = cut.select("fp", "file", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), F.when(F.col("t") == F.col("u"), 0).when(F.col("t") < F.col("u"), 1).otherwise(2).alias("side"))
-    work = alone.unionByName(cut).select("fp", F.xxhash64("file", "x", "y").alias("unit"), "side")
-    work = work.repartition("unit").sortWithinPartitions("unit", "fp")
+    alone = filed.where("g is null").select("node", *names, "file", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"))
+    cut = filed.where("g is not null").select("node", *names, "file", t.alias("t"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("u"))
+    cut = cut.select("node", *names, "file", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y"), F.when(F.col("t") == F.col("u"), 0).when(F.col("t") < F.col("u"), 1).otherwise(2).alias("side"))
+    work = alone.unionByName(cut).select("node", F.xxhash64("file", "x", "y").alias("unit"), "side", *names)
+    work = work.repartition("unit").sortWithinPartitions("unit", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(rows: np.ndarray) -> pa.RecordBatch:
-            fp = np.ascontiguousarray(rows[0]).view(np.uint64)
+            fp = np.ascontiguousarray(rows[3:].T).view(np.uint64)
             a, b = links(fp, rows[1], rows[2], radius)
             return pa.RecordBatch.from_arrays([pa.array(rows[0][a]), pa.array(rows[0][b])], ["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]))
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3 + len(names))]))
             if sum(x.shape[1] for x in held) < 50_000:
                 continue
             rows = np.concatenate(held, axis=1)
@@ -205,25 +286,36 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int
     return work.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Rows ``(doc_id, fingerprint, component_id)``, one for each row of ``docs``."""
-    fps = stage(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    found = connected_components(near_links(nodes.select("fp"), radius, tile))
-    root = nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, radius: int | None = None, tile: int = TILE,
+    wide: int = 1, similarity: float | None = None,
+) -> DataFrame:
+    """Rows ``(doc_id, fingerprint, component_id)``, one for each row of ``docs``.  Links: within ``radius`` bits (four), or,
+    for ``wide`` fingerprints, at ``similarity`` or more of the sets of shingles, as the fingerprints tell it."""
+    if (similarity is None) != (wide == 1):
+        raise ValueError("wide fingerprints link by similarity, narrow ones by radius")
+    radius = radius if radius is not None else RADIUS if similarity is None else radius_of(similarity, wide)
+    names = _fp(wide)
+    fps = fingerprints(docs, id_col, text_col, k, wide)
+    fps = stage(fps.withColumn("node", F.col("fp0") if wide == 1 else F.xxhash64(*names)), "fingerprints")
+    nodes = stage(fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in names]), "nodes")
+    found = connected_components(near_links(nodes.select("node", *names), radius, tile, similarity=similarity))
+    found = found.select(F.col("node").alias("v"), "root")
+    root = nodes.join(found, F.col("node") == F.col("v"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = root.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
-    named = root.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
-    out = fps.join(named, F.col("fp") == F.col("f"))
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = root.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("f"), "component_id")
+    out = fps.join(named, F.col("node") == F.col("f"))
+    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names])
+    return out.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id, its first row by text if
-    rows share the id.  A component without any id keeps its rows."""
+    """``docs`` with one document of each component, the one with the smallest id (one row, if rows share it).  A row
+    without id has no name to be dropped by and stays."""
     found = near_duplicates(docs, id_col=id_col, **options)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
-    return kept.dropDuplicates([id_col]) if id_col in kept.columns else kept
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

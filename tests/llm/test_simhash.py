@@ -14,7 +14,7 @@ def brute_fingerprint(text):
         return 0
     grams = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
     hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))  # the first of the words
 
 
 def brute_components(rows, radius=4):
@@ -71,7 +71,7 @@ def test_crowded_files_are_cut_into_tiles(spark):
         fps.add(x - (1 << 64) if x >> 63 else x)
     from lodestone.operators.components import connected_components
 
-    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    nodes = spark.createDataFrame([(f, f) for f in fps], "node long, fp0 long")
     whole = {tuple(r) for r in connected_components(simhash.near_links(nodes)).collect()}
     cut = {tuple(r) for r in connected_components(simhash.near_links(nodes, tile=16)).collect()}
     assert whole == cut and len({b for _, b in cut}) == 10
@@ -81,7 +81,7 @@ def test_sliced_matches_are_the_hamming_ball():
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 1 << 63, 64, dtype=np.uint64)
     query = np.concatenate([fps[:8] ^ np.uint64(0b1111), fps[:8] ^ np.uint64(0b11111), fps[:2]])
-    q, _, mask = simhash.sliced_matches(query, simhash._planes(fps), np.arange(18), np.zeros(18, int), 4)
+    q, _, mask = simhash.sliced_matches(query[:, None], simhash._planes(fps[:, None]), np.arange(18), np.zeros(18, int), 4)
     got = {(int(a), lane) for a, m in zip(q, mask, strict=True) for lane in range(64) if int(m) >> lane & 1}
     assert got == {(i, j) for i in range(18) for j in range(64) if int(query[i] ^ fps[j]).bit_count() <= 4}
 
@@ -96,3 +96,37 @@ def test_empty_and_keep_one(spark):
     docs = spark.createDataFrame([(2, "a b c d e"), (1, "a b c d e"), (3, "other words are here now"), (1, "a b c d e")], "doc_id long, text string")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_wide_fingerprints_find_similar_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    rows, near = [], {}
+    for i in range(120):
+        base = [word() for _ in range(rng.randint(80, 400))]
+        rows.append((i, " ".join(base)))
+        if i % 2:
+            copy = list(base)
+            for _ in range(len(base) // 75):  # some words changed: similarity of five-word shingles about 0.87
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((1000 + i, " ".join(copy)))
+            near[1000 + i] = i
+    rows += [(2000, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, k=5, wide=4, similarity=0.8).collect()}
+    assert np.mean([got[c] == i for c, i in near.items()]) > 0.9
+    assert all(got[i] == i for i in range(120)) and got[2000] == 0
+    kept = [r.doc_id for r in simhash.keep_one(docs, k=5, wide=4, similarity=0.8).collect()]
+    assert set(range(120)) | {None} <= set(kept) and len(kept) == len(set(kept))
+
+
+def test_dense_groups_hang_together():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64)
+    fps = np.repeat(base, 500, 0)
+    for i in range(500):
+        for b in rng.choice(256, 8, replace=False):
+            fps[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    fps[250:] = ~fps[250:]
+    a, b = simhash.links(fps, np.zeros(500, int), np.zeros(500, int), 40)
+    assert len(a) == 498 and set(b.tolist()) == {0, 250}
