@@ -31,83 +31,127 @@ from pyspark.sql.window import Window
 from lodestone.plans.staging import stage
 
 K, QUERY_STEP = 10, 50
+#: Index rows (about 60 bytes each) that may be broadcast; beyond it the probes are shuffled.
+BROADCAST_ROWS = 250_000
 
 
-def codes(df: DataFrame, id_col: str, vector_col: str, bits: int, m: int) -> DataFrame:
-    """Rows ``(id, code)``: the code as ``m`` segments, an array of longs."""
-    edges = [bits * i // m for i in range(m + 1)]
+def segments(bits: int, n: int) -> list[tuple[int, int, int]]:
+    """Segments (word, shift, width): each about log2(n) bits or longer, so that a file holds about one code."""
+    out = []
+    for w in range(-(-bits // 64)):
+        size = min(64, bits - 64 * w)
+        m = max(1, -(-size // 30), int(size / max(4.0, math.log2(max(n, 2)))))
+        edges = [size * i // m for i in range(m + 1)]
+        out += [(w, a, b - a) for a, b in itertools.pairwise(edges)]
+    return out
+
+
+def codes(df: DataFrame, id_col: str, vector_col: str, bits: int) -> DataFrame:
+    """Rows ``(id, code)``: the code as an array of 64-bit words."""
+    words = -(-bits // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             size = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            on = np.zeros((batch.num_rows, bits), np.uint64)
+            on = np.zeros((batch.num_rows, 64 * words), bool)
             row = np.repeat(np.arange(batch.num_rows), size)
             on[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat > 0
-            parts = [(on[:, a:b] << np.arange(b - a, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64) for a, b in itertools.pairwise(edges)]
-            code = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * m, pa.int32()), pa.array(np.stack(parts, axis=1).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), code], ["id", "code"])
+            code = np.packbits(on, axis=1, bitorder="little").view(np.int64)
+            out = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * words, pa.int32()), pa.array(code.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], ["id", "code"])
 
     d = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).dropna()
     return d.mapInArrow(run, "id long, code array<long>")
 
 
-def _distance(a: str, b: str, m: int) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(m)), F.lit(0)).cast("int")
-
+def filed(rows: DataFrame, words: list[str], segs: list[tuple[int, int, int]], r: int) -> DataFrame:
+    """``rows`` once for each segment and value within exactly ``r`` bits of its own: with ``seg`` and ``key``."""
+    names = rows.columns
 
-def _masks(width: int, r: int) -> list[int]:
-    return [sum(1 << b for b in c) for c in itertools.combinations(range(width), r)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = [np.array([sum(1 << b for b in c) for c in itertools.combinations(range(width), r)], np.int64) for _, _, width in segs]
+        for whole in batches:
+            for i in range(0, whole.num_rows, 16):
+                batch = whole.slice(i, 16)
+                for j, (w, shift, width) in enumerate(segs):
+                    if not len(flips[j]):
+                        continue
+                    code = batch.column(names.index(words[w])).to_numpy(zero_copy_only=False).view(np.uint64)
+                    key = ((code >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
+                    at = np.repeat(np.arange(batch.num_rows), len(flips[j]))
+                    keys = key[at] ^ np.tile(flips[j], batch.num_rows)
+                    columns = [c.take(pa.array(at)) for c in batch.columns]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(at), j, np.int32)), pa.array(keys)], [*names, "seg", "key"])
+
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", seg int, key long")
 
 
 def top_k(
-    df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_step: int = QUERY_STEP, m: int | None = None,
+    df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_step: int = QUERY_STEP, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Rows ``(query_id, rank, neighbor_id, distance)``: the ``k`` nearest of each row whose id is divisible by ``query_step``."""
+    spark = df.sparkSession
     size, bits = df.select(F.count(id_col), F.max(F.size(vector_col))).first()
     bits = max(1, bits or 1)
-    m = m or max(1, math.ceil(bits / min(30, max(4, int(math.log2(max(size, 2)))))))
-    edges = [bits * i // m for i in range(m + 1)]
-    rows = codes(df, id_col, vector_col, bits, m).groupBy("id").agg(F.min("code").alias("code"))
-    rows = stage(rows, "codes")
-
-    # k + 1 smallest ids of each code, by a limited window: no code gathers all its copies
-    rank = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    segs = segments(bits, size)
+    m = len(segs)
+    ws, qs = [f"w{i}" for i in range(-(-bits // 64))], [f"q{i}" for i in range(-(-bits // 64))]
+    rows = codes(df, id_col, vector_col, bits).groupBy("id").agg(F.min("code").alias("code"))
+    rows = stage(rows.select("id", *[F.col("code")[i].alias(w) for i, w in enumerate(ws)]), "codes")
+
+    # k + 1 smallest ids of each code, by a limited window: no code gathers all its copies.  The first names the code.
+    rank = F.row_number().over(Window.partitionBy(*ws).orderBy("id"))
     few = rows.withColumn("rn", rank).where(F.col("rn") <= k + 1)
-    entries = stage(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
+    entries = few.groupBy(*ws).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    entries = stage(entries.select(*ws, "ids", F.col("ids")[0].alias("e"), F.size("ids").alias("n")), "entries")
     queries = rows.where(F.col("id") % query_step == 0)
-    index = entries.select("code", F.posexplode("code").alias("seg", "key"))
-
-    left = stage(queries.select(F.col("code").alias("q")).distinct(), "left")
+    asked = queries.select(*ws).distinct().join(entries.select("e", *ws), ws).select(F.col("e").alias("q"), *[F.col(w).alias(q) for w, q in zip(ws, qs, strict=True)])
+
+    index = stage(filed(entries.select("e", "n", *ws), ws, segs, 0), "index")
+    if index.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        index = F.broadcast(index)
+    differ = [F.col(w).bitwiseXOR(F.col(q)) for w, q in zip(ws, qs, strict=True)]
+
+    def apart(j: int) -> Column:
+        w, shift, width = segs[j]
+        mask = ((1 << width) - 1) << shift
+        return F.bit_count(differ[w].bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+
+    left = stage(asked, "left")
+    distance = sum((F.bit_count(x) for x in differ), F.lit(0)).cast("int").alias("distance")
+    nearest = Window.partitionBy("q").orderBy("distance", "e")
+    spread = max(8, 2 * spark.sparkContext.defaultParallelism)
     met: DataFrame | None = None
     done: list[DataFrame] = []
-    nearest = Window.partitionBy("q").orderBy("distance", F.col("ids")[0])
-    for r in range(max(b - a for a, b in itertools.pairwise(edges)) + 1):
+    for r in range(max(width for _, _, width in segs) + 1):
         if left.isEmpty():
             break
-        probes = [(i, mask) for i, (a, b) in enumerate(itertools.pairwise(edges)) for mask in _masks(b - a, r)]
-        flips = F.explode(F.from_json(F.lit(str([list(p) for p in probes])), "array<array<long>>")).alias("f")
-        probe = left.select("q", flips).select("q", F.col("f")[0].cast("int").alias("seg"), F.element_at("q", (F.col("f")[0] + 1).cast("int")).bitwiseXOR(F.col("f")[1]).alias("key"))
-        new = probe.join(index, ["seg", "key"]).select("q", "code").distinct().withColumn("distance", _distance("q", "code", m))
-        new = new.join(entries, "code").select("q", "code", "distance", "ids")
+        probe = filed(left.repartition(spread), qs, segs, r)
+        # a pair counts in the round of its nearest segment, and there at the first such segment: it is met once
+        first = F.lit(True)
+        for j in range(m):
+            first = first & F.when(F.col("seg") > j, apart(j) > r).otherwise(apart(j) >= r)
+        new = probe.join(index, ["seg", "key"]).where(first).select("q", "e", "n", distance)
         if met is not None:
-            new = met.join(left, "q", "left_semi").unionByName(new).distinct()
-        new = new.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k + 1).drop("rn")
-        met = stage(new, "met")
+            new = met.join(left.select("q"), "q", "left_semi").unionByName(new)
+        # k + 1 codes hold k + 1 ids at least
+        met = stage(new.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= k + 1).drop("rn"), "met")
         covered = m * (r + 1) - 1
         # a query rests once k + 1 ids (itself among them) are met within the covered distance
-        sure = met.where(F.col("distance") <= covered).groupBy("q").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > k).select("q")
+        sure = met.where(F.col("distance") <= covered).groupBy("q").agg(F.sum("n").alias("n")).where(F.col("n") > k).select("q")
         sure = stage(sure, "sure")
         done.append(met.join(sure, "q", "left_semi"))
         left = stage(left.join(sure, "q", "left_anti"), "left")
-    found = met.join(left, "q", "left_semi") if met is not None else None  # every segment value was tried
-    if found is None:
-        found = entries.select(F.col("code").alias("q"), "code", F.lit(0).alias("distance"), "ids").where("false")
+    if met is not None:
+        done.append(met.join(left.select("q"), "q", "left_semi"))  # every segment value was tried
+    found = spark.createDataFrame([], "q long, e long, n int, distance int")
     for part in done:
         found = found.unionByName(part)
-    one = found.select("q", "distance", F.explode("ids").alias("neighbor_id"))
-    pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(one, "q").where("query_id <> neighbor_id")
+    one = found.join(entries.select("e", "ids"), "e").select("q", "distance", F.explode("ids").alias("neighbor_id"))
+    named = queries.join(entries.select("e", *ws), ws).select(F.col("id").alias("query_id"), F.col("e").alias("q"))
+    pairs = named.join(one, "q").where("query_id <> neighbor_id")
     order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     out = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "neighbor_id", "distance")

@@ -37,3 +37,12 @@ def test_few_rows_and_none(spark):
     rows = [(0, [1.0, -1.0]), (1, [1.0, 1.0]), (50, [-1.0, 1.0])]
     assert run(spark, rows) == brute(rows, 10, 50)
     assert run(spark, [(3, [1.0])]) == [] and run(spark, []) == []
+
+
+def test_more_than_a_word_and_no_broadcast(spark):
+    rng = random.Random(7)
+    base = [[rng.gauss(0, 1) for _ in range(100)] for _ in range(6)]
+    rows = [(i, [x if rng.random() > 0.05 else -x for x in rng.choice(base)]) for i in range(150)]
+    assert run(spark, rows, k=3, query_step=50, broadcast_rows=0) == brute(rows, 3, 50)
+    assert hamming_topk.segments(64, 51282) == [(0, 0, 16), (0, 16, 16), (0, 32, 16), (0, 48, 16)]
+    assert sum(w for _, _, w in hamming_topk.segments(100, 10)) == 100
