@@ -91,10 +91,12 @@ class Model:
 
     def train(self, texts: list[str], label: np.ndarray, steps: int = STEPS) -> None:
         """Adam on batches of documents with equal chances of both classes."""
-        docs = [_words(t.lower()) for t in texts]
         ids: dict[str, int] = {}
-        words = [np.array([ids.setdefault(w, len(ids)) for w in d], np.int64) for d in docs]
-        feats, n_feats = features(list(ids))
+        words = [np.array([ids.setdefault(w, len(ids)) for w in _words(t.lower())], np.int32) for t in texts]
+        names = list(ids)
+        parts = [features(names[i : i + 20_000]) for i in range(0, len(names), 20_000)]
+        feats, n_feats = np.concatenate([f.astype(np.int32) for f, _ in parts]), np.concatenate([n for _, n in parts])
+        del names, parts
         first = np.cumsum(n_feats) - n_feats
         rng = np.random.default_rng(SEED)
         of = [np.array([i for i in np.flatnonzero(label == c) if len(words[i])], np.int64) for c in (0, 1)]
