@@ -14,3 +14,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 def learnable(id_col: str = "doc_id") -> Column:
     """Whether a model may learn from the row; a row without id is in neither fold."""
     return F.col(id_col).isNotNull() & ~held_out(id_col)
+
+
+#: A sample's rows are asked for with this margin, and then cut to its size.
+MARGIN = 1.5
+_STEPS = 1 << 30
+
+
+def place(id_col: str) -> Column:
+    """A document's place in all samples: an even hash of its id, from 0 to 1."""
+    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(_STEPS)) / _STEPS
+
+
+def share(wanted: int, there: int) -> float:
+    """Up to which place a sample of ``wanted`` of ``there`` rows reaches, with a margin."""
+    return min(1.0, MARGIN * wanted / max(1, there))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.folds import held_out, learnable
+from lodestone.llm.folds import held_out, learnable, place, share
 
 #: Bounds of what is learned from, in documents, and characters of a document to be chosen.
 LABELLED, POOL, TRAIN_CHARS = 4000, 3000, 20_000
@@ -143,12 +143,18 @@ def _features(texts: list, sources: list, langs: list) -> tuple[np.ndarray, np.n
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality") -> CoTrained:
     """A model trained on the bounded sample."""
-    y = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("l_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    y = labels.where(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(F.col(id_col).alias("l_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    there, all_docs = labels.count(), docs.count()
+    # both samples are the first by place; their ids, never more than the bounds, go to the documents
+    chosen = y.where(place("l_id") < share(LABELLED, there)).orderBy(place("l_id"), "l_id").limit(LABELLED)
     d = docs.where(learnable(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
     d = d.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).cast("string").alias("s"), F.col(lang_col).cast("string").alias("g"))
-    d = d.join(y, F.col("i") == F.col("l_id"), "left").drop("l_id").withColumn("h", F.xxhash64("i"))
-    known = d.where("y is not null").orderBy("h", "t").limit(LABELLED).collect()
-    pool = d.where("y is null").orderBy("h", "t").limit(POOL).collect()
+    known = d.join(F.broadcast(chosen), F.col("i") == F.col("l_id")).select("i", "t", "s", "g", "y").limit(2 * LABELLED).collect()
+    reach = share(POOL, all_docs)
+    taken = y.where(place("l_id") < reach).select("l_id")
+    pool = d.where(place("i") < reach).join(taken, F.col("i") == F.col("l_id"), "left_anti").limit(2 * POOL).collect()
+    order = lambda r: (r.i, r.t)
+    known, pool = sorted(known, key=order), sorted(pool, key=order)[:POOL]
     target = np.array([r.y for r in known], float)
     model = CoTrained(float(target.mean()) if len(known) else 1.0)
     if not 0 < target.sum() < len(target):
