@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestone.llm.folds import held_out, learnable
+from lodestone.llm.folds import held_out, learnable, place, share
 
 PASSAGE, GRAMS, BUCKETS, DIM = 4, (3, 4, 5), 1 << 17, 8
 #: Bounds of what is learned from: documents of a class, and characters of a document to be chosen.
@@ -177,11 +176,13 @@ class Model:
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model trained on the bounded sample."""
-    y = labels.where(F.col(label_col).isNotNull() & learnable(id_col)).groupBy(F.col(id_col).alias("l_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    d = docs.where(learnable(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
-    d = d.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(y, F.col("i") == F.col("l_id"))
-    by = Window.partitionBy("y").orderBy(F.xxhash64("i"), "t")
-    rows = d.withColumn("rn", F.row_number().over(by)).where((F.col("rn") <= PER_CLASS) & F.col("y").isin(0, 1)).select("i", "t", "y").collect()
+    y = labels.where(F.col(label_col).isin(0, 1) & learnable(id_col)).groupBy(F.col(id_col).alias("l_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    d = docs.where(learnable(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS)).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    rows = []
+    for c, there in sorted(tuple(r) for r in y.groupBy("y").count().collect()):
+        # the first of a class by place; their ids, never more than the bound, go to the documents
+        chosen = y.where((F.col("y") == c) & (place("l_id") < share(PER_CLASS, there))).orderBy(place("l_id"), "l_id").limit(PER_CLASS)
+        rows += d.join(F.broadcast(chosen), F.col("i") == F.col("l_id")).select("i", "t", "y").limit(2 * PER_CLASS).collect()
     rows.sort(key=lambda r: (r.y, r.i, r.t))
     label = np.array([r.y for r in rows], np.int64)
     model = Model(float(label.mean()) if len(label) else 0.0)
