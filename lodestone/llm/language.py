@@ -15,6 +15,7 @@ rows are scored alike; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestone.llm.folds import held_out, learnable
+from lodestone.llm.folds import held_out, learnable, place, share
 
 WINDOW, HIDDEN = 64, 8
 #: Bounds of what is learned from: documents of a language, pieces of a document, characters of a piece, languages.
@@ -202,15 +202,20 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     size = F.greatest(F.length(text_col) - PIECE_CHARS + 1, F.lit(1))
     pieces = [F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), size) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)]
     d = docs.where(learnable(id_col) & F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull())
-    d = d.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.array(*pieces).alias("pieces"))
-    near = Window.partitionBy("lang").orderBy("h")
-    rows = d.withColumn("rn", F.row_number().over(near)).where(F.col("rn") <= PER_LANGUAGE).select("lang", "h", "pieces").limit(LANGUAGES * PER_LANGUAGE).collect()
+    d = d.select(F.col(lang_col).alias("lang"), place(id_col).alias("p"), F.array(*pieces).alias("pieces"))
+    # the first of a language by place: a share of it by its count, cut to the bound here
+    counts = dict(tuple(r) for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col)).count().limit(LANGUAGES).collect())
+    if not counts:
+        return None
+    reach = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, share(PER_LANGUAGE, n))])
+    found = d.where(F.col("p") < F.element_at(reach, F.col("lang"))).collect()
+    found.sort(key=lambda r: (r.lang, r.p, r.pieces))
+    rows = [r for _, g in itertools.groupby(found, key=lambda r: r.lang) for r in itertools.islice(g, PER_LANGUAGE)]
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None
     net = Network(languages)
     known = {x: i for i, x in enumerate(languages)}
-    rows.sort(key=lambda r: (r.lang, r.h, r.pieces))
     net.train(*_windows([(p, known[r.lang]) for r in rows for p in r.pieces]))
     return net
 
