@@ -16,7 +16,7 @@ from lodestone import __version__
 from lodestone.operators import entities, merge
 from lodestone.operators.linkage import LinkConfig, link
 from lodestone.plans.checker import DataQualityChecker
-from lodestone.plans.config import Config, comparison_spec, convert, fingerprint, plain
+from lodestone.plans.config import Config, comparison_spec, plain
 from lodestone.sources.load import load
 from lodestone.sources.sinks import linkage_audit, publish, write_text_atomic
 
@@ -196,7 +196,5 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         return 2
 
 
-__all__ = ["Config", "check_overrides", "convert", "fingerprint", "main", "parser"]
-
 if __name__ == "__main__":
     sys.exit(main())

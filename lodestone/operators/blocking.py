@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import col, filled, present, quote
+from lodestone.functions.columns import col, present, quote
 
 ID_L, ID_R = "__id_l__", "__id_r__"
 
@@ -84,6 +84,3 @@ def candidates(df: DataFrame, id_column: str, rules: Sequence[Sequence[str]], co
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-__all__ = ["ID_L", "ID_R", "blocks", "candidates", "filled", "pair_bounds"]

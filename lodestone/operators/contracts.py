@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import col, key, present, quote
+from lodestone.functions.columns import key, present, quote
 
 OPERATORS = {
     "eq": lambda a, b: a == b,
@@ -69,6 +69,3 @@ def schema_policy(df: DataFrame, expected: Mapping[str, str], **allowed: bool) -
     rows = [("addition", c, None, None) for c in found["additions"]] + [("removal", c, None, None) for c in found["removals"]]
     rows += [("type_change", x["column"], x["expected"], x["actual"]) for x in found["type_changes"]]
     return df.sparkSession.createDataFrame(rows, "kind string, column string, expected string, actual string")
-
-
-__all__ = ["OPERATORS", "col", "comparison_count", "comparison_violation", "foreign_key_count", "foreign_key_violations", "schema_differences", "schema_policy"]

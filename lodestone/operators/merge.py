@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.functions.columns import col, filled, is_float, present, quote, strip, type_of
+from lodestone.functions.columns import col, filled, is_float, strip, type_of
 from lodestone.operators.linkage import LinkageResult, LinkConfig, link
 
 STRATEGIES = ("survivor", "first_non_null", "most_frequent", "latest")
@@ -189,14 +189,12 @@ def audit(out: DataFrame, r: DataFrame, id_column: str, config: ConsolidationCon
         return r.sparkSession.createDataFrame([], schema)
     rows = []
     for i, c, rule in told:
-        had = present(r, c)
         before = F.when(F.col(f"s{i}").isNotNull() & (strip(F.col(f"s{i}").cast("string")) != "") & (F.col(f"s{i}").cast("string") != "NaN"), F.col(f"s{i}"))
         after = F.col(f"m{i}.value")
         changed = after.isNotNull() & ~before.eqNullSafe(after)
         action = F.when(~changed, "retained").when(before.isNull(), "filled").otherwise("replaced")
         donor = F.when(after.isNotNull(), F.col(f"m{i}.donor"))
         rows.append(F.struct(F.lit(c).alias("column"), F.lit(rule.strategy).alias("strategy"), action.alias("action"), donor.alias("donor_id"), changed.alias("changed")))
-        del had
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.when(filled(r, c), _text(r, c)).alias("v")) for _, c, _ in told]))
     long = r.select("__cluster", "__rank", col(id_column).alias("d"), cells.alias("x")).where("x.v is not null")
     seen = long.groupBy(F.col("__cluster").alias("sc"), F.col("x.column").alias("scol")).agg(
@@ -232,6 +230,3 @@ def default_merge(df: DataFrame, id_column: str) -> ConsolidationConfig:
     """Every column but the id takes the first present value; completeness counts all of them."""
     names = tuple(c for c in df.columns if c != id_column)
     return ConsolidationConfig((), names, {c: MergeRule("first_non_null") for c in names})
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("quote", "annotations")]

@@ -8,9 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from lodestone.functions.columns import col, family, key, present, present_expr, quote, strip, type_of
+from lodestone.functions.columns import col, family, key, present, strip, type_of
 
 #: Columns up to which distinct values are counted by one multi-distinct aggregate.
 MULTI_DISTINCT = 8

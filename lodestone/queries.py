@@ -6,9 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestone.functions.columns import col, normalize_nested
+from lodestone.functions.columns import matches_family, normalize_nested
 from lodestone.functions.strings import StringNormalization, normalize
 from lodestone.operators import contracts, entities, merge, profile
 from lodestone.operators.blocking import candidates, pair_bounds
@@ -201,8 +200,6 @@ def freshness_string_offsets(spark, sf):
 @query("SELECT count(*) AS row_count, (count(*) < 1)::BIGINT AS too_few, 1::BIGINT AS missing_required, 1::BIGINT AS dtype_mismatches FROM orders")
 def dataset_contract(spark, sf):
     o = table(spark, sf, "orders")
-    from lodestone.functions.columns import matches_family
-
     need, expected = ["o_orderkey", "no_such_column"], {"o_orderkey": "integer", "o_totalprice": "double", "o_orderstatus": "numeric", "o_orderdate": "datetime"}
     types = {f.name: f.dataType for f in o.schema}
     wrong = sum(not matches_family(types[c], e) for c, e in expected.items())
@@ -534,6 +531,3 @@ def full_check(spark, sf):
 
     checks = CheckConfig(column_ranges={"o_totalprice": ColumnRange(0, 300000)}, freshness=True, freshness_columns=["o_orderdate"])
     return DataQualityChecker(table(spark, sf, "orders"), Config(checks=checks)).run().to_dataframe(spark)
-
-
-__all__ = ["ORACLE_SQL", "QUERIES", "Window", "col"]
