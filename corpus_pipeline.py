@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, mixing, quality, simhash, token_output
 from lodestone.plans.staging import new_path, stage
 
-#: Near-duplicates in the pipeline: five-word shingles, a similarity of 0.8 or more, fingerprints of 256 bits.
+#: Near-duplicates in the pipeline: five-word shingles, a similarity of 0.8 or more of their sets, fingerprints of 256 bits.
 SHINGLE_WORDS, SIMILARITY, WIDE = 5, 0.8, 4
 
 

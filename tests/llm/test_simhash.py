@@ -130,3 +130,49 @@ def test_dense_groups_hang_together():
     fps[250:] = ~fps[250:]
     a, b = simhash.links(fps, np.zeros(500, int), np.zeros(500, int), 40)
     assert len(a) == 498 and set(b.tolist()) == {0, 250}
+
+
+def brute_similar(rows, k, similarity):
+    """Components of the graph of pairs whose sets of shingles have this Jaccard similarity."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) * 10 >= round(similarity * 10) * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    out = []
+    for i, (doc_id, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None]
+        out.append((doc_id, min(ids, default=None)))
+    return sorted(out, key=str)
+
+
+def test_similarity_is_that_of_the_sets(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    rows = []
+    for i in range(60):  # changes that lead to similarities around 0.8, some of them along chains
+        base = [word() for _ in range(rng.randint(6, 150))]
+        for c in range(4):
+            rows.append((10 * i + c, " ".join(base)))
+            for _ in range(rng.randint(1, max(1, len(base) // 40))):
+                base[rng.randrange(len(base))] = word()
+    shared = [word() for _ in range(60)]
+    for i in range(60):  # a common passage, and a crowd of near copies
+        rows.append((1000 + i, " ".join(shared + [word() for _ in range(rng.choice([8, 12, 14, 30]))])))
+    rows += [(2000, None), (2001, " "), (None, rows[3][1]), (5, rows[0][1]), (5, rows[0][1])]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for frequent in (3, 10**9):
+        monkeypatch.setattr(simhash, "FREQUENT", frequent)
+        got = simhash.near_duplicates(docs, k=5, wide=4, similarity=0.8).collect()
+        assert sorted([(r.doc_id, r.component_id) for r in got], key=str) == brute_similar(rows, 5, 0.8)
