@@ -176,3 +176,15 @@ def test_similarity_is_that_of_the_sets(spark, monkeypatch):
         monkeypatch.setattr(simhash, "FREQUENT", frequent)
         got = simhash.near_duplicates(docs, k=5, wide=4, similarity=0.8).collect()
         assert sorted([(r.doc_id, r.component_id) for r in got], key=str) == brute_similar(rows, 5, 0.8)
+
+
+def test_repeated_shingles_count_once(spark):
+    w = lambda name, n: [f"{name}{i}" for i in range(n)]
+    line = w("line", 8)
+    rows = [w("a", 100), w("a", 100) + w("a", 20) * 10]  # the same set
+    rows += [w("b", 60) + line * 20, w("c", 60) + line * 20]  # unrelated, with a repeated line
+    rows += [w("d", 8) + ["x"], w("d", 8) + ["y"] * 30]  # 8 of 10
+    rows += [w("e", 79) + w("f", 11), (w("e", 79) + w("g", 10)) * 3]  # 79 of 100
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, k=1, wide=4, similarity=0.8).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
