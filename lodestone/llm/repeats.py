@@ -11,13 +11,13 @@ one anchor is a segment.  Equal windows have equal anchors at equal offsets, so
 segment whose anchor occurs once in the corpus cannot repeat and is never sent.
 
 1. Documents are dealt into chunks of about ``chunk_bytes`` by a hash of their id.
-   Whole-text copies of a smaller id need no search.
-2. Each chunk sends the distinct anchor hashes it holds; the buckets of hashes reply
-   to each chunk which of them repeat, and which are hot.
-3. Each chunk sends its segments with repeated anchors, equal ones once (the later ones
-   are already known to go).  Segments of a hot anchor travel as single windows keyed
-   by the window's own hash, so no key gathers more than a few rows of each chunk.
-4. Each bucket of segments radix-sorts their windows and replies the spans that go.
+   Whole-text copies of a smaller id need no search; a chunk sends one row for each distinct text.
+2. Each chunk sends the distinct anchor hashes it holds, with their counts; the sums tell which repeat.
+3. Each chunk sends its segments with repeated anchors, equal ones once (the later ones are already
+   known to go).  They are dealt by anchor.  Segments of a hot anchor are dealt by their own bytes first, so
+   that equal ones of all chunks become one, and only then by anchor; those of a very hot anchor travel as single windows,
+   dealt by their bytes, so that no task gathers them.
+4. Each task radix-sorts the windows of its segments and sends back the spans that go.
 
 The text is shuffled once and read three times from the same exchange.
 
@@ -29,17 +29,20 @@ after its first; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.staging import stage
+
 WINDOW, GRAM = 100, 32
 CHUNK_BYTES = 4 << 20
-#: Occurrences from which an anchor's windows travel one by one.
-HOT = 4096
+#: Occurrences of an anchor above which equal segments are joined first, and above which its windows travel one by one.
+HOT, VERY_HOT = 4096, 1 << 19
 #: Bytes hashed, and windows sorted, at once: they bound a task's memory.
 SLICE, SORT_ROWS = 1 << 19, 1 << 17
 FIRST = -(1 << 63)
@@ -112,21 +115,30 @@ def anchor_runs(buf: np.ndarray, lengths: np.ndarray, window: int, gram: int) ->
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
+def radix_order(*keys: np.ndarray) -> np.ndarray:
+    """The stable order of rows by ``keys``, the least significant first, by counting sorts of 16-bit pieces."""
+    order = np.arange(len(keys[0]))
+    for key in keys:
+        key = key.astype(np.uint64)
+        spread = int(np.bitwise_or.reduce(key ^ key[0])) if len(key) else 0
+        for shift in range(0, 64, 16):
+            if spread >> shift & 0xFFFF:  # numpy sorts 16-bit integers stably by radix
+                order = order[np.argsort((key >> np.uint64(shift)).astype(np.uint16)[order], kind="stable")]
+    return order
+
+
 def refine(group: np.ndarray, digits) -> tuple[np.ndarray, np.ndarray]:
-    """Most-significant-digit passes: rows that share ``group`` and all of ``digits`` (arrays by depth, or
-    functions of row numbers) stay together.  Returns the rows in groups of two or more, and their group."""
-    rows = np.arange(len(group))
-    gid = group
+    """Most-significant-digit radix passes: rows that share ``group`` and all of ``digits`` (functions of row numbers,
+    by depth) stay together.  Returns the rows in groups of two or more, and their group."""
+    rows, gid = np.arange(len(group)), np.asarray(group)
     for digit in [None, *digits]:
-        if digit is not None:
-            d = digit(rows)
-            order = np.lexsort((d, gid))
-            gid, d, rows = gid[order], d[order], rows[order]
-            new = np.r_[True, (gid[1:] != gid[:-1]) | (d[1:] != d[:-1])]
-        else:
-            order = np.argsort(gid, kind="stable")
-            gid, rows = gid[order], rows[order]
-            new = np.r_[True, gid[1:] != gid[:-1]]
+        d = None if digit is None else digit(rows)
+        order = radix_order(gid) if d is None else radix_order(d, gid)
+        gid, rows = gid[order], rows[order]
+        new = np.r_[True, gid[1:] != gid[:-1]]
+        if d is not None:
+            d = d[order]
+            new[1:] |= d[1:] != d[:-1]
         if not len(rows):
             break
         gid = np.cumsum(new) - 1
@@ -150,41 +162,15 @@ def _flat(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _pieces(values: np.ndarray) -> list[tuple[int, int]]:
-    """Begin and end of each run of equal values."""
-    if not len(values):
-        return []
-    cut = [*np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist(), len(values)]
-    return list(zip(cut, cut[1:], strict=False))
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    return struct.pack("<I", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) + a.tobytes() for a in arrays)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    (n,), at, out = struct.unpack_from("<I", blob), 4, []
-    for _ in range(n):
-        kind, k = struct.unpack_from("<2sQ", blob, at)
-        kind = np.dtype(kind.decode())
-        out.append(np.frombuffer(blob, kind, k, at + 10))
-        at += 10 + k * kind.itemsize
-    return out
-
-
-def _joined(blobs) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True)]
-
-
 class Chunk:
-    """The documents of one chunk in their order: (id order, text)."""
+    """The documents of one chunk in their order: (id order, text).  ``first``: the smallest id order of a repeated text."""
 
-    def __init__(self, table: pa.Table, copies: set[tuple[int, str]]):
-        rows = sorted(zip(table["o"].to_pylist(), table["body"].to_pylist(), table["doc_id"].to_pylist(), strict=True), key=lambda r: r[:2])
-        self.ids, self.bodies = [r[2] for r in rows], [r[1] for r in rows]
+    def __init__(self, table: pa.Table, first: dict[bytes, int]):
+        columns = [table[c].to_pylist() for c in ("o", "body", "sha", "doc_id")]
+        rows = sorted(zip(*columns, strict=True), key=lambda r: r[:2])
+        self.ids, self.bodies = [r[3] for r in rows], [r[1] for r in rows]
         self.order = np.array([r[0] for r in rows], np.int64)
-        ids = {o for o, _ in copies}
-        self.copy = np.array([r[0] in ids and (r[0], hashlib.sha256(r[1]).hexdigest()) in copies for r in rows], bool)
+        self.copy = np.array([first.get(r[2], r[0]) < r[0] for r in rows], bool)
 
     def search(self, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Runs]:
         """The buffer of all texts that need a search, their row numbers and starts, and the segments."""
@@ -194,173 +180,247 @@ class Chunk:
         return buf, row, np.cumsum(length) - length, anchor_runs(buf, length, window, gram)
 
 
-_ROWS = pa.schema([("dest", pa.int64()), ("blob", pa.binary())])
-_SQL = "dest long, blob binary"
-
-
-def _table(rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=_ROWS)
+#: What travels: segments by anchor, segments by their bytes, single windows, and spans that go (their end is ``place + n``).
+BY_ANCHOR, BY_BYTES, ALONE, SPAN = range(4)
+_ROW = pa.schema([
+    ("route", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("o", pa.int64()), ("place", pa.int64()), ("chunk", pa.int64()),
+    ("n", pa.int64()), ("lead", pa.int32()), ("body", pa.binary()),
+])
+_ROW_SQL = "route long, kind int, key long, o long, place long, chunk long, n long, lead int, body binary"
+_ANCHOR_SQL = "key long, n long, chunk long"
+_SPAN_SQL = "chunk long, a long, b long"
 
 
-def _copies(table: pa.Table) -> set[tuple[int, str]]:
-    return {x for x in zip(table["c_o"].to_pylist(), table["c_sha"].to_pylist(), strict=True) if x[0] is not None}
+def _bodies(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """Pieces of ``buf`` as binaries, without a loop."""
+    ends = np.r_[0, np.cumsum(length)].astype(np.int32)
+    data = np.ascontiguousarray(buf[_flat(start, length)])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
-def send_anchors(chunk: int, docs: Chunk, buckets: int, window: int, gram: int) -> list[tuple[int, bytes]]:
-    runs = docs.search(window, gram)[3]
-    key, n = np.unique(runs.key, return_counts=True)
-    bucket = key % np.uint64(buckets)
-    by = np.argsort(bucket, kind="stable")
-    key, n, bucket = key[by], n[by].astype(np.uint32), bucket[by]
-    return [(int(bucket[a]), _pack(key[a:b], n[a:b], np.full(b - a, chunk, np.int64))) for a, b in _pieces(bucket)]
+def _rows(kind: int, route, key, o, place, chunk, n, lead, body: pa.Array | None = None) -> pa.RecordBatch:
+    k = len(place)
+    arrays = [route.astype(np.uint64).view(np.int64), np.full(k, kind, np.int32), key.astype(np.uint64).view(np.int64), o, place, chunk, n.astype(np.int64), lead.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.nulls(k, pa.binary()) if body is None else body], schema=_ROW)
 
 
-def reply_anchors(blobs: list[bytes], hot: int) -> list[tuple[int, bytes]]:
-    key, n, chunk = _joined(blobs)
-    _, which = np.unique(key, return_inverse=True)
-    total = np.bincount(which, weights=n)[which]
-    keep = total > 1
-    key, chunk, total = key[keep], chunk[keep], total[keep]
-    by = np.argsort(chunk, kind="stable")
-    key, chunk, flag = key[by], chunk[by], (total[by] > hot).astype(np.uint8)
-    return [(int(chunk[a]), _pack(key[a:b], flag[a:b])) for a, b in _pieces(chunk)]
+def _spans(chunk: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    z = np.zeros(len(a), np.int64)
+    return _rows(SPAN, _mixed(chunk.astype(np.uint64) + np.uint64(1)), z, z, a, chunk, b - a, z)
 
 
-def send_segments(chunk: int, docs: Chunk, blobs: list[bytes], buckets: int, window: int, gram: int) -> list[tuple[int, bytes]]:
-    if not blobs:
-        return []
+def _hashed(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each piece of ``buf``."""
+    digest = length.astype(np.uint64)
+    up, _ = _power_tables(SLICE)
+    live = np.arange(len(start))
+    for j in range(int(length.max(initial=0))):
+        live = live[length[live] > j]
+        digest[live] += (buf[start[live] + j].astype(np.uint64) + np.uint64(1)) * up[j + 1]
+    return _mixed(digest)
+
+
+def _firsts_of_equal(buf, start, length, label, order, place) -> np.ndarray:
+    """For each piece of ``buf`` the index of the first piece (by order, place) of its ``label`` and bytes."""
+    first = np.arange(len(start))
+    rows, gid = refine(_hashed(buf, start, length), [lambda r: label[r]])
+    if not len(rows):
+        return first
+    heads, later = _firsts(rows, gid, order, place)
+    head = np.zeros(len(start), np.int64)
+    head[rows] = gid
+    of = np.zeros(int(gid.max()) + 1, np.int64)
+    of[head[heads]] = heads
+    twin = of[head[later]]
+    fits = length[later] == length[twin]
+    later, twin = later[fits], twin[fits]
+    for i in range(0, len(later), SORT_ROWS):  # equal hashes are compared
+        x, y = later[i : i + SORT_ROWS], twin[i : i + SORT_ROWS]
+        same = buf[_flat(start[x], length[x])] == buf[_flat(start[y], length[x])]
+        equal = np.add.reduceat(~same, np.cumsum(length[x]) - length[x]) == 0
+        first[x[equal]] = y[equal]
+    return first
+
+
+def send_anchors(chunk: int, docs: Chunk, window: int, gram: int) -> pa.Table:
+    key, n = np.unique(docs.search(window, gram)[3].key, return_counts=True)
+    return pa.table({"key": key.view(np.int64), "n": n.astype(np.int64), "chunk": np.full(len(key), chunk, np.int64)})
+
+
+def send_segments(chunk: int, docs: Chunk, known: np.ndarray, total: np.ndarray, window: int, gram: int, hot: int, very_hot: int) -> pa.Table:
+    """Segments whose anchor is among ``known`` (hashes, with their numbers of occurrences)."""
+    if not len(known):
+        return _ROW.empty_table()
     buf, row, base, runs = docs.search(window, gram)
-    known, flag = _joined(blobs)
-    by = np.argsort(known)
-    known, flag = known[by], flag[by].astype(bool)
+    by = radix_order(known)
+    known, total = known[by], total[by]
     at = np.minimum(np.searchsorted(known, runs.key), len(known) - 1)
     again = known[at] == runs.key
-    start, n, anchor, key, hot = runs.start[again], runs.n[again], runs.anchor[again], runs.key[again], flag[at[again]]
-    if hot.any():  # one window a segment, keyed by its own bytes
-        single = _flat(start[hot], n[hot])
-        up, down = _power_tables(SLICE + window)
-        digest = np.zeros(len(single), np.uint64)
-        for j in range(window):
-            digest += (buf[single + j].astype(np.uint64) + np.uint64(1)) * up[j]
-        keep = ~hot
-        start, n, anchor, key = (np.concatenate(x) for x in ((start[keep], single), (n[keep], np.ones(len(single), np.int64)), (anchor[keep], single), (key[keep], _mixed(digest))))
-    length = n + window - 1
+    start, n, anchor, key, count = runs.start[again], runs.n[again], runs.anchor[again], runs.key[again], total[at[again]]
+    length, lead = n + window - 1, anchor - start
     owner = np.searchsorted(base, start, side="right") - 1
-    place = (row[owner] << 40) | (start - base[owner])
-    lead = anchor - start
-    # equal segments of this chunk: the first stands for all
-    digest = np.zeros(len(start), np.uint64)
-    up, _ = _power_tables(SLICE + window)
-    for j in range(int(length.max(initial=0))):
-        live = length > j
-        digest[live] += (buf[start[live] + j].astype(np.uint64) + np.uint64(1)) * up[j]
-    rows, gid = refine(key.astype(np.uint64), [lambda r: digest[r], lambda r: (n * 256 + lead)[r]])
-    first, later = _firsts(rows, gid, docs.order[row[owner]], place)
-    head = np.zeros(len(start), np.int64)
-    head[rows] = gid
-    of = np.zeros(int(gid.max(initial=-1)) + 1, np.int64)
-    of[head[first]] = first
-    twin = of[head[later]] if len(later) else later
-    gone = np.zeros(len(start), bool)
-    if len(later):
-        same = buf[_flat(start[later], length[later])] == buf[_flat(start[twin], length[later])]
-        gone[later[np.add.reduceat(~same, np.cumsum(length[later]) - length[later]) == 0]] = True
-    out = [(-chunk - 1, _pack(place[gone], place[gone] + length[gone]))] if gone.any() else []
-    send = np.flatnonzero(~gone)
-    bucket = key[send] % np.uint64(buckets)
-    send = send[np.argsort(bucket, kind="stable")]
-    bucket = np.sort(bucket)
-    for a, b in _pieces(bucket):
-        s = send[a:b]
-        body = buf[_flat(start[s], length[s])]
-        out.append((int(bucket[a]), _pack(key[s], docs.order[row[owner[s]]], place[s], np.full(len(s), chunk, np.int64), n[s].astype(np.uint8), lead[s].astype(np.uint8), body)))
-    return out
-
-
-def repeated_spans(blobs: list[bytes], window: int, gram: int) -> list[tuple[int, bytes]]:
-    """Of a bucket of segments, the spans that go, by chunk."""
-    key, order, place, chunk, n, lead, body = _joined(blobs)
-    n, lead = n.astype(np.int64), lead.astype(np.int64)
-    length = n + window - 1
-    begin = np.cumsum(length) - length
+    place, order = (row[owner] << 40) | (start - base[owner]), docs.order[row[owner]]
+    gone = _firsts_of_equal(buf, start, length, lead, order, place) != np.arange(len(start))
+    chunks = np.full(len(start), chunk, np.int64)
+    out = [_spans(chunks[gone], place[gone], place[gone] + length[gone])]
+    for kind, part in ((BY_ANCHOR, count <= hot), (BY_BYTES, (count > hot) & (count <= very_hot)), (ALONE, count > very_hot)):
+        s = np.flatnonzero(part & ~gone)
+        if not len(s):
+            continue
+        if kind == ALONE:
+            at, owner = _flat(start[s], n[s]), np.repeat(s, n[s])
+            size = np.full(len(at), window)
+            route = _hashed(buf, at, size)
+            one, zero = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+            out.append(_rows(kind, route, route, order[owner], place[owner] + at - start[owner], chunks[owner], one, zero, _bodies(buf, at, size)))
+        else:
+            route = key[s] if kind == BY_ANCHOR else _hashed(buf, start[s], length[s])
+            out.append(_rows(kind, route, key[s], order[s], place[s], chunks[s], n[s], lead[s], _bodies(buf, start[s], length[s])))
+    return pa.Table.from_batches(out, _ROW)
+
+
+class Segments:
+    """Columns of travelling rows, as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.combine_chunks()
+        self.route, self.kind, self.key, self.order, self.place, self.chunk, self.n, self.lead = (self.table[c].to_numpy().astype(np.int64) for c in _ROW.names[:8])
+        body = self.table["body"].combine_chunks() if isinstance(self.table["body"], pa.ChunkedArray) else self.table["body"]
+        ends = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1, body.offset * 4).astype(np.int64) if len(body) else np.zeros(1, np.int64)
+        self.begin, self.length = ends[:-1], np.diff(ends)
+        self.buf = np.frombuffer(body.buffers()[2] or b"", np.uint8) if len(body) else np.zeros(0, np.uint8)
+
+
+def repeated_spans(rows: Segments, s: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the segments ``s``, with all of their anchors there, the spans ``(chunk, begin, end)`` that go."""
     wide = window - gram
     size = -(-(wide + window) // 8) * 8 + 8
-    _, key = np.unique(key, return_inverse=True)
-    outs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    by_key = np.argsort(key, kind="stable")
-    ends = np.flatnonzero(np.r_[key[by_key][1:] != key[by_key][:-1], True]) + 1 if len(key) else np.zeros(0, np.int64)
-    weight = np.cumsum(n[by_key])
+    _, key = np.unique(rows.key[s], return_inverse=True)
+    by_key = radix_order(key)
+    s, key = s[by_key], key[by_key]
+    ends = np.flatnonzero(np.r_[key[1:] != key[:-1], True]) + 1 if len(key) else np.zeros(0, np.int64)
+    weight = np.cumsum(rows.n[s])
     lo = 0
-    while lo < len(by_key):  # whole keys at a time
+    while lo < len(s):  # whole keys at a time
         limit = (weight[lo - 1] if lo else 0) + SORT_ROWS
         fits = ends[(ends > lo) & (weight[ends - 1] <= limit)]
         hi = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, lo, side="right")])
-        s = by_key[lo:hi]
+        yield from _spans_of_keys(rows, s[lo:hi], key[lo:hi] - key[lo], window, wide, size)
         lo = hi
-        frame = np.zeros((len(s), size), np.uint8)  # anchors in one column
-        r = np.repeat(np.arange(len(s)), length[s])
-        frame[r, _flat(wide - lead[s], length[s])] = body[_flat(begin[s], length[s])]
-        digits = frame.view(">u8").astype(np.uint64)
-        rows, gid = refine(key[s], [lambda r, s=s: (n[s] * 256 + lead[s])[r], *[lambda r, c=c, d=digits: d[r, c] for c in range(digits.shape[1])]])
-        _, later = _firsts(rows, gid, order[s], place[s])
-        outs.append((chunk[s[later]], place[s[later]], place[s[later]] + length[s[later]]))
-        left = np.ones(len(s), bool)
-        left[later] = False
-        heads = np.flatnonzero(left)
-        several = np.bincount(key[s[heads]], minlength=int(key.max()) + 1)[key[s[heads]]] > 1
-        heads = heads[several]  # distinct segments of one anchor: sort their windows
-        for part in np.array_split(heads, 1) if n[s[heads]].sum() <= 4 * SORT_ROWS else _by_key(heads, key[s], n[s]):
-            w = np.repeat(part, n[s[part]])
-            off = _flat(np.zeros(len(part), np.int64), n[s[part]])
-            column = wide - lead[s[w]] + off
-            group = key[s[w]] * (2 * window) + column
-
-            def digit(c, w=w, column=column, frame=frame):
-                def of(r):
-                    at = column[r] + c
-                    d = np.zeros(len(r), np.uint64)
-                    for j in range(min(8, window - c)):
-                        d = (d << np.uint64(8)) | frame[w[r], at + j]
-                    return d
-
-                return of
-
-            rows, gid = refine(group, [digit(c) for c in range(0, window, 8)])
-            at = place[s[w]] + off
-            _, later = _firsts(rows, gid, order[s[w]], at)
-            outs.append((chunk[s[w[later]]], at[later], at[later] + window))
-    if not outs:
-        return []
-    chunk, a, b = (np.concatenate(x) for x in zip(*outs, strict=True))
-    by = np.lexsort((a, chunk))
-    chunk, a, b = chunk[by], a[by], b[by]
-    return [(int(chunk[i]), _pack(*merged(a[i:j], b[i:j]))) for i, j in _pieces(chunk)]
-
-
-def _by_key(heads: np.ndarray, key: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """``heads`` in parts of whole keys."""
-    heads = heads[np.argsort(key[heads], kind="stable")]
-    ends = np.flatnonzero(np.r_[key[heads][1:] != key[heads][:-1], True]) + 1
-    part = np.cumsum(n[heads])[ends - 1] // SORT_ROWS
-    return [heads[a:b] for a, b in zip(np.r_[0, ends[:-1][np.diff(part) > 0]], np.r_[ends[:-1][np.diff(part) > 0], len(heads)], strict=True)]
-
-
-def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of the spans [a, b), as sorted spans that do not touch."""
-    by = np.argsort(a, kind="stable")
-    a, b = a[by], b[by]
-    reach = np.maximum.accumulate(b) if len(b) else b
-    new = np.flatnonzero(np.r_[True, a[1:] > reach[:-1]]) if len(a) else np.zeros(0, np.int64)
-    return a[new], reach[np.r_[new[1:] - 1, len(a) - 1]] if len(a) else b
-
-
-def results(docs: Chunk, blobs: list[bytes], window: int, with_text: bool) -> pa.Table:
+
+
+def _spans_of_keys(rows: Segments, s: np.ndarray, key: np.ndarray, window: int, wide: int, size: int):
+    n, lead, length, order, place, chunk = rows.n[s], rows.lead[s], rows.length[s], rows.order[s], rows.place[s], rows.chunk[s]
+    frame = np.zeros((len(s), size), np.uint8)  # anchors in one column
+    frame[np.repeat(np.arange(len(s)), length), _flat(wide - lead, length)] = rows.buf[_flat(rows.begin[s], length)]
+    digits = frame.view(">u8")
+    found, gid = refine(key, [lambda r: (n * (2 * window) + lead)[r], *[lambda r, c=c: digits[r, c].astype(np.uint64) for c in range(digits.shape[1])]])
+    _, later = _firsts(found, gid, order, place)
+    yield chunk[later], place[later], place[later] + length[later]
+    left = np.ones(len(s), bool)
+    left[later] = False
+    heads = np.flatnonzero(left)
+    several = np.bincount(key[heads], minlength=int(key.max(initial=0)) + 1)[key[heads]] > 1
+    heads = heads[several]  # distinct segments of one anchor: sort their windows
+    low = wide - lead
+    if n[heads].sum() <= 4 * SORT_ROWS:
+        columns = [(0, wide + 1)]
+    else:  # windows at different columns differ: some columns at a time
+        step = max(1, SORT_ROWS // len(heads))
+        columns = [(c, min(wide + 1, c + step)) for c in range(0, wide + 1, step)]
+    for first, last in columns:
+        a, b = np.maximum(low[heads], first), np.minimum(low[heads] + n[heads], last)
+        some = b > a
+        w = np.repeat(heads[some], (b - a)[some])
+        column = _flat(a[some], (b - a)[some])
+
+        def digit(c, w=w, column=column):
+            def of(r):
+                at = column[r] + c
+                d = np.zeros(len(r), np.uint64)
+                for j in range(min(8, window - c)):
+                    d = (d << np.uint64(8)) | frame[w[r], at + j]
+                return d
+
+            return of
+
+        found, gid = refine(key[w] * (2 * window) + column, [digit(c) for c in range(0, window, 8)])
+        at = place[w] + column - low[w]
+        _, later = _firsts(found, gid, order[w], at)
+        yield chunk[w[later]], at[later], at[later] + window
+
+
+def resolve(tables: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (route, o, place) to spans that go; the first of equal ``BY_BYTES`` rows go on, dealt by anchor."""
+
+    def flush(held: list[pa.RecordBatch], end: bool) -> Iterator[pa.RecordBatch]:
+        rows = Segments(pa.Table.from_batches(held, _ROW))
+        if not len(rows.route):
+            return
+        last = rows.route == rows.route[-1]
+        keep = np.zeros(len(last), bool)
+        spans = []
+        for kind in (BY_ANCHOR, BY_BYTES, ALONE):
+            s = np.flatnonzero(rows.kind == kind)
+            if kind == BY_ANCHOR:
+                if not end:
+                    keep[s] = last[s]
+                    s = s[~last[s]]
+                spans += repeated_spans(rows, s, window, gram)
+                continue
+            if not len(s):
+                continue
+            first = s[_firsts_of_equal(rows.buf, rows.begin[s], rows.length[s], rows.lead[s], rows.order[s], rows.place[s])]
+            later = first != s
+            spans.append((rows.chunk[s[later]], rows.place[s[later]], rows.place[s[later]] + rows.length[s[later]]))
+            s = s[~later]
+            if not end:
+                keep[s] = last[s]
+                s = s[~last[s]]
+            if kind == BY_BYTES:
+                for i in range(0, len(s), SORT_ROWS):
+                    part = s[i : i + SORT_ROWS]
+                    moved = _rows(BY_ANCHOR, *(x[part] for x in (rows.key, rows.key, rows.order, rows.place, rows.chunk, rows.n, rows.lead)), _bodies(rows.buf, rows.begin[part], rows.length[part]))
+                    yield moved
+        passed = np.flatnonzero(rows.kind == SPAN)
+        spans.append((rows.chunk[passed], rows.place[passed], rows.place[passed] + rows.n[passed]))
+        chunk, a, b = (np.concatenate(x) for x in zip(*spans, strict=True))
+        by = radix_order(a, chunk)  # spans that touch become one
+        yield _spans(*merged(chunk[by], a[by], b[by]))
+        rest[:] = rows.table.filter(pa.array(keep)).to_batches()
+
+    rest: list[pa.RecordBatch] = []
+    size = 0
+    for batch in tables:
+        for i in range(0, batch.num_rows, SORT_ROWS):
+            part = batch.slice(i, SORT_ROWS)
+            rest.append(part)
+            size += part.num_rows
+            if size >= SORT_ROWS:
+                yield from flush(list(rest), False)
+                size = sum(x.num_rows for x in rest) // 2  # what is left of one route may fill a batch
+    if rest:
+        yield from flush(list(rest), True)
+
+
+def merged(chunk: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of the spans [a, b) of each chunk, sorted by (chunk, a), as spans that do not touch."""
+    cut = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]) if len(a) else np.zeros(0, np.int64)
+    parts = []
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        x, reach = a[lo:hi], np.maximum.accumulate(b[lo:hi])
+        new = np.flatnonzero(np.r_[True, x[1:] > reach[:-1]])
+        parts.append((chunk[lo + new], x[new], reach[np.r_[new[1:] - 1, hi - lo - 1]]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (chunk, a, b)
+
+
+def results(docs: Chunk, a: np.ndarray, b: np.ndarray, window: int, with_text: bool) -> pa.Table:
     spans: list[list[tuple[int, int]]] = [[] for _ in docs.bodies]
-    if blobs:
-        a, b = merged(*_joined(blobs))
-        base = (a >> 40) << 40
-        for row, x, y in zip((a >> 40).tolist(), (a - base).tolist(), (b - base).tolist(), strict=True):
-            spans[row].append((x, y))
+    by = radix_order(a)
+    _, a, b = merged(np.zeros(len(a), np.int64), a[by], b[by])
+    base = (a >> 40) << 40
+    for row, x, y in zip((a >> 40).tolist(), (a - base).tolist(), (b - base).tolist(), strict=True):
+        spans[row].append((x, y))
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
     for i, body in enumerate(docs.bodies):
         mine = [(0, len(body))] if docs.copy[i] and len(body) >= window else spans[i]
@@ -389,47 +449,51 @@ _RESULT_SQL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha
 
 def remove_repeats(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
-    chunk_bytes: int = CHUNK_BYTES, hot: int = HOT, with_text: bool = True,
+    chunk_bytes: int = CHUNK_BYTES, hot: int = HOT, very_hot: int = VERY_HOT, with_text: bool = True,
 ) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id``, counts, the spans that go and the bytes that stay
     (``spans`` and ``kept`` are null unless ``with_text``)."""
+    if not 8 <= gram <= window <= 4096:
+        raise ValueError("8 <= gram <= window <= 4096 is needed")
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("o"), body.alias("body"))
     total = d.agg(F.sum(F.length("body"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    d = d.withColumn("chunk", F.pmod(F.xxhash64("o"), F.lit(chunks)))
+    d = d.withColumn("chunk", F.pmod(F.xxhash64("o"), F.lit(chunks))).withColumn("sha", F.unhex(F.sha2("body", 256)))
 
-    same = d.select("chunk", "o", F.sha2("body", 256).alias("sha"))
-    first = same.groupBy(F.col("sha").alias("s")).agg(F.min("o").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = same.join(first, F.col("sha") == F.col("s")).where("o > first").select("chunk", F.col("o").alias("c_o"), F.col("sha").alias("c_sha")).distinct()
-
-    no_blob = F.lit(None).cast("binary").alias("blob")
-
-    def chunked(run, replies: DataFrame | None, schema: str):
-        side = copies.select("chunk", "c_o", "c_sha", no_blob)
-        if replies is not None:
-            side = side.unionByName(replies.select(F.col("dest").alias("chunk"), F.lit(None).cast("long").alias("c_o"), F.lit(None).cast("string").alias("c_sha"), "blob"))
+    # a row for each chunk and distinct text, with the text's smallest id where it is smaller elsewhere or repeated here
+    same = d.where(F.length("body") >= window).groupBy("chunk", "sha").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n"))
+    first = same.groupBy(F.col("sha").alias("s")).agg(F.min("o").alias("first"), F.sum("n").alias("all")).where("all > 1")
+    copies = stage(same.join(first, F.col("sha") == F.col("s")).select("chunk", "sha", "first"), "copies")
 
+    def chunked(run, side: DataFrame, schema: str):
         def of(key, left, right):
-            return run(key[0].as_py(), Chunk(left, _copies(right)), right["blob"].drop_null().to_pylist())
+            told = right.filter(pc.is_valid(right["sha"]))
+            return run(key[0].as_py(), Chunk(left, dict(zip(told["sha"].to_pylist(), told["first"].to_pylist(), strict=True))), right.filter(pc.is_null(right["sha"])))
 
+        side = copies.unionByName(side, allowMissingColumns=True)
         # new names for both sides, which come from one table; the text's exchange is still the same each time
-        text = d.select(F.col("chunk").alias("t_chunk"), *[F.col(c).alias(c) for c in ("doc_id", "o", "body")])
-        side = side.select(F.col("chunk").alias("s_chunk"), *[F.col(c).alias(c) for c in ("c_o", "c_sha", "blob")])
+        text = d.select(F.col("chunk").alias("t_chunk"), *[F.col(c).alias(c) for c in ("doc_id", "o", "body", "sha")])
+        side = side.select(F.col("chunk").alias("s_chunk"), *[F.col(c).alias(c) for c in side.columns if c != "chunk"])
         return text.groupBy("t_chunk").cogroup(side.groupBy("s_chunk")).applyInArrow(of, schema)
 
-    def bucketed(run, rows: DataFrame):
-        def of(key, table):
-            dest, blobs = key[0].as_py(), table["blob"].to_pylist()
-            return _table([(-dest - 1, x) for x in blobs] if dest < 0 else run(blobs))
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition("route").sortWithinPartitions("route", "o", "place")
+        return rows.mapInArrow(lambda batches: resolve(batches, window, gram), _ROW_SQL)
+
+    def columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
+        return [rows[c].to_numpy() for c in names]
+
+    anchors = chunked(lambda c, x, _: send_anchors(c, x, window, gram), d.select("chunk").limit(0), _ANCHOR_SQL).repartition("key")
+    repeated = anchors.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("total")).where("total > 1")
+    repeated = anchors.select("key", "chunk").join(repeated, F.col("key") == F.col("k")).select("chunk", "key", "total")
 
-        return rows.groupBy("dest").applyInArrow(of, _SQL)
+    def segments(c, x, told):
+        known, count = columns(told, "key", "total")
+        return send_segments(c, x, known.astype(np.int64).view(np.uint64), count, window, gram, hot, very_hot)
 
-    anchors = chunked(lambda c, x, _: _table(send_anchors(c, x, chunks, window, gram)), None, _SQL)
-    repeated = bucketed(lambda blobs: reply_anchors(blobs, hot), anchors)
-    segments = chunked(lambda c, x, blobs: _table(send_segments(c, x, blobs, chunks, window, gram)), repeated, _SQL)
-    spans = bucketed(lambda blobs: repeated_spans(blobs, window, gram), segments)
-    return chunked(lambda _, x, blobs: results(x, blobs, window, with_text), spans, _RESULT_SQL)
+    spans = dealt(dealt(chunked(segments, repeated, _ROW_SQL))).select("chunk", F.col("place").alias("a"), (F.col("place") + F.col("n")).alias("b"))
+    return chunked(lambda _, x, told: results(x, *(v.astype(np.int64) for v in columns(told, "a", "b")), window, with_text), spans, _RESULT_SQL)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

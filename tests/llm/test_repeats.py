@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from lodestone.llm import repeats
 
@@ -59,6 +60,39 @@ def test_small_chunks_and_hot_anchors(spark):
     check(spark, cases(), chunk_bytes=5000, hot=3)
 
 
+def test_very_hot_anchors_travel_as_windows(spark):
+    check(spark, cases(), chunk_bytes=5000, hot=3, very_hot=8)
+
+
+def test_windows_of_other_sizes(spark):
+    docs = spark.createDataFrame(cases(), "doc_id long, text string")
+    for window, gram in ((600, 32), (40, 16)):
+        got = repeats.remove_repeats(docs, window=window, gram=gram, chunk_bytes=20_000)
+        assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()], key=str) == brute(cases(), window)
+    with pytest.raises(ValueError, match="window"):
+        repeats.remove_repeats(docs, window=5000)
+
+
+def test_one_text_in_many_chunks(spark, monkeypatch):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(150))
+    rows = [(i, text) for i in range(300)]  # exact copies
+    for i in range(300):  # near copies: equal segments meet across chunks
+        words = text.split()
+        words[rng.randrange(150)] = "other"
+        rows.append((1000 + i, " ".join(words)))
+    monkeypatch.setattr(repeats, "SORT_ROWS", 50)  # routes and keys that fill more than a batch
+    check(spark, rows, chunk_bytes=4000, hot=20)
+    check(spark, rows, chunk_bytes=4000, hot=20, very_hot=100)
+
+
+def test_radix_order_is_stable():
+    rng = np.random.default_rng(3)
+    low, high = rng.integers(0, 1 << 62, 500), rng.integers(0, 3, 500) << 40
+    assert repeats.radix_order(low, high).tolist() == np.lexsort((low, high)).tolist()
+    assert repeats.radix_order(high).tolist() == np.argsort(high, kind="stable").tolist()
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
