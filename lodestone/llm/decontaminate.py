@@ -7,8 +7,9 @@ shingle hashes form its sketch.  An item of ``n`` shingles of which at least
 ``need = ceil(threshold * n)`` occur in a document misses at most ``n - need`` of
 them, so of its ``u - ceil(threshold * u) + 1`` smallest hashes (``u``: the
 partition's upper bound, hence at least ``n - need + 1`` of them) one at least
-is in the document: the MinHash search loses nothing, however long the document.
-Candidates are then verified by exact containment of the shingles as strings.
+is in the document: the MinHash search loses nothing, however long the document.  Only items have sketches: a long document's own
+smallest hashes say nothing about a short item, so all hashes of the document are looked up, and instead of an estimate the bound
+above decides which pairs are candidates.  These are then verified by exact containment of the shingles as strings.
 
 Defined cases: a null or shorter text has no shingles and matches nothing, nor does
 an item of under five words; null ids are ids like any other; rows that share an id
@@ -20,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.plans.staging import stage
+
 WORDS = 5
 THRESHOLD = 0.8
-#: Rows of item shingles that may be broadcast (about 40 bytes each); beyond it the joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows that may be broadcast, and bytes of their texts; beyond it the joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -48,8 +51,11 @@ def _text(k: int) -> Column:
 
 
 def _sized(small: DataFrame, limit: int) -> DataFrame:
-    """Broadcast only what was counted and is within the limit."""
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+    """Broadcast only what was counted and is within the limits of rows and bytes."""
+    texts = [F.octet_length(c) for c, t in small.dtypes if t == "string"]
+    size = sum(texts, F.lit(0).cast("long"))
+    n, held = small.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(small) if n <= limit and held <= BROADCAST_BYTES else small
 
 
 def item_shingles(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
@@ -59,12 +65,12 @@ def item_shingles(items: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def sketches(shingled: DataFrame, threshold: float) -> DataFrame:
-    """Rows ``(h, item_id, need)``: the smallest hashes of each item, as many as its size partition asks for."""
+    """Rows ``(h, item_id)``: the smallest hashes of each item, as many as its size partition asks for."""
     per = shingled.groupBy("item_id").agg(F.sort_array(F.collect_set("h")).alias("hs"))
     n = F.size("hs")
     upper = F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("long")  # sizes (upper/2, upper]
     per = per.withColumn("m", upper - F.ceil(upper * F.lit(threshold)) + 1)
-    return per.select("item_id", F.ceil(n * F.lit(threshold)).alias("need"), F.explode(F.slice("hs", F.lit(1), F.least(F.col("m").cast("int"), n))).alias("h"))
+    return per.select("item_id", F.explode(F.slice("hs", F.lit(1), F.least(F.col("m").cast("int"), n))).alias("h"))
 
 
 def contamination(
@@ -76,11 +82,9 @@ def contamination(
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     known = item_shingles(items, item_id_col, item_text_col, k)
     sketch = _sized(sketches(known, threshold), broadcast_rows)
-    hits = shingles(d, "doc_id", "t", k).select("doc_id", "n", _hash(k).alias("h")).join(sketch, "h")
-    candidates = hits.where("n >= need").select("doc_id", "item_id").distinct()
-
-    few = candidates.select(F.col("doc_id").alias("c")).distinct()
-    near = d.join(few, F.col("doc_id").eqNullSafe(F.col("c")), "left_semi")
+    hits = shingles(d, "doc_id", "t", k).select("doc_id", _hash(k).alias("h")).join(sketch, "h")
+    few = stage(hits.select(F.col("doc_id").alias("c")).distinct(), "candidates")
+    near = d.join(_sized(few, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("c")), "left_semi")
     whole = shingles(near, "doc_id", "t", k).select("doc_id", _text(k).alias("shingle"))
     shared = whole.join(_sized(known.select("item_id", "shingle"), broadcast_rows), "shingle")
     shared = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("shingle").alias("n_shared"))
