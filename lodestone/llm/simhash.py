@@ -7,12 +7,11 @@ words of 64 bits, made of the same hashes mixed with the word's number.  Equal f
 Narrow fingerprints (64 bits) link exactly: two within ``radius`` bits agree on ``m - radius`` of ``m``
 segments, so each node is filed under every choice of ``m - radius`` segments.
 
-Similarity links exactly too, and not by fingerprints: two texts link if the Jaccard similarity of their sets of
-shingle hashes is at least ``similarity``; equal sets are one node.  Sets as similar as that share one, at least, of
-their first ``n - ceil(similarity * n) + 1`` hashes in any order of all hashes (prefix filter).  Hashes frequent in a
-sample come last; the order bears on time only.  Nodes that share such a hash, and whose sizes allow the similarity, are
-compared by their sets.  Of a large group of them, first all are compared with a few hubs; if some are not connected then, all pairs are,
-in tiles.
+Similarity links by the Jaccard similarity of the sets of shingle hashes: equal sets are one node, which has a wide
+fingerprint of its set.  Candidates are found by the same bit-sliced comparison, at a radius that covers all but
+one in a thousand pairs of this similarity, whatever the sets' sizes; nodes are filed under fixed choices of bits, so many that a pair
+at the threshold shares a file with a chance of ``RECALL``.  What hangs together so is a crowd.  Inside a crowd links are exact: all sets
+are compared with one hub's; those that are not linked to it are then compared with all, in tiles.
 
 Only nodes filed together are compared.  There, the bits are stored as vertical planes over blocks of 64
 fingerprints; planes of differences are summed by carry-save adders into counters that are bit planes too, 64
@@ -20,7 +19,7 @@ distances at once, and a block is abandoned once all its distances exceed the ra
 tiles whose pairs are separate work.  Each task sends a forest of links, not pairs.
 
 Defined cases: null text is empty; no word gives fingerprint zero, which links like
-any other; ``component_id`` is the smallest non-null id reachable (null if none);
+any other; ``component_id`` is the smallest non-null id reachable (null if none); rows that share an id are rows of their own;
 repeated rows give repeated rows; extra columns are ignored; empty tables give none.
 """
 
@@ -38,16 +37,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.components import connected_components
-from lodestone.plans.staging import drop_staged, stage
+from lodestone.plans.staging import stage
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a tile of a crowded file, and the mean file size from which finer files are used.
 TILE, MEAN_FILE = 2048, 256
 #: Word operations on so many (fingerprint, block) pairs at once; it bounds a task's memory.
 PAIRS = 1 << 15
-#: Similarity: nodes sharing a hash of which all pairs are compared at once, documents that tell which hashes are frequent
-#: (from how many on, how many hashes at most), and candidates whose ids are broadcast.
-GROUP, SAMPLE_DOCS, FREQUENT, FREQUENT_HASHES, BROADCAST_IDS = 32, 5_000, 3, 100_000, 200_000
+#: Similarity: the chance that a pair at the threshold shares a file, the mean size of a file, and by how many standard
+#: deviations of its distance a pair at the threshold may be further apart than expected.
+RECALL, WIDE_FILE, SLACK = 0.999, 512, 3.0
+#: Rows (about 40 bytes each) that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Sets in a tile of a crowd whose pairs are compared in a task.
 CROWD_TILE = 512
 
@@ -110,6 +111,39 @@ def segment_masks(n: int, radius: int = RADIUS, mean: int = MEAN_FILE) -> list[i
     return [sum(c) for c in itertools.combinations(segments, m - radius)]
 
 
+def agreement(similarity: float) -> float:
+    """The chance that a bit agrees between two large sets of this Jaccard similarity, as it is for equal sizes (the least)."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_of(similarity: Fraction, wide: int) -> int:
+    """A distance of wide fingerprints that pairs of this similarity exceed but rarely.  The chance that a bit differs is the
+    greatest of those of large sets and, counted exactly, of all pairs of small sets."""
+    worst = 1 - agreement(float(similarity))
+    for c in range(1, 41):
+        common = [math.comb(c, i) / 2**c for i in range(c + 1)]
+        most = int(c / similarity) - c  # elements that only one has
+        for x in range(most + 1):
+            y = most - x
+            upper = [[sum(math.comb(z, j) for j in range(z + 1) if 2 * (i + j) > c + z) / 2**z for i in range(c + 1)] for z in (x, y)]
+            worst = max(worst, sum(p * (u * (1 - v) + v * (1 - u)) for p, u, v in zip(common, *upper, strict=True)))
+    n = 64 * wide
+    return math.ceil(n * worst + SLACK * math.sqrt(n * worst * (1 - worst)))
+
+
+def choice_masks(n: int, wide: int, similarity: float, mean: int | None = None) -> list[list[int]]:
+    """For wide fingerprints: masks (one for each word) of fixed choices of bits, more bits for more fingerprints."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / (mean or WIDE_FILE))))
+    share = agreement(similarity) ** bits
+    times = math.ceil(math.log(1 - RECALL) / math.log(1 - share)) if bits else 1
+    rng = np.random.default_rng(SEED)
+    out = []
+    for _ in range(times):
+        chosen = rng.choice(64 * wide, bits, replace=False).tolist()
+        out.append([sum(1 << (b % 64) for b in chosen if b // 64 == w) for w in range(wide)])
+    return out
+
+
 def _planes(fps: np.ndarray) -> np.ndarray:
     """Bit planes of fingerprints (rows, words): row ``b`` holds bit ``b`` of all, 64 of them in a word."""
     padded = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), np.uint64)
@@ -238,11 +272,13 @@ def links(fps: np.ndarray, files: np.ndarray, side: np.ndarray, radius: int) ->
     return child, label[child]
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int | None = None) -> DataFrame:
-    """Rows ``(a, b)`` of nodes whose components are those of all pairs within ``radius`` bits.  ``nodes``: distinct fingerprints ``fp0, ...`` and their names ``node``."""
+def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int | None = None, similarity: float | None = None) -> DataFrame:
+    """Rows ``(a, b)`` of nodes whose components are those of all pairs within ``radius`` bits (with ``similarity``: of those
+    that share a file).  ``nodes``: distinct fingerprints ``fp0, ...`` and their names ``node``."""
     names = [c for c in nodes.columns if c.startswith("fp")]
+    kind = dict(nodes.dtypes)["node"]
     n = nodes.count() if n is None else n
-    masks = [[m] for m in segment_masks(n, radius)]
+    masks = [[m] for m in segment_masks(n, radius)] if similarity is None else choice_masks(n, len(names), similarity)
     signed = [[m - (1 << 64) if m >> 63 else m for m in ms] for ms in masks]
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col(c).bitwiseAND(F.lit(m)) for c, m in zip(names, ms, strict=True)]) for i, ms in enumerate(signed)])
     filed = nodes.select("node", *names, F.explode(keys).alias("file"))
@@ -258,218 +294,106 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, n: int
     work = work.repartition("unit").sortWithinPartitions("unit", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
+        units: list[np.ndarray] = []
 
-        def flush(rows: np.ndarray) -> pa.RecordBatch:
-            fp = np.ascontiguousarray(rows[3:].T).view(np.uint64)
-            a, b = links(fp, rows[1], rows[2], radius)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0][a]), pa.array(rows[0][b])], ["a", "b"])
+        def flush(rows: pa.Table) -> pa.RecordBatch:
+            unit, side, *fp = (rows.column(i).to_numpy() for i in range(1, 3 + len(names)))
+            a, b = links(np.ascontiguousarray(np.stack(fp, 1)).view(np.uint64), unit, side, radius)
+            node = rows.column(0).combine_chunks()
+            return pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], ["a", "b"])
 
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3 + len(names))]))
-            if sum(x.shape[1] for x in held) < 50_000:
+            held.append(batch)
+            units.append(batch.column(1).to_numpy(zero_copy_only=False))
+            if sum(map(len, units)) < 50_000:
                 continue
-            rows = np.concatenate(held, axis=1)
-            last = int(np.searchsorted(rows[1], rows[1][-1]))  # the last unit may go on
+            unit = np.concatenate(units)
+            last = int(np.searchsorted(unit, unit[-1]))  # the last unit may go on
+            rows = pa.Table.from_batches(held)
             if last:
-                yield flush(rows[:, :last])
-            held = [rows[:, last:]]
+                yield flush(rows[:last])
+            held, units = rows[last:].to_batches(), [unit[last:]]
         if held:
-            yield flush(np.concatenate(held, axis=1))
-
-    return work.mapInArrow(run, "a long, b long").distinct()
-
+            yield flush(pa.Table.from_batches(held))
 
-def _frequent(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """Hashes frequent in a sample of ``docs``, by falling number of documents."""
+    return work.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                h = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column(0)[at : at + 256]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
 
-    n = docs.count()
-    some = docs.select(text_col).sample(min(1.0, SAMPLE_DOCS / max(1, n)), seed=SEED)
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
-    rows = counts.orderBy(F.desc("count"), "h").limit(FREQUENT_HASHES).toArrow()
-    return rows.column("h").to_numpy().view(np.uint64)
+def set_name(h: np.ndarray) -> bytes:
+    """The name of a set of hashes (sorted and distinct): 128 bits."""
+    return xxhash.xxh3_128_digest(h.tobytes(), SEED)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: Fraction, wide: int, frequent: np.ndarray) -> DataFrame:
-    """Rows ``(doc_id, node, n, prefix, fp0, ...)``: the set's name and size, its first hashes as bytes, ``wide`` words."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, wide: int) -> DataFrame:
+    """Rows ``(doc_id, th, node, fp0, ...)``: a hash of the text, the name and the wide fingerprint of its set of shingles."""
     names = _fp(wide)
-    by_hash = np.argsort(frequent)
-    known = frequent[by_hash]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes, fps = [], [], [], []
-            for text in batch.column(1):
-                h = np.unique(shingle_hashes(text.as_py(), k))
-                n = len(h)
-                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                sizes.append(n)
-                fps.append(_fingerprint(h, wide))
-                place = np.searchsorted(known, h)
-                place[place == len(known)] = 0
-                seen = known[place] == h if len(known) else np.zeros(n, bool)
-                rare, last = h[~seen], h[seen][np.argsort(-by_hash[place[seen]])] if len(known) else h[:0]
-                prefixes.append(np.r_[rare, last][: n - math.ceil(similarity * n) + 1].tobytes())
-            words = np.array(fps, np.uint64).reshape(len(nodes), wide)
-            columns = [batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(np.ascontiguousarray(words[:, i]).view(np.int64)) for i in range(wide)]], ["doc_id", "node", "n", "prefix", *names])
-
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return d.mapInArrow(run, "doc_id long, node long, n int, prefix binary" + "".join(f", {c} long" for c in names))
+            sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column(2)]
+            fps = np.array([_fingerprint(h, wide) for h in sets], np.uint64).reshape(-1, wide)
+            words = [pa.array(np.ascontiguousarray(fps[:, i]).view(np.int64)) for i in range(wide)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(set_name, sets), pa.binary()), *words], ["doc_id", "th", "node", *names])
 
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
+    return d.mapInArrow(run, "doc_id long, th long, node binary" + "".join(f", {c} long" for c in names))
 
-def _filed(nodes: DataFrame, similarity: Fraction) -> DataFrame:
-    """A row ``(hash, n2, node)`` for each hash of a node's prefix.  ``n2`` is twice the size, and one more if the
-    hash is among those that the smaller of two sets need search."""
-    both = 2 * similarity / (1 + similarity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                node, n = (batch.column(i)[at : at + 1024].to_numpy().astype(np.int64) for i in range(2))
-                prefixes = batch.column(2)[at : at + 1024].to_pylist()
-                count = np.array([len(x) // 8 for x in prefixes])
-                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                first = n - -(-both.numerator * n // both.denominator) + 1
-                n2 = np.repeat(2 * n, count) + (nth < np.repeat(first, count))
-                same = pa.array(np.repeat(node, count))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(n2), same], ["hash", "n2", "node"])
-
-    return nodes.where("n > 0").select("node", "n", "prefix").mapInArrow(run, "hash long, n2 long, node long")
-
-
-def group_pairs(rows: np.ndarray, similarity: Fraction, group: int = GROUP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs ``(a, b)`` of nodes to compare, and the indices of rows whose group is left open.  ``rows``:
-    (hash, n2, node), sorted.  Of a group over ``group`` nodes only the pairs with a few hubs."""
-    h, n2, node = rows
-    n = n2 >> 1
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    size = np.diff(np.r_[first, len(h)])
-    none, small = np.zeros(0, np.int64), np.flatnonzero(np.repeat(size <= group, size))
-    num, den = similarity.numerator, similarity.denominator
-
-    def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # j is the larger set
-        # of equal sizes either may be the one that searches less
-        ok = (n[i] * den >= num * n[j]) & ((n2[i] & 1 == 1) | ((n[i] == n[j]) & (n2[j] & 1 == 1)))
-        a, b = node[i[ok]], node[j[ok]]
-        return np.minimum(a, b), np.maximum(a, b)
-
-    for d in range(1, group):
-        small = small[small + d < len(h)]
-        small = small[h[small] == h[small + d]]
-        if not len(small):
-            break
-        yield *kept(small, small + d), none
-    for f, s in zip(first[size > group].tolist(), size[size > group].tolist(), strict=True):
-        at = np.arange(f, f + s)
-        ends = f + np.searchsorted(n[at], n[at] * den // num, "right")
-        hub = f
-        while hub < f + s:
-            end = int(ends[hub - f])
-            a, b = np.full(end - hub - 1, node[hub]), node[hub + 1 : end]
-            yield np.minimum(a, b), np.maximum(a, b), none
-            hub = end
-        yield none, none, at
-
-
-def _candidates(filed: DataFrame, similarity: Fraction, group: int) -> DataFrame:
-    """Rows ``(a, b)`` to compare, and ``(hash, node)`` of groups left open."""
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast only what was counted and is within the limit."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs: list[tuple], rows: np.ndarray) -> pa.RecordBatch:
-            a, b, left = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            ab = np.unique(np.stack([a, b], 1).view([("a", np.int64), ("b", np.int64)])) if len(a) else np.zeros(0, [("a", np.int64), ("b", np.int64)])
-            nulls = [pa.nulls(len(left), pa.int64()), pa.nulls(len(ab), pa.int64())]
-            columns = [pa.concat_arrays([pa.array(np.ascontiguousarray(ab[c])), nulls[0]]) for c in "ab"]
-            columns += [pa.concat_arrays([nulls[1], pa.array(rows[i][left])]) for i in (0, 2)]
-            return pa.RecordBatch.from_arrays(columns, ["a", "b", "hash", "node"])
-
-        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            some, total = [], 0
-            for part in group_pairs(rows, similarity, group):
-                some.append(part)
-                total += len(part[0]) + len(part[2])
-                if total > 1 << 20:
-                    yield out(some, rows)
-                    some, total = [], 0
-            if some:
-                yield out(some, rows)
-
-        held: list[np.ndarray] = []
-        for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]))
-            if sum(x.shape[1] for x in held) < 500_000 or held[-1][0, -1] == held[0][0, 0]:
-                continue
-            rows = np.concatenate(held, axis=1)
-            last = int(np.searchsorted(rows[0], rows[0, -1]))  # the last group may go on
-            if last:
-                yield from flush(rows[:, :last])
-            held = [rows[:, last:]]
-        if held:
-            yield from flush(np.concatenate(held, axis=1))
 
-    dealt = filed.repartition("hash").sortWithinPartitions("hash", "n2", "node")
-    return dealt.mapInArrow(run, "a long, b long, hash long, node long")
+def _matches(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """``docs`` whose id and hash of the text are (``left_semi``) or are not (``left_anti``) among ``rows``: ``(doc_id, th)``."""
+    named = rows.select(F.col("doc_id").alias("__row_id"), F.col("th").alias("__row_th"))
+    return docs.join(_few(named), docs[id_col].cast("long").eqNullSafe(F.col("__row_id")) & (F.xxhash64(docs[text_col]) == F.col("__row_th")), how)
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, similarity: Fraction, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, group: int = GROUP) -> DataFrame:
-    """Rows ``(a, b)`` of nodes whose components are those of all pairs of this similarity.  ``nodes``: ``node, n, prefix, first_id``."""
+def similar_links(docs: DataFrame, nodes: DataFrame, similarity: Fraction, *, wide: int, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, tile: int = TILE, crowd_tile: int | None = None) -> DataFrame:
+    """Rows ``(a, b)`` of nodes whose components are those of the pairs of this similarity inside the crowds.
+    ``nodes``: ``node``, ``best`` (a row that has it: ``no_id, doc_id, th``), ``fp0, ...``."""
+    crowds = connected_components(near_links(nodes.select("node", *_fp(wide)), radius_of(similarity, wide), tile, similarity=float(similarity)))
+    crowds = stage(crowds.join(nodes.select("node", "best.doc_id", "best.th"), "node"), "crowds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column(0)[at : at + 256]]
-                names = pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([names, pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "s"])
-
-    def sets_of(names: DataFrame) -> DataFrame:
-        """The sets of these nodes, made anew from their texts."""
-        ends = stage(names.distinct().join(nodes.select("node", "first_id"), "node"), "candidates")
-        ids = ends.where("first_id is not null").select(F.col("first_id").alias("__id")).distinct()
-        ids = F.broadcast(ids) if ends.count() <= BROADCAST_IDS else ids
-        texts = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__t"))
-        texts = texts.join(ids, F.col("__doc") == F.col("__id"), "left_semi").unionByName(texts.where("__doc is null"))
-        made = texts.select("__t").mapInArrow(run, "node long, s array<long>")
-        return stage(made.join(ends.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    met = stage(_candidates(_filed(nodes, similarity), similarity, group), "pairs")
-    pairs = met.where("a is not null").select("a", "b").distinct()
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    same = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
-    found = stage(same.where(F.col("both") * similarity.denominator >= (F.col("na") + F.col("nb") - F.col("both")) * similarity.numerator).select("a", "b"), "links")
-    drop_staged(sets)
-    left = met.where("hash is not null").select("hash", "node")
-    if left.isEmpty():
-        return found
-    roots = connected_components(found).select(F.col("node").alias("v"), F.col("root").alias("r"))
-    left = stage(left.join(roots, F.col("node") == F.col("v"), "left").select("hash", "node", F.coalesce("r", "node").alias("root")), "open")
-    hubs = left.groupBy("hash").agg(F.min("node").alias("hub"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    edges = left.join(hubs.select(F.col("hash").alias("h"), "hub"), F.col("hash") == F.col("h")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    crowds = stage(connected_components(edges), "crowds")  # nodes that share a hash are of one crowd
-    return found.unionByName(_crowd_links(crowds, sets_of(crowds.select("node")), similarity)).distinct()
-
-
-def _crowd_links(crowds: DataFrame, sets: DataFrame, similarity: Fraction, tile: int = CROWD_TILE) -> DataFrame:
-    """Rows ``(a, b)``: a forest of the similar pairs of each crowd, compared in tiles.  ``crowds``: ``node, root``."""
-    sizes = crowds.groupBy(F.col("root").alias("c")).count().select("c", F.ceil(F.col("count") / tile).cast("int").alias("g"))
-    t = crowds.join(sizes, F.col("root") == F.col("c")).select("node", "root", F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("u"))
-    side = F.when(F.col("t") == F.col("u"), 0).when(F.col("t") < F.col("u"), 1).otherwise(2)
-    work = t.select("node", F.struct("root", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y")).alias("unit"), side.alias("side"))
-
-    def run(rows: pa.Table) -> pa.Table:
-        node = rows.column("node").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_name, sets), pa.binary()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "s"])
+
+    # the sets are made anew, from one text each
+    texts = _matches(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")), crowds.select("doc_id", "th"), "__id", "__t", "left_semi")
+    made = texts.select("__t").mapInArrow(run, "node binary, s array<long>").dropDuplicates(["node"])
+    sets = stage(made.join(crowds.select("node", "root", "doc_id"), "node"), "sets")
+    hubs = sets.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("m")).select(F.col("root").alias("c"), F.col("m.node").alias("hub"))
+    hubs = sets.select(F.col("node").alias("hub"), F.col("s").alias("hs")).join(hubs, "hub")
+    both = F.size(F.array_intersect("s", "hs")).cast("long")
+    near = both * similarity.denominator >= (F.size("s") + F.size("hs") - both) * similarity.numerator
+    met = stage(sets.join(hubs, F.col("root") == F.col("c")).select("node", "root", "hub", near.alias("near")), "met")
+    found = met.where("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    units = _units(met, CROWD_TILE if crowd_tile is None else crowd_tile)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        node = rows.column("node").combine_chunks()
         a, b = set_links([x.values.to_numpy() for x in rows.column("s")], rows.column("side").to_numpy(), similarity)
-        return pa.table({"a": node[a], "b": node[b]})
+        return pa.table({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
 
-    return work.join(sets, "node").groupBy("unit").applyInArrow(run, "a long, b long")
+    more = units.join(sets.select("node", "s"), "node").groupBy("unit").applyInArrow(compare, "a binary, b binary")
+    return found.unionByName(more).distinct()
+
+
+def _units(met: DataFrame, tile: int) -> DataFrame:
+    """Rows ``(node, unit, side)``: in each unit a tile of a crowd's nodes that are not near its hub meets itself, another such tile
+    or a tile of those that are near (which hang together)."""
+    sizes = met.groupBy(F.col("root").alias("c")).agg(F.count_if(~F.col("near")).alias("far"), F.count_if("near").alias("close"))
+    sizes = sizes.where("far > 0").select("c", F.ceil(F.col("far") / tile).cast("int").alias("gf"), F.ceil(F.col("close") / tile).cast("int").alias("gc"))
+    t = F.when(F.col("near"), F.col("gf") + F.pmod(F.xxhash64("node"), F.col("gc"))).otherwise(F.pmod(F.xxhash64("node"), F.col("gf"))).cast("int")
+    last = F.when(F.col("near"), F.col("gf") - 1).otherwise(F.col("gf") + F.col("gc") - 1)
+    rows = met.join(sizes, F.col("root") == F.col("c")).select("node", "root", t.alias("t"), F.explode(F.sequence(F.lit(0), last)).alias("u"))
+    side = F.when(F.col("t") == F.col("u"), 0).when(F.col("t") < F.col("u"), 1).otherwise(2)
+    return rows.select("node", F.struct("root", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y")).alias("unit"), side.alias("side"))
 
 
 def set_links(sets: list[np.ndarray], side: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -505,43 +429,54 @@ def set_links(sets: list[np.ndarray], side: np.ndarray, similarity: Fraction) ->
     return child, label[child]
 
 
-def near_duplicates(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, radius: int | None = None, tile: int = TILE,
-    wide: int = 1, similarity: float | None = None,
-) -> DataFrame:
-    """Rows ``(doc_id, fingerprint, component_id)``, one for each row of ``docs``.  Links: within ``radius`` bits (four), or
-    at ``similarity`` or more of the sets of shingles; the fingerprint, of ``wide`` words, then is that of the set."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, radius: int | None, tile: int, wide: int, similarity: float | None) -> DataFrame:
+    """Rows ``(doc_id, th, fp0, ..., best)`` for each row of ``docs``; ``best`` names the first row of its component: ``no_id, doc_id, th``."""
     if (similarity is None) != (wide == 1):
         raise ValueError("wide fingerprints link by similarity, narrow ones by radius")
     names = _fp(wide)
     if similarity is None:
-        fps = stage(fingerprints(docs, id_col, text_col, k, wide).withColumn("node", F.col("fp0")), "fingerprints")
-        nodes = stage(fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in names]), "nodes")
+        fps = fingerprints(docs, id_col, text_col, k, wide).withColumn("node", F.col("fp0")).withColumn("th", F.lit(0).cast("long"))
+    else:
+        fps = _sets(docs, id_col, text_col, k, wide)
+    fps = stage(fps, "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    nodes = stage(fps.groupBy("node").agg(F.min(row).alias("best"), *[F.first(c).alias(c) for c in names]), "nodes")
+    if similarity is None:
         found = near_links(nodes.select("node", *names), RADIUS if radius is None else radius, tile)
     else:
-        least_share = Fraction(str(similarity))
-        fps = stage(_sets(docs, id_col, text_col, k, least_share, wide, _frequent(docs, text_col, k)), "fingerprints")
-        nodes = stage(fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-        found = similar_links(docs, nodes, least_share, id_col=id_col, text_col=text_col, k=k)
-    found = connected_components(found)
-    found = found.select(F.col("node").alias("v"), "root")
-    root = nodes.join(found, F.col("node") == F.col("v"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = root.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
-    named = root.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("f"), "component_id")
-    out = fps.join(named, F.col("node") == F.col("f"))
-    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in names]) if names else F.lit("")
-    return out.select("doc_id", digits.alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest id (one row, if rows share it).  A row
-    without id has no name to be dropped by and stays."""
-    if options.get("similarity") is not None:
-        options["wide"] = 0  # nobody asks for the fingerprints
-    found = near_duplicates(docs, id_col=id_col, **options)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+        found = similar_links(docs, nodes, Fraction(str(similarity)), wide=wide, id_col=id_col, text_col=text_col, k=k, tile=tile)
+    found = connected_components(found).select(F.col("node").alias("v"), "root")
+    root = nodes.join(found, F.col("node") == F.col("v"), "left").select("node", "best", F.coalesce("root", "node").alias("root"))
+    least = root.groupBy(F.col("root").alias("r")).agg(F.min("best").alias("least"))
+    named = root.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("f"), F.col("least").alias("best"))
+    return fps.join(named, F.col("node") == F.col("f")).select("doc_id", "th", *names, "best")
+
+
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, radius: int | None = None, tile: int = TILE,
+    wide: int = 1, similarity: float | None = None,
+) -> DataFrame:
+    """Rows ``(doc_id, fingerprint, component_id)``, one for each row of ``docs``.  Links: within ``radius`` bits (four), or
+    at ``similarity`` or more of the sets of shingles; the fingerprint, of ``wide`` words, then is that of the set."""
+    out = _classes(docs, id_col, text_col, k, radius, tile, wide, similarity)
+    digits = F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in _fp(wide)])
+    return out.select("doc_id", digits.alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, wide: int = 4, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id, then the smallest hash of its text.  Rows are told apart by id and text: of rows that share an id, each component keeps its own; of a row that
+    repeats, one stays.  A row without id has no name to be dropped by and stays."""
+    rows = _classes(docs, id_col, text_col, k, None, tile, wide, similarity)
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
+    rows = stage(rows.groupBy("doc_id", "th").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n")), "rows")
+    left = _matches(docs, rows.where("doc_id is not null and not first"), id_col, text_col, "left_anti")
+    again = rows.where("doc_id is not null and first and n > 1")
+    if again.isEmpty():
+        return left
+    once = _matches(left, again, id_col, text_col, "left_anti")
+    key = ["__key_id", "__key_th"]
+    twice = _matches(left, again, id_col, text_col, "left_semi").withColumns({key[0]: F.col(id_col), key[1]: F.xxhash64(text_col)})
+    return once.unionByName(twice.dropDuplicates(key).drop(*key))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

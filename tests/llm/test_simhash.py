@@ -1,4 +1,5 @@
 import random
+from fractions import Fraction
 
 import numpy as np
 import xxhash
@@ -172,8 +173,8 @@ def test_similarity_is_that_of_the_sets(spark, monkeypatch):
     rows += [(2000, None), (2001, " "), (None, rows[3][1]), (5, rows[0][1]), (5, rows[0][1])]
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for frequent in (3, 10**9):
-        monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    for tile in (8, 512):
+        monkeypatch.setattr(simhash, "CROWD_TILE", tile)
         got = simhash.near_duplicates(docs, k=5, wide=4, similarity=0.8).collect()
         assert sorted([(r.doc_id, r.component_id) for r in got], key=str) == brute_similar(rows, 5, 0.8)
 
@@ -188,3 +189,38 @@ def test_repeated_shingles_count_once(spark):
     docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, k=1, wide=4, similarity=0.8).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+
+
+def test_candidates_cover_pairs_at_the_threshold():
+    rng = np.random.default_rng(6)
+    for n in (4, 8, 20, 300):  # the smaller set is the larger without its last elements; similarity 0.8
+        met, masks = 0, simhash.choice_masks(200_000, 4, 0.8)
+        for _ in range(200):
+            h = rng.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+            a, b = (np.array(simhash._fingerprint(np.unique(x), 4), np.uint64) for x in (h, h[:n]))
+            apart = a ^ b
+            near = sum(int(x).bit_count() for x in apart) <= simhash.radius_of(Fraction("0.8"), 4)
+            met += near and any(not any(int(x) & m for x, m in zip(apart, ms, strict=True)) for ms in masks)
+        assert met >= 190
+
+
+def test_keep_one_decides_by_row(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c = words("a", 30), words("b", 30), words("c", 30)
+    rows = [(1, a), (2, a), (2, b), (2, c), (2, c), (3, c), (4, None), (5, ""), (6, b + " more")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, th string")
+    kept = sorted(tuple(r) for r in simhash.keep_one(docs, k=5).collect())
+    assert kept == [(1, a, "x"), (2, b, "x"), (2, c, "x"), (4, None, "x")]
+
+
+def test_units_hold_every_pair_that_is_not_known(spark):
+    rows = [(bytes([i]), b"c", b"h", i % 3 == 0) for i in range(40)]
+    met = spark.createDataFrame(rows, "node binary, root binary, hub binary, near boolean")
+    units = {}
+    for r in simhash._units(met, 4).collect():
+        units.setdefault(tuple(r.unit), []).append((bytes(r.node)[0], r.side))
+    pairs = set()
+    for members in units.values():
+        assert len(members) <= 40
+        pairs |= {frozenset((x, y)) for x, s in members for y, t in members if x < y and (s == 0 or s != t)}
+    assert pairs >= {frozenset((x, y)) for x in range(40) for y in range(x) if x % 3 or y % 3}
