@@ -23,6 +23,7 @@ are ignored; an empty table gives no segments and no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -39,11 +40,13 @@ from pyspark.sql.window import Window
 from lodestone.plans.staging import new_path
 
 END_ID, BLOCK, SEGMENT, PERCENTILE = 2, 1024, 1 << 18, 0.95
-#: Runs of letters in a generation of a worker's memory.
-REMEMBERED = 400_000
-#: Bytes of texts encoded at once, and white space beyond ASCII (or that only Python takes for it).
-TOGETHER = 8 << 20
+#: Bytes of a worker's memory of runs of letters (of other strings: an eighth), and what an entry takes besides its string and ids.
+REMEMBERED, ENTRY = 96 << 20, 220
+#: Bytes of texts encoded at once, rows of a batch, and white space beyond ASCII (or that only Python takes for it).
+TOGETHER, BATCH_ROWS = 4 << 20, 2048
 _ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of texts in a shard, at most on average.
+SHARD_BYTES = 32 << 20
 MAGIC = b"LPF1"
 
 
@@ -119,11 +122,11 @@ def decode_segment(data: bytes, first: int = 0, last: int | None = None) -> tupl
 
 
 class Memory:
-    """Ids of strings in two generations: the young one, when full, becomes the old one, from which it takes what
-    comes up again."""
+    """Ids of strings in two generations of up to half of ``limit`` bytes: the young one, when full, becomes the old one,
+    from which it takes what comes up again."""
 
     def __init__(self, encode, limit: int):
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.size = encode, limit, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -132,13 +135,16 @@ class Memory:
         found = list(map(self.young.get, words))
         lost = [w for w, x in zip(words, found, strict=True) if x is None]
         if lost:
-            if len(self.young) > self.limit:
-                self.old, self.young = self.young, {}
             fresh = {w: self.old[w] for w in lost if w in self.old}
             new = [w for w in lost if w not in fresh]
             fresh.update(zip(new, self.encode(new), strict=True))
-            self.young.update(fresh)
             found = [fresh[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            size = sum(map(len, fresh)) + sum(map(len, fresh.values())) + ENTRY * len(fresh)
+            if self.size + size > self.limit // 2:
+                self.old, self.young, self.size = self.young, {}, 0
+            if size <= self.limit // 2:
+                self.young.update(fresh)
+                self.size += size
         return found
 
 
@@ -146,8 +152,26 @@ def _strings(a: pa.Array) -> list[str]:
     return a.to_numpy(zero_copy_only=False).tolist()
 
 
+def splits_at_space(definition: dict) -> bool:
+    """Whether a tokenizer's definition is of the kind for which texts may be parted at white space and lower-cased by runs of
+    letters: it lower-cases, its pre-tokenizer drops white space and takes letters and signs apart, and the last token of a
+    run ends in ``</w>``; nothing else in it looks beyond a run."""
+    normal, before, model = (definition.get(x) or {} for x in ("normalizer", "pre_tokenizer", "model"))
+    kinds = [x.get("type") for x in normal.get("normalizers", [normal])]
+    split = [x for x in before.get("pretokenizers", []) if x.get("type") == "Split"]
+    return (
+        "Lowercase" in kinds and set(kinds) <= {"NFC", "Replace", "Lowercase"}
+        and [x.get("type") for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+        and split[0].get("behavior") == "Removed" and split[0].get("invert") is True
+        and split[0]["pattern"].get("Regex", "").endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        and not before["pretokenizers"][1].get("add_prefix_space")
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and definition.get("post_processor") is None and definition.get("truncation") is None
+    )
+
+
 class Encoder:
-    """Ids of texts.  No token of this kind of tokenizer crosses white space, so texts are split there (by Arrow)
+    """Ids of texts; of a tokenizer of another kind (``splits_at_space``) plainly.  No token of this kind of tokenizer crosses white space, so texts are split there (by Arrow)
     and each distinct string is encoded once.  A string of Latin letters and plain signs is the token runs of its lower-case
     letters and of its signs, which are looked up apart.  Workers remember runs and other strings in bounded memories."""
 
@@ -160,6 +184,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.plain = not splits_at_space(json.load(f))
         self.letters, self.others = Memory(self._letters, remembered), Memory(self._encode, remembered // 8)
         self.odd = re.compile(r"[^ \t\r\n]+").findall
         vocabulary = self.tokenizer.get_vocab()
@@ -185,6 +211,8 @@ class Encoder:
     def many(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         texts = texts.cast(pa.large_string())
+        if self.plain:
+            return self._encode(texts.to_pylist())
         if pc.any(pc.match_substring_regex(texts, _ODD_SPACE)).as_py():
             # str.split also parts at four control characters that are no white space to the tokenizer
             plain = [self.odd(t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts.to_pylist()]
@@ -236,7 +264,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
     by = [F.col(id_col), F.col(text_col)] if order is None else [*order]
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *[c.alias(f"o{n}") for n, c in enumerate(by)])
     keys = [f"o{n}" for n in range(len(by))]
-    d = d.repartitionByRange(*(keys[:1] if order is None else keys)).sortWithinPartitions(*keys).select("i", "t")
+    # partitions of bounded size, by id and text, so that rows without id or of one id are dealt too
+    size = d.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    ranges = ["o0", F.substring("o1", 1, 64)] if order is None else keys  # in the order of the keys
+    d = d.repartitionByRange(parts, *ranges).sortWithinPartitions(*keys).select("i", "t")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +282,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str
             return pa.RecordBatch.from_pydict({"shard": [shard], "seq": [seq], "n_docs": [len(ids)], "n_tokens": [size], "payload": [payload]}, schema=schema)
 
         schema = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-        for batch in batches:
+        for batch in (whole.slice(i, BATCH_ROWS) for whole in batches for i in range(0, whole.num_rows, BATCH_ROWS)):
             room = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
             cuts = [0, *(np.flatnonzero(np.diff(room)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:], strict=False):

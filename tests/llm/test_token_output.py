@@ -63,7 +63,22 @@ def test_index_reaches_single_blocks_and_outliers_are_patched():
 
 def test_encoder_forgets_and_stays_exact():
     t = Tokenizer.from_file(to.tokenizer_path())
-    e = to.Encoder(to.tokenizer_path(), remembered=50)
+    e = to.Encoder(to.tokenizer_path(), remembered=9000)
     for i in range(60):
+        assert e.letters.size <= 9000
         text = " ".join(f"word{(i * j) % 97}x, common" for j in range(20))
         assert np.frombuffer(e(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_plainly(spark, tmp_path):
+    from tokenizers import models, pre_tokenizers
+
+    assert not to.Encoder(to.tokenizer_path()).plain
+    other = Tokenizer(models.BPE({"a": 0, "b": 1, "B": 2, "Ġ": 3, "aĠ": 4}, [("a", "Ġ")]))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    other.save(f"{tmp_path}/other.json")
+    assert to.Encoder(f"{tmp_path}/other.json").plain
+    docs = spark.createDataFrame([(2, "a b"), (1, "B a a")], "doc_id long, text string")
+    to.write_tokens(docs, f"file://{tmp_path}/o", f"{tmp_path}/other.json")
+    got = {r.doc_id: r.ids for r in to.read_tokens(spark, f"file://{tmp_path}/o").collect()}
+    assert got == {1: [2, 3, 4, 0, 2], 2: [4, 1, 2]}
