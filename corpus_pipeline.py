@@ -43,9 +43,9 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files in the order of ``docs``' files and rows; their digests, read back."""
     path = new_path(spark, "pipeline-tokens")
     if docs.inputFiles():
-        order = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
-        docs = docs.select("doc_id", "text", order[0].alias("__file"), order[1].alias("__row"))
-        token_output.write_tokens(docs, path, token_output.tokenizer_path(), order=[F.col("__file"), F.col("__row")])
+        part = F.regexp_extract("_metadata.file_path", r"part-(\d+)[^/]*$", 1).cast("long")  # a number: part-100000 follows part-99999
+        docs = docs.select("doc_id", "text", part.alias("__part"), F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        token_output.write_tokens(docs, path, token_output.tokenizer_path(), order=[F.col("__part"), F.col("__file"), F.col("__row")])
     else:  # rows that are in no file have no order but their ids'
         token_output.write_tokens(docs, path, token_output.tokenizer_path())
     return token_output.read_digests(spark, path)
