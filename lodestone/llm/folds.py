@@ -1,8 +1,8 @@
-"""The fold of documents that no model learns from."""
+"""The fold of documents that no model learns from, samples to learn from, and sized broadcasts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,11 +21,21 @@ MARGIN = 1.5
 _STEPS = 1 << 30
 
 
-def place(id_col: str) -> Column:
-    """A document's place in all samples: an even hash of its id, from 0 to 1."""
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(_STEPS)) / _STEPS
+def place(*cols: str) -> Column:
+    """A document's place in all samples: an even hash of its id (and what else is named), from 0 to 1."""
+    return F.pmod(F.xxhash64(*map(F.col, cols)), F.lit(_STEPS)) / _STEPS
 
 
 def share(wanted: int, there: int) -> float:
     """Up to which place a sample of ``wanted`` of ``there`` rows reaches, with a margin."""
     return min(1.0, MARGIN * wanted / max(1, there))
+
+
+#: Rows of a few numbers and a name that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(small: DataFrame, limit: int | None = None) -> DataFrame:
+    """Broadcast only what was counted and is within the limit."""
+    limit = BROADCAST_ROWS if limit is None else limit
+    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
