@@ -1,10 +1,12 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
-A page is cut at block tags into flat blocks of text.  A block is described by the word counts
-and link densities of itself and its neighbours and by where it stands: inside an article or main element,
-inside a region that is marked as no content (by element or by the words of class, id and role),
-heading, list item.  A decision tree grown (Gini) from the labelled table below says which blocks are
-main text; they are joined in page order by one newline.
+A page is cut at block tags into flat blocks of text.  A block is described by numbers: its words and link
+density, those of the block before and after it, the larger word count and the lesser link density of these two, where it stands (inside an article or main element, outside of the page's
+article, or on a page without one), the largest share of no-content words in a class, id or role around it, and whether it is in
+an element for no content (navigation, footer, aside, form), a heading or a list item.  A decision tree grown (Gini) from the labelled
+table below says which blocks are main text; they are joined in page order by one newline.  No name of a class decides
+alone: names that merely contain a listed word are outweighed by prose among prose, and menus and reader comments under other names
+are told by the link density of their neighbours.
 
 Script, style, template and the like never give text; comments and markup go; character references are
 decoded as browsers do; white space inside a block becomes one space.
@@ -24,81 +26,146 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "in_article", "marked", "heading", "item")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "words_around", "density_around", "place", "named", "no_content", "heading", "item")
 
-#: Labelled blocks (main text or not), as `label: words density, before, after, flags`; a = in an article or main
-#: element, m = marked as no content, h = heading, i = list item.
+#: Labelled blocks (main text or not), as `label: words density, before, after, place named flags`.  Place: + inside an article or
+#: main element, - outside of the page's, . on a page without one; named: share of no-content words in a name around it; flags: e = in an
+#: element for no content, h = heading, i = list item.
 LABELLED = """
-1: 60 0.00, 12 0.00, 70 0.00, a
-1: 12 0.00, 60 0.00, 80 0.05, a
-1: 1 0.00, 40 0.00, 60 0.00, a
-1: 2 0.00, 0 0.00, 55 0.00, a
-1: 3 0.00, 1 0.00, 2 0.00, a
-1: 4 1.00, 50 0.00, 60 0.00, a
-1: 9 0.00, 4 1.00, 50 0.00, ah
-1: 8 0.00, 12 0.00, 12 0.00, ah
-1: 5 0.00, 5 1.00, 1 0.00, ah
-1: 2 0.00, 0 0.00, 3 0.00, ah
-1: 7 0.00, 6 1.00, 5 0.00, ai
-1: 4 0.50, 4 0.50, 4 0.50, ai
-1: 15 0.10, 20 0.00, 12 0.20, ai
-1: 300 0.00, 0 0.00, 0 0.00, a
-1: 90 0.02, 9 0.00, 12 0.00, a
-1: 30 0.40, 40 0.00, 60 0.10, a
-1: 1 0.00, 9 0.00, 8 0.00, a
-1: 6 0.00, 1 1.00, 9 0.00, a
-1: 24 0.00, 1 0.00, 1 0.00, a
-1: 5 0.00, 0 0.00, 0 0.00, a
-0: 12 0.00, 4 1.00, 8 0.00, m
-0: 9 0.00, 1 1.00, 60 0.00, m
-0: 6 0.00, 80 0.00, 0 0.00, m
-0: 70 0.00, 60 0.00, 50 0.00, m
-0: 120 0.00, 90 0.00, 3 0.00, m
-0: 2 1.00, 2 1.00, 2 1.00, mi
-0: 1 1.00, 0 0.00, 1 1.00, mi
-0: 3 1.00, 3 1.00, 40 0.00, mi
-0: 25 0.00, 3 0.00, 25 0.00, am
-0: 60 0.00, 70 0.00, 20 0.00, am
-0: 4 0.00, 60 0.00, 30 0.00, amh
-0: 3 1.00, 60 0.00, 3 1.00, ami
-0: 8 0.00, 70 0.00, 6 0.00, am
-0: 45 0.05, 8 0.00, 40 0.00, am
-0: 14 0.00, 0 0.00, 5 0.00, m
-0: 4 0.00, 12 0.00, 9 0.00, mh
-0: 30 0.00, 3 0.00, 30 0.00, mi
-0: 200 0.00, 0 0.00, 0 0.00, m
-0: 1 0.00, 2 0.00, 2 0.00, m
-0: 2 0.00, 60 0.00, 60 0.00, am
-1: 60 0.00, 55 0.00, 70 0.00, -
-1: 40 0.05, 5 0.00, 60 0.00, -
-1: 18 0.00, 60 0.00, 60 0.00, -
-1: 9 0.00, 45 0.00, 60 0.00, -
-1: 120 0.00, 3 1.00, 4 1.00, -
-1: 35 0.10, 0 0.00, 20 0.00, -
-1: 7 0.00, 3 1.00, 60 0.00, h
-1: 6 0.00, 50 0.00, 50 0.00, h
-1: 5 0.00, 2 1.00, 30 0.00, h
-1: 25 0.00, 25 0.00, 25 0.00, i
-1: 12 0.00, 30 0.00, 12 0.00, i
-1: 200 0.01, 0 0.00, 0 0.00, -
-1: 22 0.00, 7 0.00, 2 1.00, -
-0: 2 1.00, 2 1.00, 2 1.00, i
-0: 1 1.00, 1 1.00, 40 0.00, i
-0: 3 1.00, 0 0.00, 3 1.00, -
-0: 5 0.80, 3 1.00, 60 0.00, -
-0: 10 0.90, 60 0.00, 10 0.90, -
-0: 30 0.80, 30 0.80, 5 1.00, -
-0: 4 0.00, 2 1.00, 2 1.00, -
-0: 3 0.00, 3 1.00, 0 0.00, -
-0: 5 0.00, 1 0.00, 0 0.00, -
-0: 2 0.00, 3 0.00, 2 0.00, -
-0: 6 0.50, 4 1.00, 0 0.00, -
-0: 3 0.00, 2 1.00, 2 1.00, h
-0: 2 0.00, 4 0.00, 3 1.00, h
-0: 8 0.60, 8 0.60, 8 0.60, i
-0: 4 0.00, 3 0.00, 4 0.00, i
+1: 60 0.00, 12 0.00, 70 0.00, + 0.0
+1: 12 0.00, 60 0.00, 80 0.05, + 0.0
+1: 1 0.00, 40 0.00, 60 0.00, + 0.0
+1: 2 0.00, 0 0.00, 55 0.00, + 0.0
+1: 3 0.00, 1 0.00, 2 0.00, + 0.0
+1: 1 0.00, 9 0.00, 8 0.00, + 0.0
+1: 24 0.00, 1 0.00, 1 0.00, + 0.0
+1: 5 0.00, 0 0.00, 0 0.00, + 0.0
+1: 6 0.00, 1 1.00, 9 0.00, + 0.0
+1: 6 0.00, 55 0.00, 2 1.00, + 0.0
+1: 300 0.00, 0 0.00, 0 0.00, + 0.0
+1: 90 0.02, 9 0.00, 12 0.00, + 0.0
+1: 30 0.40, 40 0.00, 60 0.10, + 0.0
+1: 45 0.00, 4 1.00, 60 0.00, + 0.0
+1: 50 0.00, 60 0.00, 3 1.00, + 0.0
+1: 70 0.00, 2 1.00, 3 1.00, + 0.0
+1: 110 0.02, 3 1.00, 2 1.00, + 0.0
+1: 9 0.00, 4 1.00, 50 0.00, + 0.0 h
+1: 8 0.00, 12 0.00, 12 0.00, + 0.0 h
+1: 5 0.00, 5 1.00, 1 0.00, + 0.0 h
+1: 2 0.00, 0 0.00, 3 0.00, + 0.0 h
+1: 9 1.00, 4 0.00, 60 0.00, + 0.0 h
+1: 6 0.00, 3 1.00, 2 1.00, + 0.0 h
+1: 3 0.00, 2 1.00, 3 1.00, + 0.0 h
+1: 10 0.00, 1 1.00, 2 1.00, + 0.0 h
+1: 4 0.00, 0 0.00, 3 0.00, + 0.0
+1: 12 0.00, 3 0.00, 4 0.00, + 0.0
+1: 8 0.00, 5 0.00, 0 0.00, + 0.0
+1: 3 0.00, 6 0.00, 2 0.00, + 0.0
+1: 20 0.00, 4 0.00, 3 0.00, + 0.0
+1: 1 0.00, 1 0.00, 1 0.00, + 0.0
+1: 2 0.00, 4 0.00, 1 1.00, + 0.0
+1: 7 0.00, 30 0.00, 5 0.00, + 0.0
+1: 7 0.00, 6 1.00, 5 0.00, + 0.0 i
+1: 4 0.50, 4 0.50, 4 0.50, + 0.0 i
+1: 15 0.10, 20 0.00, 12 0.20, + 0.0 i
+0: 2 1.00, 50 0.00, 60 0.00, + 0.0
+0: 2 1.00, 9 0.00, 45 0.00, + 0.0
+0: 4 1.00, 60 0.00, 20 0.00, + 0.0
+0: 8 0.90, 60 0.00, 30 0.00, + 0.0
+0: 2 1.00, 20 0.00, 18 0.00, + 0.0
+0: 2 1.00, 1 1.00, 14 0.00, + 0.0
+0: 1 1.00, 18 0.00, 2 1.00, + 0.0
+0: 18 0.00, 2 1.00, 1 1.00, + 0.0
+0: 9 0.00, 2 1.00, 1 1.00, + 0.0
+0: 30 0.00, 3 1.00, 1 1.00, + 0.0
+0: 25 0.05, 2 1.00, 2 1.00, + 0.0
+0: 5 0.00, 2 1.00, 1 1.00, + 0.0
+0: 40 0.00, 2 1.00, 1 1.00, + 0.0
+0: 3 0.00, 4 1.00, 2 1.00, + 0.0
+0: 3 1.00, 60 0.00, 3 1.00, + 0.0 i
+0: 3 1.00, 3 1.00, 3 1.00, + 0.0 i
+0: 14 0.00, 2 1.00, 1 1.00, + 0.0 i
+1: 60 0.00, 12 0.00, 70 0.00, + 0.5
+1: 25 0.00, 60 0.00, 40 0.00, + 0.5
+1: 40 0.10, 9 0.00, 60 0.00, + 0.5
+1: 5 0.00, 60 0.00, 40 0.00, + 0.5 h
+0: 12 0.00, 60 0.00, 50 0.00, + 0.5
+0: 4 0.00, 50 0.00, 3 1.00, + 0.5
+0: 12 0.00, 3 1.00, 2 1.00, + 0.5
+0: 3 1.00, 60 0.00, 4 1.00, + 0.5
+0: 45 0.05, 8 0.00, 40 0.00, + 1.0
+0: 12 0.00, 60 0.00, 50 0.00, + 1.0
+0: 20 0.00, 3 0.00, 20 0.00, + 1.0
+0: 80 0.00, 70 0.00, 90 0.00, + 1.0
+0: 2 0.00, 60 0.00, 60 0.00, + 1.0
+0: 3 0.00, 60 0.00, 25 0.00, + 1.0 h
+0: 25 0.00, 3 0.00, 25 0.00, + 0.0 e
+0: 60 0.00, 70 0.00, 20 0.00, + 0.0 e
+0: 8 0.00, 70 0.00, 6 0.00, + 0.0 e
+0: 4 0.00, 60 0.00, 30 0.00, + 0.0 eh
+0: 3 1.00, 60 0.00, 3 1.00, + 0.0 ei
+0: 12 0.00, 4 1.00, 8 0.00, - 1.0
+0: 9 0.00, 1 1.00, 60 0.00, - 1.0
+0: 6 0.00, 80 0.00, 0 0.00, - 0.0 e
+0: 70 0.00, 60 0.00, 50 0.00, - 0.0
+0: 120 0.00, 90 0.00, 3 0.00, - 0.0
+0: 9 0.00, 90 0.00, 12 0.00, - 0.0
+0: 2 1.00, 2 1.00, 2 1.00, - 0.0 ei
+0: 1 1.00, 0 0.00, 1 1.00, - 0.0 ei
+0: 3 1.00, 3 1.00, 40 0.00, - 0.0 ei
+0: 14 0.00, 0 0.00, 5 0.00, - 0.5
+0: 4 0.00, 12 0.00, 9 0.00, - 0.0 h
+0: 30 0.00, 3 0.00, 30 0.00, - 0.0 i
+0: 200 0.00, 0 0.00, 0 0.00, - 0.0 e
+1: 60 0.00, 55 0.00, 70 0.00, . 0.0
+1: 40 0.05, 5 0.00, 60 0.00, . 0.0
+1: 18 0.00, 60 0.00, 60 0.00, . 0.0
+1: 9 0.00, 45 0.00, 60 0.00, . 0.0
+1: 120 0.00, 3 1.00, 4 1.00, . 0.0
+1: 35 0.10, 0 0.00, 20 0.00, . 0.0
+1: 22 0.00, 7 0.00, 2 1.00, . 0.0
+1: 200 0.01, 0 0.00, 0 0.00, . 0.0
+1: 48 0.00, 50 0.00, 1 1.00, . 0.0
+1: 60 0.00, 60 0.00, 0 0.00, . 0.0
+1: 30 0.00, 60 0.00, 3 1.00, . 0.0
+1: 27 0.00, 27 0.00, 4 0.00, . 0.0
+1: 36 0.00, 25 0.00, 5 0.00, . 0.0
+1: 26 0.00, 60 0.00, 8 0.00, . 0.0
+1: 45 0.00, 0 0.00, 1 0.00, . 0.0
+1: 7 0.00, 3 1.00, 60 0.00, . 0.0 h
+1: 6 0.00, 50 0.00, 50 0.00, . 0.0 h
+1: 5 0.00, 2 1.00, 30 0.00, . 0.0 h
+1: 25 0.00, 25 0.00, 25 0.00, . 0.0 i
+1: 12 0.00, 30 0.00, 12 0.00, . 0.0 i
+1: 60 0.00, 50 0.00, 55 0.00, . 0.5
+0: 2 1.00, 2 1.00, 2 1.00, . 0.0 i
+0: 1 1.00, 1 1.00, 40 0.00, . 0.0 i
+0: 3 1.00, 0 0.00, 3 1.00, . 0.0
+0: 5 0.80, 3 1.00, 60 0.00, . 0.0
+0: 10 0.90, 60 0.00, 10 0.90, . 0.0
+0: 30 0.80, 30 0.80, 5 1.00, . 0.0
+0: 18 0.00, 2 1.00, 1 1.00, . 0.0
+0: 4 0.00, 2 1.00, 2 1.00, . 0.0
+0: 3 0.00, 3 1.00, 0 0.00, . 0.0
+0: 5 0.00, 1 0.00, 0 0.00, . 0.0
+0: 2 0.00, 3 0.00, 2 0.00, . 0.0
+0: 6 0.50, 4 1.00, 0 0.00, . 0.0
+0: 3 0.00, 2 1.00, 2 1.00, . 0.0 h
+0: 2 0.00, 4 0.00, 3 1.00, . 0.0 h
+0: 8 0.60, 8 0.60, 8 0.60, . 0.0 i
+0: 4 0.00, 3 0.00, 4 0.00, . 0.0 i
+0: 12 0.00, 60 0.00, 60 0.00, . 1.0
+0: 40 0.00, 60 0.00, 5 0.00, . 1.0
+0: 14 0.00, 5 1.00, 9 0.00, . 1.0
+0: 12 0.00, 50 0.00, 3 1.00, . 0.5
+0: 25 0.00, 30 0.00, 25 0.00, . 0.0 e
+0: 60 0.00, 50 0.00, 60 0.00, . 0.0 e
+0: 8 0.00, 60 0.00, 40 0.00, . 0.0 eh
 """
 
+#: Factors by which word counts of the labelled rows are stretched.
+STRETCH = (1.0, 0.75, 1.5)
+
 #: Elements whose text never shows.
 HIDDEN = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "head", "title", "textarea", "select", "option", "datalist", "canvas", "audio", "video"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
@@ -106,7 +173,7 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template"}
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul button".split())
 CONTAINER = BLOCK - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
 NO_CONTENT = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
-#: Words of class, id or role that mark a region as no content.
+#: Words of class, id or role that hint at no content.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promoted promotion sidebar aside rail nav navbar navigation menu breadcrumb breadcrumbs "
     "footer masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup "
@@ -117,27 +184,29 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-def _marks(attributes: str) -> tuple[bool, bool]:
-    """(marked as no content, called a header)."""
-    marked = header = False
+def _named(attributes: str) -> tuple[float, bool, bool]:
+    """(share of no-content words in the name that has most of them, hidden, called a header)."""
+    named, hidden, header = 0.0, False, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value.lower() == "true":
-            marked = True
-        elif name.lower() in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", value).lower()))
-            marked |= bool(words & MARKS)
-            header |= "header" in words
-    return marked, header
-
-
-def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
-    """Flat blocks ``(text, words, linked words, in article, marked, heading, item)`` in page order."""
+        value, name = a or b or c, name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            hidden = True
+        elif name in ("class", "id", "role"):
+            for one in value.split():
+                words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", one).lower()) if w]
+                if words:
+                    named = max(named, sum(w in MARKS for w in words) / len(words))
+                    header |= "header" in words
+    return named, hidden, header
+
+
+def blocks(page: str | None) -> list[tuple[str, int, int, bool, float, bool, bool, bool]]:
+    """Flat blocks ``(text, words, linked words, in article, named, no content, heading, item)`` in page order."""
     page = (page or "").replace("\0", "�")
     out: list[tuple] = []
     parts: list[tuple[str, bool]] = []
-    # open containers: element, hidden, article, marked
-    open_: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # open containers: element, hidden, article, named, no content
+    open_: list[tuple[str, bool, bool, float, bool]] = [("", False, False, 0.0, False)]
     depth: dict[str, int] = {}
     link = False
     heading = ""
@@ -149,9 +218,9 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
         text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
         if text:
             linked = sum(len(html.unescape(p).split()) for p, a in parts if a)
-            _, _, article, marked = open_[-1]
+            _, _, article, named, empty = open_[-1]
             words = len(text.split())
-            out.append((text, words, min(words, linked), article, marked, bool(heading), depth.get("li", 0) > 0))
+            out.append((text, words, min(words, linked), article, named, empty, bool(heading), depth.get("li", 0) > 0))
         parts = []
 
     at, end = 0, len(page)
@@ -189,6 +258,8 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
             continue
         if name == "body":
             open_, depth = open_[:1], {}  # an unclosed head ends here
+        if name in ("svg", "math") and attributes.endswith("/"):
+            continue  # empty, and without an end tag
         if name in RAW and not attributes.endswith("/"):
             close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
@@ -197,25 +268,31 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, bool
             while open_[-1][0] == "li":  # a list item ends the one before it
                 depth["li"] -= 1
                 open_.pop()
-        _, hidden, article, marked = open_[-1]
+        _, hidden, article, named, empty = open_[-1]
         inside = article or name in ("article", "main")
-        by_class, header = _marks(attributes) if attributes.strip(" /") else (False, False)
-        header |= name == "header"
-        by_class &= name not in ("html", "body", "article", "main")
-        open_.append((name, hidden or name in HIDDEN, inside, marked or name in NO_CONTENT or by_class or header and not inside))
+        own, unseen, header = _named(attributes) if attributes.strip(" /") else (0.0, False, False)
+        own = own if name not in ("html", "body", "article", "main") else 0.0
+        empty = empty or unseen or name in NO_CONTENT or not inside and (header or name == "header")
+        open_.append((name, hidden or name in HIDDEN, inside, max(named, own), empty))
         depth[name] = depth.get(name, 0) + 1
     flush()
     return out
 
 
+def _around(x: np.ndarray) -> np.ndarray:
+    x[:, 6], x[:, 7] = np.maximum(x[:, 2], x[:, 4]), np.minimum(x[:, 3], x[:, 5])
+    return x
+
+
 def describe(found: list[tuple]) -> np.ndarray:
     """Rows of ``FEATURES``, one for each block."""
     x = np.zeros((len(found), len(FEATURES)))
-    for i, (_, words, linked, article, marked, heading, item) in enumerate(found):
-        x[i] = words, linked / words, 0, 0, 0, 0, article, marked, heading, item
+    has_article = any(b[3] for b in found)
+    for i, (_, words, linked, article, named, empty, heading, item) in enumerate(found):
+        x[i] = words, linked / words, 0, 0, 0, 0, 0, 0, (1 if article else -1) if has_article else 0, named, empty, heading, item
     x[1:, 2:4] = x[:-1, :2]
     x[:-1, 4:6] = x[1:, :2]
-    return x
+    return _around(x)
 
 
 def labelled() -> tuple[np.ndarray, np.ndarray]:
@@ -223,13 +300,14 @@ def labelled() -> tuple[np.ndarray, np.ndarray]:
     x, y = [], []
     for line in LABELLED.strip().splitlines():
         label, rest = line.split(":")
-        own, before, after, flags = (p.split() for p in rest.split(","))
-        x.append([*map(float, own + before + after), *(float(f in flags[0]) for f in "amhi")])
+        own, before, after, (place, named, *flags) = (p.split() for p in rest.split(","))
+        x.append([*map(float, own + before + after), 0, 0, "-.+".index(place) - 1, float(named), *(float(f in "".join(flags)) for f in "ehi")])
         y.append(int(label))
-    return np.array(x), np.array(y)
+    # each row stands for shorter and longer blocks of its kind, too
+    return _around(np.concatenate([np.array(x) * np.array([s, 1, s, 1, s, 1, *[1] * (len(FEATURES) - 6)]) for s in STRETCH])), np.tile(y, len(STRETCH))
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple | int:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> tuple | int:
     """A decision tree: a label, or (feature, threshold, tree up to it, tree above it)."""
     if depth == 0 or len(set(y.tolist())) == 1:
         return int(y.sum() * 2 >= len(y))

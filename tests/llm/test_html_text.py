@@ -1,3 +1,5 @@
+import re
+
 from lodestone.llm import html_text as ht
 
 TREE = ht.grow(*ht.labelled())
@@ -46,3 +48,49 @@ def test_extract(spark):
     assert len(got) == 4 and sorted(r.n_chars for r in got)[:2] == [0, 2]
     assert all(r.n_chars == len(r.text) for r in got)
     assert ht.extract(pages.limit(0)).count() == 0
+
+
+def splits(tree):
+    return set() if isinstance(tree, int) else {ht.FEATURES[tree[0]]} | splits(tree[2]) | splits(tree[3])
+
+
+def test_the_tree_asks_about_neighbours():
+    assert splits(TREE) & {"words_before", "words_after", "words_around"} and splits(TREE) & {"density_before", "density_after", "density_around"}
+
+
+PROSE = "This paragraph says a good deal about its subject, in whole sentences, and goes on for long enough that nobody takes it for anything else than prose. "
+
+
+def test_names_alone_do_not_decide():
+    page = f"""<body><nav><a href=/>Home</a></nav><article><h1>Markets today</h1><div><a href=1>Read</a> <a href=2>Print</a></div><p>{PROSE}</p>
+<div class="share-price"><p>{PROSE}The shares rose.</p></div><p>{PROSE * 2}</p>
+<div class="zq-thread"><div><a href=u1>Anna B</a></div><p>I do not agree with any of this, sorry.</p><div><a href=r>Reply</a></div>
+<div><a href=u2>Carl</a></div><p>Well said, thank you for writing it down so clearly.</p><div><a href=r>Reply</a></div></div></article></body>"""
+    assert ht.main_text(page, TREE) == "\n".join(["Markets today", PROSE.strip(), f"{PROSE}The shares rose.", (PROSE * 2).strip()])
+
+
+def test_held_out_pages_with_other_names():
+    for article, close in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=x9>", "</div>")):
+        page = f"""<div class=k1><ul><li><a href=a>News</a></li><li><a href=b>Sport</a></li><li><a href=c>About us</a></li></ul></div>
+{article}<h2>What happened in the town</h2><p>{PROSE}</p><p>{PROSE * 3}</p><ul><li>{PROSE}</li><li>{PROSE}</li></ul><p>{PROSE}</p>{close}
+<footer><p>Published by somebody who keeps all rights.</p></footer>"""
+        want = ["What happened in the town", PROSE.strip(), (PROSE * 3).strip(), *[PROSE.strip()] * 3]
+        assert ht.main_text(page, TREE) == "\n".join(want)
+
+
+def test_empty_foreign_elements_hide_nothing():
+    assert ht.main_text(f'<article><svg class="i"/><p>{PROSE}</p><math/><p>{PROSE}</p><svg><text>no</text></svg></article>', TREE) == "\n".join([PROSE.strip()] * 2)
+
+
+def test_features_are_those_of_a_plain_reading():
+    """Brute force: words and link densities counted by hand on a page of simple blocks."""
+    parts = [("one two three", 0), ("<a href=x>four five</a> six", 2), ("seven", 0), ("<a href=x>eight</a>", 1), ("nine ten", 0)]
+    page = "".join(f"<p>{t}</p>" for t, _ in parts)
+    plain = [(len(re.sub("<[^>]*>", "", t).split()), n) for t, n in parts]
+    x = ht.describe(ht.blocks(page))
+    for i, (words, linked) in enumerate(plain):
+        before = plain[i - 1] if i else (0, 0)
+        after = plain[i + 1] if i + 1 < len(plain) else (0, 0)
+        want = [words, linked / words, before[0], before[1] / max(1, before[0]), after[0], after[1] / max(1, after[0])]
+        want += [max(before[0], after[0]), min(want[3], want[5]), 0, 0, 0, 0, 0]
+        assert x[i].tolist() == want
