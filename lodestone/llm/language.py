@@ -1,11 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The bytes of a text are cut into windows of ``WINDOW``; a gated recurrent unit reads each window
-forwards and another backwards, both from a zero state, and their states label every byte
-position with a distribution over the languages.  A document's distribution is the mean over
-all its positions.  Weights are trained on the driver in numpy by backpropagation through
-time (Adam), from at most ``PER_LANGUAGE`` documents of a language and ``PIECES`` pieces of
-each; they are a few kilobytes, whatever the corpus.
+forwards and another backwards, each from a zero state ``CONTEXT`` bytes outside the window (so that no position of the text is read
+cold, and no character cut), and their states label every byte position with a distribution over the languages.  A document's
+distribution is the mean over all its positions.  Weights are trained on the driver in numpy by backpropagation through
+time (Adam), from at most ``PER_LANGUAGE`` documents of a language (fewer if there are many: ``SAMPLE`` in all, and four of
+each) and ``PIECES`` pieces of each.  Every language is learned.
 
 Defined cases: a null text and one without any letter are ``und`` with score 0, as is everything if
 there is nothing to learn from; ties go to the language first in alphabetical order; a row without
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.folds import held_out, learnable, place, share
+from lodestone.llm.folds import bounded, held_out, learnable, place, share
 
-WINDOW, HIDDEN = 64, 8
-#: Bounds of what is learned from: documents of a language, pieces of a document, characters of a piece, languages.
-PER_LANGUAGE, PIECES, PIECE_CHARS, LANGUAGES = 800, 4, 200, 256
+WINDOW, CONTEXT, HIDDEN = 64, 8, 8
+#: Bounds of what is learned from: documents of a language, of all, pieces of a document, characters of a piece.
+PER_LANGUAGE, SAMPLE, PIECES, PIECE_CHARS = 800, 16_000, 4, 200
 BATCH, STEPS, RATE, SEED = 256, 300, 0.02, 11
 #: Windows run at once; it bounds a task's memory.
 LANES = 2048
@@ -165,21 +165,22 @@ class Network:
         size = np.array([len(t) for t in texts], np.int64)
         windows = -(-size // WINDOW)
         owner = np.repeat(np.arange(len(texts)), windows)
-        begin = np.cumsum(size) - size
-        at = begin[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
-        left = np.minimum(WINDOW, begin[owner] + size[owner] - at)
-        buf = np.frombuffer(b"".join([*texts, bytes(WINDOW)]), np.uint8)
+        begin = CONTEXT + np.cumsum(size) - size
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        at = begin[owner] + nth * WINDOW
+        left = np.minimum(WINDOW, size[owner] - nth * WINDOW)
+        before = np.where(nth > 0, CONTEXT, 0)
+        after = np.minimum(CONTEXT, size[owner] - nth * WINDOW - left)
+        buf = np.frombuffer(b"".join([bytes(CONTEXT), *texts, bytes(WINDOW + CONTEXT)]), np.uint8)
         total = np.zeros((len(texts), len(self.languages)))
-        by = np.argsort(-left, kind="stable")
+        by = np.lexsort((-before, -after, -left))
         for i in range(0, len(by), LANES):
             w = by[i : i + LANES]
-            steps = np.arange(int(left[w[0]]))
-            inside = steps[:, None] < left[w][None, :]
-            x = np.where(inside, buf[at[w][None, :] + steps[:, None]], 0).astype(np.uint8)
-            whole = bool(inside.all())
-            p = self._positions(x, None if whole else inside)[0]
-            if not whole:
-                p *= inside
+            steps = np.arange(CONTEXT + int((left[w] + after[w]).max()))[:, None] - CONTEXT
+            inside = (steps >= -before[w]) & (steps < (left + after)[w])
+            x = np.where(inside, buf[at[w][None, :] + steps], 0).astype(np.uint8)
+            p = self._positions(x, None if inside.all() else inside)[0]
+            p *= (steps >= 0) & (steps < left[w])  # what lies around a window is only read
             for j, sums in enumerate(p.sum(1)):
                 total[:, j] += np.bincount(owner[w], sums, len(texts))
         return total / np.maximum(size, 1)[:, None]
@@ -202,15 +203,17 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     size = F.greatest(F.length(text_col) - PIECE_CHARS + 1, F.lit(1))
     pieces = [F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), size) + 1).cast("int"), F.lit(PIECE_CHARS)) for i in range(PIECES)]
     d = docs.where(learnable(id_col) & F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull())
-    d = d.select(F.col(lang_col).alias("lang"), place(id_col).alias("p"), F.array(*pieces).alias("pieces"))
-    # the first of a language by place: a share of it by its count, cut to the bound here
-    counts = dict(tuple(r) for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col)).count().limit(LANGUAGES).collect())
+    d = d.select(F.col(lang_col).cast("string").alias("lang"), place(id_col, text_col).alias("p"), F.array(*pieces).alias("pieces"))
+    # the first of a language by place (of id and text, so that rows of one id have places of their own): a share of it by
+    # its count, repeated rows once, cut to the bound here
+    counts = dict(tuple(r) for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string")).count().collect())  # one row a language
     if not counts:
         return None
-    reach = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, share(PER_LANGUAGE, n))])
-    found = d.where(F.col("p") < F.element_at(reach, F.col("lang"))).collect()
+    most = max(4, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    reach = docs.sparkSession.createDataFrame([(g, share(most, n)) for g, n in counts.items()], "lang string, reach double")
+    found = d.join(bounded(reach), "lang").where("p < reach").select("lang", "p", "pieces").distinct().collect()
     found.sort(key=lambda r: (r.lang, r.p, r.pieces))
-    rows = [r for _, g in itertools.groupby(found, key=lambda r: r.lang) for r in itertools.islice(g, PER_LANGUAGE)]
+    rows = [r for _, g in itertools.groupby(found, key=lambda r: r.lang) for r in itertools.islice(g, most)]
     languages = sorted({r.lang for r in rows})
     if not languages:
         return None

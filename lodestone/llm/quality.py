@@ -1,7 +1,7 @@
 """Quality classification by co-training of two views.
 
 The text view is a logistic regression on what the text looks like (hashed byte pairs, symbols, repetition,
-word shapes); the metadata view one on source, language, length and lines.  Both start from the
+word shapes); the metadata view one on source and language alone, so that the views share no evidence.  Both start from the
 labelled sample.  In each round, each view labels the pool documents of which it is most confident and
 hands them to the other, and both are fitted anew.  Each view is then calibrated
 (Platt) on labelled documents kept back from the training, and the calibrated log odds are
@@ -60,13 +60,11 @@ def text_view(text: str) -> np.ndarray:
     return np.concatenate([np.sqrt(pairs / n), shape])
 
 
-def meta_view(source: str | None, lang: str | None, text: str) -> np.ndarray:
-    """Features of the page's metadata."""
-    out = np.zeros(2 * META_BUCKETS + 3)
-    out[zlib.crc32(f"source {source}".encode()) % META_BUCKETS] = 1
-    out[META_BUCKETS + zlib.crc32(f"lang {lang}".encode()) % META_BUCKETS] = 1
-    lines = text.count("\n") + 1
-    out[-3:] = np.log1p(len(text)) / 10, np.log1p(lines) / 5, np.log1p(len(text) / lines) / 8
+def meta_view(source: str | None, lang: str | None) -> np.ndarray:
+    """Features of the page's metadata: source, language, and both together."""
+    out = np.zeros(3 * META_BUCKETS)
+    for i, name in enumerate((f"source {source}", f"lang {lang}", f"both {source} {lang}")):
+        out[i * META_BUCKETS + zlib.crc32(name.encode("utf-8", "surrogatepass")) % META_BUCKETS] = 1
     return out
 
 
@@ -138,7 +136,7 @@ class CoTrained:
 
 def _features(texts: list, sources: list, langs: list) -> tuple[np.ndarray, np.ndarray]:
     texts = [t or "" for t in texts]
-    return np.array([text_view(t) for t in texts]), np.array([meta_view(s, g, t) for s, g, t in zip(sources, langs, texts, strict=True)])
+    return np.array([text_view(t) for t in texts]), np.array([meta_view(s, g) for s, g in zip(sources, langs, strict=True)])
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", label_col: str = "quality") -> CoTrained:
@@ -149,10 +147,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chosen = y.where(place("l_id") < share(LABELLED, there)).orderBy(place("l_id"), "l_id").limit(LABELLED)
     d = docs.where(learnable(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) <= TRAIN_CHARS))
     d = d.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).cast("string").alias("s"), F.col(lang_col).cast("string").alias("g"))
-    known = d.join(F.broadcast(chosen), F.col("i") == F.col("l_id")).select("i", "t", "s", "g", "y").limit(2 * LABELLED).collect()
+    known = d.join(F.broadcast(chosen), F.col("i") == F.col("l_id")).select("i", "t", "s", "g", "y").orderBy("i", "t", "s", "g").limit(2 * LABELLED).collect()
     reach = share(POOL, all_docs)
     taken = y.where(place("l_id") < reach).select("l_id")
-    pool = d.where(place("i") < reach).join(taken, F.col("i") == F.col("l_id"), "left_anti").limit(2 * POOL).collect()
+    pool = d.where(place("i") < reach).join(taken, F.col("i") == F.col("l_id"), "left_anti").orderBy("i", "t", "s", "g").limit(2 * POOL).collect()
     order = lambda r: (r.i, r.t)
     known, pool = sorted(known, key=order), sorted(pool, key=order)[:POOL]
     target = np.array([r.y for r in known], float)

@@ -182,7 +182,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     for c, there in sorted(tuple(r) for r in y.groupBy("y").count().collect()):
         # the first of a class by place; their ids, never more than the bound, go to the documents
         chosen = y.where((F.col("y") == c) & (place("l_id") < share(PER_CLASS, there))).orderBy(place("l_id"), "l_id").limit(PER_CLASS)
-        rows += d.join(F.broadcast(chosen), F.col("i") == F.col("l_id")).select("i", "t", "y").limit(2 * PER_CLASS).collect()
+        rows += d.join(F.broadcast(chosen), F.col("i") == F.col("l_id")).select("i", "t", "y").orderBy("i", "t").limit(2 * PER_CLASS).collect()
     rows.sort(key=lambda r: (r.y, r.i, r.t))
     label = np.array([r.y for r in rows], np.int64)
     model = Model(float(label.mean()) if len(label) else 0.0)

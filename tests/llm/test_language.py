@@ -53,12 +53,51 @@ def test_held_out_accuracy_and_cases(spark, monkeypatch):
     assert la.identify(docs.limit(0), net).count() == 0
 
 
-def test_long_texts_are_pooled_over_all_windows():
-    net = la.Network(["a", "b"])
-    text = bytes(random.Random(1).choices(range(97, 123), k=1000))
-    parts = [text[i : i + la.WINDOW] for i in range(0, 1000, la.WINDOW)]
-    mean = sum(net.predict([p])[0] * len(p) for p in parts) / 1000
-    assert np.allclose(net.predict([text])[0], mean, atol=1e-5)
+def brute_distribution(net, text):
+    """Every position from its own definition: one byte after the other, in plain arithmetic."""
+    table, u, back_table, back_u, out, bias = (w.astype(float) for w in net.w)
+    n = u.shape[0]
+
+    def run(data, table, u):
+        h, states = np.zeros(n), []
+        for b in data:
+            x, r_in = table[b], h @ u
+            z = np.clip(0.25 * (x[:n] + r_in[:n]) + 0.5, 0, 1)
+            r = np.clip(0.25 * (x[n : 2 * n] + r_in[n : 2 * n]) + 0.5, 0, 1)
+            c = np.tanh(x[2 * n :] + r * r_in[2 * n :])
+            h = z * h + (1 - z) * c
+            states.append(h)
+        return states
+
+    total = np.zeros(len(net.languages))
+    for at in range(0, len(text), la.WINDOW):
+        first, last = max(0, at - la.CONTEXT), min(len(text), at + la.WINDOW + la.CONTEXT)
+        part = text[first:last]
+        forward, backward = run(part, table, u), run(part[::-1], back_table, back_u)[::-1]
+        for i in range(at, min(len(text), at + la.WINDOW)):
+            y = np.concatenate([forward[i - first], backward[i - first]]) @ out + bias
+            y = np.exp(y - y.max())
+            total += y / y.sum()
+    return total / max(1, len(text))
+
+
+def test_prediction_is_that_of_a_plain_recurrence():
+    net = la.Network(["a", "b", "c"])
+    rng = random.Random(1)
+    texts = [bytes(rng.choices(range(256), k=n)) for n in (1000, 0, 1, 63, 64, 65, 71, 72, 73, 128, 200)]
+    got = net.predict(texts)
+    for t, p in zip(texts, got, strict=True):
+        assert np.allclose(p, brute_distribution(net, t), atol=1e-4)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(la, "STEPS", 1)
+    docs = spark.createDataFrame([(i, f"text of {i}", f"l{i % 300:03d}") for i in range(1500)] + [(3, f"row {i}", "l003") for i in range(900)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(la.Network, "train", lambda self, w, n, label: seen.append(np.bincount(label)))
+    net = la.learn(docs)
+    assert net.languages == [f"l{i:03d}" for i in range(300)] and seen[0].min() > 0
+    assert seen[0].max() <= 53 * la.PIECES * 4  # rows of one id do not come together
 
 
 def test_fold(spark):

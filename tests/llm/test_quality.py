@@ -47,3 +47,50 @@ def test_views_hand_labels_to_each_other():
     pool = hidden[:, None] + rng.normal(0, 0.3, (400, 3)), hidden[:, None] + rng.normal(0, 0.3, (400, 2))
     model = qu.CoTrained().fit(texts, metas, y, *pool)
     assert ((model.score(*pool) >= 0.5) == hidden).mean() > 0.97
+
+
+def test_the_exchange_beats_the_single_views():
+    """Forty labels; each view of the others is noisy, in its own way."""
+    rng = np.random.default_rng(1)
+    y = (np.arange(40) % 2).astype(float)
+    side = lambda t, k: np.concatenate([t[:, None] + rng.normal(0, 0.6, (len(t), 2)), rng.normal(0, 1, (len(t), k))], axis=1)
+    hidden, test = (np.arange(600) % 2).astype(float), (np.arange(1000) % 2).astype(float)
+    own, pool, held = [(side(t, 30), side(t, 30)) for t in (y, hidden, test)]
+    with_pool = qu.CoTrained().fit(*own, y, *pool)
+    without = qu.CoTrained().fit(*own, y, own[0][:0], own[1][:0])
+    right = lambda odds: ((odds >= 0) == test).mean()
+    for v in (0, 1):
+        alone = qu.Logistic().fit(own[v], y, np.ones(40))
+        assert right(with_pool.views[v][0].odds(held[v])) > right(alone.odds(held[v]))
+    score = lambda m: ((m.score(*held) >= 0.5) == test).mean()
+    assert score(with_pool) > score(without) and score(with_pool) > 0.9
+
+
+def test_text_view_is_a_plain_count():
+    text = "Ab ab, a1$ a1$ é.\nzz!"
+    data = text.encode()
+    pairs = np.zeros(qu.PAIR_BUCKETS)
+    for a, b in zip(data, data[1:]):
+        pairs[((a * 256 + b) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % qu.PAIR_BUCKETS] += 1
+    words = text.split()
+    got = qu.text_view(text)
+    assert np.allclose(got[: qu.PAIR_BUCKETS], np.sqrt(pairs / len(data)))
+    assert np.allclose(got[qu.PAIR_BUCKETS :][:6], [2 / len(data), 2 / len(data), 3 / 6, 1 / 6, 5 / 6, 1 / 6])
+    assert len(words) == 6
+
+
+def test_repeats_contradictions_and_ties(spark):
+    docs, labels = corpus(300)
+    more = [(i, 1 - q, 0) for i, q, _ in labels[:40]] + labels[:60]  # some documents have both labels
+    d = spark.createDataFrame(docs + docs[:50], "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame(labels + more, "doc_id long, quality int, toxic int")
+    first, second = qu.learn(d, lab), qu.learn(d.repartition(7), lab.repartition(5))
+    for a, b in zip(first.views, second.views, strict=True):
+        assert np.allclose(a[0].w, b[0].w)
+    rows = {}
+    for r in qu.score(d, first).collect():
+        rows.setdefault(r.doc_id, set()).add(round(r.score, 9))
+    assert all(len(s) == 1 for s in rows.values())
+    same = np.ones((20, 2))  # all equally sure: the first ones are handed over
+    model = qu.CoTrained().fit(np.eye(2)[np.arange(20) % 2], same, (np.arange(20) % 2).astype(float), np.eye(2)[np.arange(300) % 2], np.ones((300, 2)))
+    assert np.isfinite(model.score(np.eye(2), np.ones((2, 2)))).all()

@@ -63,3 +63,19 @@ def test_distortions_share_features():
     assert len(a & b) > len(a) / 2 and len(a & c) < len(a) / 4
     f, n = tx.features(["ab", "abcdef", "é"])
     assert len(f) == n.sum() and n[1] == 1 + 6 + 5 + 4
+
+
+def test_repeated_rows_and_contradicting_labels(spark, monkeypatch):
+    monkeypatch.setattr(tx, "STEPS", 30)
+    docs = [(i, f"plain words number {i} here" + (" idiotface" if i % 4 == 0 else "")) for i in range(200)]
+    d = spark.createDataFrame(docs + docs[:40] + [(8, "another text of this id")], "doc_id long, text string")
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(200)]
+    lab = spark.createDataFrame(labels + [(i, 1, 0) for i in range(0, 40, 4)] + labels[:20], "doc_id long, quality int, toxic int")
+    model, again = tx.learn(d, lab), tx.learn(d.repartition(6), lab.repartition(4))
+    assert np.allclose(model.scalar, again.scalar)
+    rows = {}
+    for r in tx.score(d, model).collect():
+        rows.setdefault(r.doc_id, []).append(r.score)
+    assert all(len(set(rows[i])) == 1 and len(rows[i]) == 1 + (i < 40) for i in range(200) if i != 8)
+    found = [r for r in tx.score(d, model).collect() if r.held_out]
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in found]) > 0.9  # any label says so
