@@ -66,6 +66,41 @@ def normalize(c: Column, options: StringNormalization, ascii_only: bool = False)
     return F.when(~missing, text)
 
 
+#: Characters from which pairs are compared one by one, with sets of positions as whole numbers.
+LONG = 128
+
+
+def long_jaro_winkler(a: str, b: str) -> float:
+    """Similarity of one pair; the open positions of a character are the bits of a number, so that a step costs a few
+    machine words for each 64 characters within reach."""
+    if not a or not b:
+        return float(a == b)
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    codes, open_ = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32), {}
+    for c in set(a) & set(b):
+        open_[c] = int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little")
+    taken: list[int] = []
+    kept: list[str] = []
+    for i, c in enumerate(a):
+        mask = open_.get(c, 0)
+        if not mask:
+            continue
+        lo = max(0, i - reach)
+        near = mask >> lo & (1 << (i + reach + 1 - lo)) - 1
+        if near:
+            j = lo + (near & -near).bit_length() - 1
+            open_[c] = mask ^ 1 << j
+            taken.append(j)
+            kept.append(c)
+    m = len(kept)
+    if not m:
+        return 0.0
+    moved = sum(x != b[j] for x, j in zip(kept, sorted(taken), strict=True)) // 2
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    prefix = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+
 def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
     """Similarities of pairs of strings by code points, all pairs at once; two empty strings are alike."""
     n = len(a)
@@ -81,13 +116,16 @@ def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
     ca, cb = codes(a, la, wide_a, -1), codes(b, lb, wide_b, -2)
     reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
     used_a, used_b = np.zeros((n, wide_a), bool), np.zeros((n, wide_b), bool)
-    for i in range(wide_a):
-        open_ = i < la
-        for j in range(max(0, i - int(reach.max(initial=0))), min(wide_b, i + int(reach.max(initial=0)) + 1)):
-            hit = open_ & ~used_b[:, j] & (abs(i - j) <= reach) & (ca[:, i] == cb[:, j])
-            used_b[:, j] |= hit
-            used_a[:, i] |= hit
-            open_ &= ~hit
+    most = int(reach.max(initial=0))
+    for i in range(wide_a):  # each character takes the first open one that is equal and within reach
+        lo, hi = max(0, i - most), min(wide_b, i + most + 1)
+        if hi <= lo:
+            continue
+        fits = (cb[:, lo:hi] == ca[:, i, None]) & ~used_b[:, lo:hi] & (abs(np.arange(lo, hi) - i) <= reach[:, None])
+        first = fits.argmax(1)
+        hit = np.flatnonzero(fits[np.arange(n), first] & (i < la))
+        used_b[hit, lo + first[hit]] = True
+        used_a[hit, i] = True
     m = used_a.sum(1)
     # k-th match of one side against the k-th of the other
     row_a, at_a = np.nonzero(used_a)
@@ -113,8 +151,12 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     x, y = distinct["a"].tolist(), distinct["b"].tolist()
     by = sorted(range(len(x)), key=lambda i: len(x[i]) + len(y[i]))
     found = np.zeros(len(x))
-    for i in range(0, len(by), 2048):
-        part = by[i : i + 2048]
+    short = sum(max(len(x[i]), len(y[i])) < LONG for i in by)
+    by.sort(key=lambda i: max(len(x[i]), len(y[i])) >= LONG)  # stable: the short ones stay in order
+    for i in by[short:]:
+        found[i] = long_jaro_winkler(x[i], y[i])
+    for i in range(0, short, 2048):
+        part = by[i : min(short, i + 2048)]
         found[part] = jaro_winkler([x[j] for j in part], [y[j] for j in part])
     out[ok] = found[which]
     return pd.Series(out).where(pd.Series(ok), None)

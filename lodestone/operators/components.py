@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from lodestone.plans.staging import drop_staged, stage
 
 MAX_ROUNDS = 64
+#: Jumps along the paths between two writes.
+HOPS = 3
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,9 +33,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         up = up.select("node", F.least("node", "m").alias("up"))
         up = stage(up, "parents")
-        while True:  # to the roots: each jump halves the paths
-            hop = up.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
-            jumped = up.join(hop, F.col("up") == F.col("n2")).select("node", F.col("up2").alias("up"), (F.col("up") != F.col("up2")).alias("moved"))
+        while True:  # to the roots: each round of jumps divides the paths by HOPS + 1
+            jumped = up.select("node", F.col("up").alias("p0"))
+            for i in range(HOPS):
+                hop = up.select(F.col("node").alias("n"), F.col("up").alias(f"p{i + 1}"))
+                jumped = jumped.join(hop, F.col(f"p{i}") == F.col("n")).drop("n")
+            jumped = jumped.select("node", F.col(f"p{HOPS}").alias("up"), (F.col(f"p{HOPS - 1}") != F.col(f"p{HOPS}")).alias("moved"))
             jumped = stage(jumped, "parents")
             drop_staged(up)
             up = jumped

@@ -89,8 +89,10 @@ def directory_sha256(root: Path) -> str:
     return total.hexdigest()
 
 
-def extract(df: DataFrame, recognizer: Recognizer, *, id_col: str, text_col: str = "text", max_chars: int = 1_000_000, labels: Iterable[str] | None = None) -> DataFrame:
-    """Rows ``(row_id, text, label, start_char, end_char, kb_id)``.  A text longer than ``max_chars`` fails the query."""
+def extract(df: DataFrame, recognizer: Recognizer, *, id_col: str, text_col: str = "text", max_chars: int | None = None, labels: Iterable[str] | None = None) -> DataFrame:
+    """Rows ``(row_id, text, label, start_char, end_char, kb_id)``.  A text longer than ``max_chars`` (default: what the recognizer
+    itself can take, if it has a limit) fails the query."""
+    max_chars = getattr(recognizer, "max_chars", None) if max_chars is None else max_chars
     only = frozenset(labels or ())
     if only and recognizer.labels and not only <= recognizer.labels:
         raise ValueError(f"unknown labels {sorted(only - recognizer.labels)}")
@@ -98,7 +100,7 @@ def extract(df: DataFrame, recognizer: Recognizer, *, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            if any(len(t) > max_chars for _, t in rows):
+            if max_chars is not None and any(len(t) > max_chars for _, t in rows):
                 raise ValueError(f"a text has more than {max_chars} characters")
             out = [(i, e) for (i, _), es in zip(rows, recognizer.extract_many([t for _, t in rows]), strict=True) for e in es if not only or e.label in only]
             columns = [pa.array([i for i, _ in out], batch.column(0).type), *[pa.array([getattr(e, n) for _, e in out], t) for n, t in (("text", pa.string()), ("label", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("kb_id", pa.string()))]]

@@ -22,7 +22,8 @@ from lodestone.operators.levels import patterns, with_levels
 from lodestone.plans.staging import stage
 
 #: Pattern rows collected for the fit; beyond it the comparisons have too many levels.
-MAX_PATTERNS = 100_000
+#: Patterns of levels (a few numbers each) that are broadcast; more are joined.
+BROADCAST_PATTERNS = 100_000
 
 
 @dataclass(frozen=True)
@@ -184,8 +185,7 @@ def score_pairs(levelled: DataFrame, config: LinkConfig, fitted: Fit, levels: np
     same = F.lit(True)
     for i, n in enumerate(names):
         same = same & (F.col(quote(n)) == F.col(f"p{i}"))
-    # at most MAX_PATTERNS rows of a few numbers
-    return levelled.join(F.broadcast(table), same).select(ID_L, ID_R, "match_probability", *[F.col(quote(n)) for n in names])
+    return levelled.join(F.broadcast(table) if len(rows) <= BROADCAST_PATTERNS else table, same).select(ID_L, ID_R, "match_probability", *[F.col(quote(n)) for n in names])
 
 
 def label_clusters(members: DataFrame, id_column: str = "id", root: str = "root") -> DataFrame:
@@ -253,9 +253,7 @@ def link(df: DataFrame, config: LinkConfig, right: DataFrame | None = None) -> L
     levelled = with_levels(pairs, config.comparisons).select(ID_L, ID_R, *[F.col(quote(f"level__{c.column}")) for c in config.comparisons])
     levelled = stage(levelled, "levels")
     lap("compare")
-    rows = patterns(levelled, config.comparisons).orderBy(*[F.col(quote(f"level__{c.column}")) for c in config.comparisons]).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise MemoryError("too many combinations of levels")
+    rows = patterns(levelled, config.comparisons).orderBy(*[F.col(quote(f"level__{c.column}")) for c in config.comparisons]).collect()  # the product of the numbers of levels, at most
     if not rows:
         scored = levelled.select(ID_L, ID_R, F.lit(0.0).alias("match_probability"), *[c for c in levelled.columns if c.startswith("level__")])
         fitted = None

@@ -127,8 +127,10 @@ def _pick(r: DataFrame, id_column: str, name: str, rule: MergeRule) -> Column:
 
 
 def _text(df: DataFrame, name: str) -> Column:
-    """Equal for equal present values: -0.0 is 0.0."""
+    """Equal for equal present values, and only for them: -0.0 is 0.0; an instant is a number, for its text depends on the clock."""
     c = col(name)
+    if isinstance(type_of(df, name), T.TimestampType):
+        return F.unix_micros(c).cast("string")
     return (c + F.lit(0.0)).cast("string") if is_float(type_of(df, name)) else F.hex(c) if isinstance(type_of(df, name), T.BinaryType) else c.cast("string")
 
 

@@ -3,15 +3,17 @@ answered by one aggregate is."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.columns import col, family, key, present, strip, type_of
+from lodestone.functions.columns import col, key, present, strip, type_of
 
-#: Columns up to which distinct values are counted by one multi-distinct aggregate.
+#: Columns whose distinct values are counted by one multi-distinct aggregate.
 MULTI_DISTINCT = 8
 APPROXIMATE_ACCURACY = 1000
 
@@ -37,26 +39,18 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return unpivot(wide, [(("column", F.lit(c)), ("null_count", F.col(f"m{i}")), ("row_count", F.col("n"))) for i, c in enumerate(names)])
 
 
-def injective_text(c: Column, dtype: T.DataType) -> Column:
-    """Text that differs where the values do."""
-    if isinstance(dtype, T.BinaryType):
-        return F.hex(c)
-    return (c + F.lit(0.0)).cast("string") if family(dtype) == "float" else c.cast("string")
-
-
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Rows ``(column, distinct_count)`` of present values; exact unless ``approximate``."""
+    """Rows ``(column, distinct_count)`` of present values; exact unless ``approximate``.  Exact counts take a few columns
+    at a time: one multi-distinct aggregate multiplies its rows by its columns."""
     names = list(columns or df.columns)
-    if approximate or len(names) <= MULTI_DISTINCT:
-        count = F.approx_count_distinct if approximate else F.count_distinct
-        wide = df.agg(*[count(key(df, c)).alias(f"d{i}") for i, c in enumerate(names)])
-        return unpivot(wide, [(("column", F.lit(c)), ("distinct_count", F.col(f"d{i}"))) for i, c in enumerate(names)])
-    # many columns: one Expand over typed columns would multiply wide rows; (column, text) pairs stay narrow
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.when(present(df, c), injective_text(col(c), type_of(df, c))).alias("v")) for i, c in enumerate(names)]))
-    each = df.select(cells.alias("x")).select("x.i", "x.v").distinct()
-    counted = each.groupBy("i").agg(F.count("v").alias("distinct_count"))
-    named = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, column string")
-    return named.join(counted, "i", "left").select("column", F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"))
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    step = len(names) if approximate else MULTI_DISTINCT
+    parts = []
+    for at in range(0, len(names), max(1, step)):
+        some = names[at : at + step]
+        wide = df.agg(*[count(key(df, c)).alias(f"d{i}") for i, c in enumerate(some)])
+        parts.append(unpivot(wide, [(("column", F.lit(c)), ("distinct_count", F.col(f"d{i}"))) for i, c in enumerate(some)]))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def top_values(df: DataFrame, name: str, n: int = 10) -> DataFrame:
@@ -116,7 +110,7 @@ def fences(df: DataFrame, columns: Sequence[str], k: float = 1.5, approximate: b
 def outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5, approximate: bool = False) -> DataFrame:
     """Rows ``(column, lower_bound, upper_bound, outlier_count)``; columns without values or finite bounds are left
     out.  Bounds are a driver's handful of numbers, counts one more pass."""
-    found = [r for r in fences(df, columns, k, approximate).collect() if r.lower_bound is not None and abs(r.lower_bound) != float("inf") and abs(r.upper_bound) != float("inf")]
+    found = [r for r in fences(df, columns, k, approximate).collect() if r.lower_bound is not None and math.isfinite(r.lower_bound) and math.isfinite(r.upper_bound)]
     if not found:
         return df.sparkSession.createDataFrame([], "column string, lower_bound double, upper_bound double, outlier_count long")
     wide = df.agg(*[F.count_if(outside(df, r["column"], r.lower_bound, r.upper_bound)).alias(f"o{i}") for i, r in enumerate(found)])

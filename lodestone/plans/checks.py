@@ -272,8 +272,8 @@ class IcebergTable(Check):
         counts = snapshots.file_aggregates(s.files).first()
         specs = sorted(r.spec_id for r in s.files.select("spec_id").distinct().collect())
         manifests = s.manifests.count()
-        row = s.snapshots.where(F.col("snapshot_id") == s.snapshot_id).select("committed_at").first()
-        age = (ctx.now.replace(tzinfo=None) - row.committed_at).total_seconds() / 3600 if row else None
+        row = s.snapshots.where(F.col("snapshot_id") == s.snapshot_id).select(F.unix_micros("committed_at").alias("at")).first()
+        age = (ctx.now.timestamp() - row.at / 1e6) / 3600 if row else None
         current = s.current_id()
         out = {
             "identifier": cfg.identifier, "metadata_complete": row is not None, "captured_snapshot_id": s.snapshot_id, "current_snapshot_id": current, "history_count": s.history.count(),
@@ -288,8 +288,7 @@ class IcebergTable(Check):
         if cfg.expected_ancestor_snapshot_id is not None:
             out["ancestor_ok"] = snapshots.is_ancestor(s.snapshots, s.snapshot_id, cfg.expected_ancestor_snapshot_id)
             bad += not out["ancestor_ok"]
-        for name, expected in (("captured_schema_id", cfg.expected_schema_id), ("current_spec_id", cfg.expected_current_spec_id)):
-            value = getattr(s, name, None)
+        for name, value, expected in (("captured_schema_id", s.captured_schema_id, cfg.expected_schema_id), ("current_spec_id", s.current_spec_id(), cfg.expected_current_spec_id)):
             out[name] = value
             bad += expected is not None and expected != value
         types = {f.name: f.dataType for f in ctx.df.schema}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,32 +19,27 @@ def file_aggregates(files: DataFrame) -> DataFrame:
     )
 
 
-def ancestry(snapshots: DataFrame, snapshot_id: int) -> DataFrame:
-    """Rows ``(snapshot_id, depth)``: a snapshot and its ancestors, until the root or a parent that is unknown.
+def _walk(snapshots: DataFrame, snapshot_id: int) -> Iterator[int]:
+    """A snapshot and its ancestors, until the root, an unknown parent or a cycle.  The table's history has one row of two
+    numbers a snapshot; it is read by the driver, which also has the table's metadata."""
+    parents = {r[0]: r[1] for r in snapshots.select(F.col("snapshot_id").cast("long"), F.col("parent_id").cast("long")).toLocalIterator()}
+    seen: set[int] = set()
+    at: int | None = snapshot_id
+    while at in parents and at not in seen:
+        yield at
+        seen.add(at)
+        at = parents[at]
+
 
-    The walk follows one parent at a time over a two-column table of snapshots, which a table's history bounds."""
-    spark = snapshots.sparkSession
-    snapshots.select("snapshot_id", "parent_id").createOrReplaceTempView("__lodestone_snapshots")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(snapshot_id, parent_id, depth) AS (
-          SELECT CAST(snapshot_id AS BIGINT), CAST(parent_id AS BIGINT), 0 FROM __lodestone_snapshots WHERE snapshot_id = {int(snapshot_id)}
-          UNION ALL
-          SELECT CAST(s.snapshot_id AS BIGINT), CAST(s.parent_id AS BIGINT), w.depth + 1 FROM walk w JOIN __lodestone_snapshots s ON s.snapshot_id = w.parent_id WHERE w.depth < 90)
-        SELECT DISTINCT snapshot_id, min(depth) OVER (PARTITION BY snapshot_id) AS depth FROM walk"""
-    )
+def ancestry(snapshots: DataFrame, snapshot_id: int) -> DataFrame:
+    """Rows ``(snapshot_id, depth)``: a snapshot and all of its ancestors, however many."""
+    rows = [(s, depth) for depth, s in enumerate(_walk(snapshots, int(snapshot_id)))]
+    return snapshots.sparkSession.createDataFrame(rows, "snapshot_id long, depth int")
 
 
 def is_ancestor(snapshots: DataFrame, snapshot_id: int, ancestor: int) -> bool:
     """Whether ``ancestor`` is the snapshot or before it; cycles and lost parents end the walk."""
-    parents = {r.snapshot_id: r.parent_id for r in snapshots.select("snapshot_id", "parent_id").collect()}  # one row a snapshot
-    seen: set[int] = set()
-    at: int | None = snapshot_id
-    while at is not None and at not in seen:
-        if at == ancestor:
-            return True
-        seen.add(at)
-        at = parents.get(at)
-    return False
+    return ancestor in _walk(snapshots, snapshot_id)
 
 
 @dataclass
@@ -90,12 +86,24 @@ class Snapshot:
     snapshots: DataFrame
     history: DataFrame
     spark: SparkSession
+    captured_schema_id: int | None = None
+
+    def current_spec_id(self) -> int | None:
+        """The partition spec that the table has now."""
+        return int(_table(self.spark, self.identifier).spec().specId())
 
     def current_id(self) -> int | None:
         row = self.history.sparkSession.table(f"{self.identifier}.history").orderBy(F.desc("made_current_at")).first()
         return row.snapshot_id if row else None
 
 
+def _table(spark: SparkSession, name: str):
+    """The table format's own handle, refreshed: some metadata is in no metadata table."""
+    table = spark._jvm.org.apache.iceberg.spark.Spark3Util.loadIcebergTable(spark._jsparkSession, name)
+    table.refresh()
+    return table
+
+
 def load_snapshot(spark: SparkSession, identifier: str, snapshot_id: int | None = None) -> Snapshot:
     """Bind rows and metadata of an Iceberg table to its current or a given snapshot.  The table format's library must be
     on the session's class path."""
@@ -113,4 +121,8 @@ def load_snapshot(spark: SparkSession, identifier: str, snapshot_id: int | None
     def at(suffix: str = "") -> DataFrame:
         return spark.read.format("iceberg").option("snapshot-id", snapshot_id).load(identifier + suffix)
 
-    return Snapshot(name, snapshot_id, at(), at(".files"), at(".manifests"), spark.table(f"{name}.snapshots"), history, spark)
+    captured = _table(spark, name).snapshot(snapshot_id)
+    if captured is None:
+        raise ValueError(f"the table has no snapshot {snapshot_id}")
+    schema_id = captured.schemaId()
+    return Snapshot(name, snapshot_id, at(), at(".files"), at(".manifests"), spark.table(f"{name}.snapshots"), history, spark, None if schema_id is None else int(schema_id))

@@ -140,7 +140,7 @@ def jsonl_facts(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     found = check_line(line)
                     keys = json.dumps(sorted(k for k, _ in found))
-                    seen |= {(keys, i if False else k, f, None) for i, (k, f) in enumerate(found)}
+                    seen |= {(keys, k, f, None) for k, f in found}
                     if not found:
                         seen.add((keys, None, None, None))
                 except ValueError as e:
@@ -174,16 +174,15 @@ def merge_families(families: set[str]) -> str:
 
 def jsonl_schema(spark: SparkSession, path: str) -> T.StructType:
     """The schema that all lines agree on; ValueError for any line that does not fit."""
-    facts = jsonl_facts(spark, path).limit(100_000).collect()  # distinct keys and families, not lines
-    problems = sorted({r.problem for r in facts if r.problem})
-    if problems:
-        raise ValueError("invalid JSON lines: " + "; ".join(problems[:5]))
-    if len({r["keys"] for r in facts}) > 1:
+    facts = jsonl_facts(spark, path)
+    least, most, problem, other = facts.agg(F.min("keys"), F.max("keys"), F.min("problem"), F.max("problem")).first()
+    if problem is not None:
+        raise ValueError("invalid JSON lines: " + "; ".join(sorted({problem, other})))
+    if least != most:
         raise ValueError("invalid JSON lines: lines have different keys")
     by: dict[str, set[str]] = {}
-    for r in facts:
-        if r.key is not None:
-            by.setdefault(r.key, set()).add(r.family)
+    for r in facts.where("key is not null").select("key", "family").distinct().collect():  # of one set of keys
+        by.setdefault(r.key, set()).add(r.family)
     if not by:
         raise ValueError("invalid JSON lines: no fields")
     first = spark.read.text(path).first()[0]
