@@ -485,8 +485,9 @@ def remove_repeats(
         return [rows[c].to_numpy() for c in names]
 
     anchors = chunked(lambda c, x, _: send_anchors(c, x, window, gram), d.select("chunk").limit(0), _ANCHOR_SQL).repartition("key")
-    repeated = anchors.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("total")).where("total > 1")
-    repeated = anchors.select("key", "chunk").join(repeated, F.col("key") == F.col("k")).select("chunk", "key", "total")
+    # both sides use all columns, so that one exchange serves both
+    repeated = anchors.groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("total"), F.max("chunk").alias("last")).where("total > 1 and last >= 0")
+    repeated = anchors.select(*[F.col(c).alias(c) for c in ("key", "n", "chunk")]).join(repeated, F.col("key") == F.col("k")).select("chunk", "key", F.greatest("total", "n").alias("total"))
 
     def segments(c, x, told):
         known, count = columns(told, "key", "total")
