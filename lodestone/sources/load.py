@@ -42,9 +42,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header, commas, inferred types; malformed rows fail, and only the empty field is null."""
-    csv_columns(spark, path)
-    return spark.read.options(header=True, inferSchema=True, mode="FAILFAST", nullValue="", emptyValue="", enforceSchema=False, multiLine=False).csv(path)
+    """Header, commas, inferred types, quotes doubled inside quotes; malformed rows fail, and only the empty field is null.
+
+    Files stay splittable unless a quoted field holds a line end."""
+    _, spans = csv_columns(spark, path)
+    options = {"header": True, "inferSchema": True, "mode": "FAILFAST", "nullValue": "", "emptyValue": "", "escape": '"', "enforceSchema": False, "multiLine": spans}
+    return spark.read.options(**options).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

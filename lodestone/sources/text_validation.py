@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions.columns import validate_names
 
-_RESULT = "file string, header string, problem string"
+_RESULT = "file string, header string, problem string, spans boolean"
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -23,8 +23,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_problems(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``(file, header, problem)``: each file's header once, and each kind of problem of its rows.  Whole files
-    are read as one record each because quotes may span lines."""
+    """Rows ``(file, header, problem, spans)``: each file's header once, each kind of problem of its rows, and whether a
+    field holds a line end.  Whole files are read as one record each because quotes may span lines."""
     whole = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,8 +32,9 @@ def csv_problems(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 header, problems = check_csv(content)
-                rows += [(file, json.dumps(header), p) for p in problems or [None]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["file", "header", "problem"])
+                rows += [(file, json.dumps(header), p, not problems and spans_lines(content)) for p in problems or [None]]
+            types = (pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["file", "header", "problem", "spans"])
 
     return whole.mapInArrow(run, _RESULT)
 
@@ -69,16 +70,24 @@ def check_csv(content: bytes) -> tuple[list[str], list[str]]:
     return header, list(dict.fromkeys(problems))
 
 
-def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    """The one header of all files; ValueError for any problem."""
+def spans_lines(content: bytes) -> bool:
+    """Whether a field of a valid file holds a line end."""
+    if b'"' not in content:
+        return False
+    rows = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""), strict=True)
+    return any("\n" in v or "\r" in v for row in rows for v in row)
+
+
+def csv_columns(spark: SparkSession, path: str) -> tuple[list[str], bool]:
+    """The one header of all files, and whether any field holds a line end; ValueError for any problem."""
     found = csv_problems(spark, path)
     bad = found.where("problem is not null").select("problem").distinct().limit(5).collect()
     if bad:
         raise ValueError("invalid CSV: " + "; ".join(r.problem for r in bad))
-    headers = found.select("header").distinct().limit(2).collect()
+    headers = found.groupBy("header").agg(F.bool_or("spans").alias("spans")).limit(2).collect()
     if len(headers) != 1:
         raise ValueError("invalid CSV: files have different headers")
-    return json.loads(headers[0].header)
+    return json.loads(headers[0].header), headers[0].spans
 
 
 def _pairs(pairs: list[tuple[str, object]]) -> dict:

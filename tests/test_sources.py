@@ -8,6 +8,7 @@ from lodestone.functions import strings
 from lodestone.plans import checks
 from lodestone.plans.config import IcebergTableConfig
 from lodestone.sources import snapshots, text_validation
+from lodestone.sources.load import load
 
 
 def test_ancestry_has_no_bound(spark):
@@ -77,3 +78,11 @@ def test_long_strings_compare_like_short_ones():
     began = time.perf_counter()
     assert 0.6 < strings.long_jaro_winkler(*long) < 0.9
     assert time.perf_counter() - began < 1
+
+
+def test_csv_quotes_and_line_ends(spark, tmp_path):
+    plain, long = tmp_path / "plain.csv", tmp_path / "long.csv"
+    plain.write_text('id,said\n1,"a ""quoted"" word, and more"\n2,\n3,back\\slash\n')
+    long.write_text('id,said\n1,"first\nsecond"\n2,"x ""y"""\n')
+    assert [tuple(r) for r in load(str(plain), spark).frame.orderBy("id").collect()] == [(1, 'a "quoted" word, and more'), (2, None), (3, "back\\slash")]
+    assert [tuple(r) for r in load(str(long), spark).frame.orderBy("id").collect()] == [(1, "first\nsecond"), (2, 'x "y"')]
