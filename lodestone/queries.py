@@ -60,7 +60,10 @@ def row_count(spark, sf):
     return profile.row_count(table(spark, sf, "lineitem"))
 
 
-@query()
+@query(
+    """SELECT t AS dtype, count(*) AS columns FROM (SELECT CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS t
+FROM information_schema.columns WHERE table_name = 'lineitem') GROUP BY t"""
+)
 def dtype_inventory(spark, sf):
     return profile.dtype_inventory(table(spark, sf, "lineitem"))
 
