@@ -12,6 +12,7 @@ import typing
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from pathlib import Path
+from urllib.parse import urlsplit
 from zoneinfo import ZoneInfo
 
 from lodestone.functions.columns import validate_names
@@ -171,10 +172,25 @@ class CheckConfig:
 
 @dataclass(frozen=True)
 class NarrativeConfig:
-    """The optional narrative; only the null provider is built in, others are registered by the caller."""
+    """The optional narrative; only the null provider is built in, others are registered by the caller and find here
+    where to connect.  An address without TLS is for this machine, unless it is allowed."""
 
     provider: str = "none"
     model: str = ""
+    region: str | None = None
+    aws_profile: str | None = None
+    base_url: str | None = None
+    allow_insecure_http: bool = False
+    connection_name: str | None = None
+
+    def __post_init__(self):
+        if self.base_url is None:
+            return
+        address = urlsplit(self.base_url)
+        if address.scheme not in ("http", "https") or not address.hostname or address.username or address.password:
+            raise ValueError("base_url is an http(s) address without credentials")
+        if address.scheme == "http" and address.hostname not in ("localhost", "127.0.0.1", "::1") and not self.allow_insecure_http:
+            raise ValueError("base_url needs https, or allow_insecure_http")
 
 
 @dataclass(frozen=True)
