@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from lodestone.llm import hamming_topk
@@ -46,3 +47,30 @@ def test_more_than_a_word_and_no_broadcast(spark):
     assert run(spark, rows, k=3, query_step=50, broadcast_rows=0) == brute(rows, 3, 50)
     assert hamming_topk.segments(64, 51282) == [(0, 0, 16), (0, 16, 16), (0, 32, 16), (0, 48, 16)]
     assert sum(w for _, _, w in hamming_topk.segments(100, 10)) == 100
+
+
+def test_probes_are_never_broadcast(spark, monkeypatch):
+    """Their number is unknown to the planner: it took them for as few as the queries, and the driver ran out of memory."""
+    plans, stage = [], hamming_topk.stage
+    monkeypatch.setattr(hamming_topk, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage(df, name))
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(20)]) for i in range(200)]
+    assert run(spark, rows, k=3, query_step=50, broadcast_rows=0) == brute(rows, 3, 50)
+    for plan in plans:
+        lines = [(len(x) - len(x.lstrip(" :+-*()0123456789")), x) for x in plan.splitlines()]
+        for i, (depth, x) in enumerate(lines):
+            below = itertools.takewhile(lambda y, d=depth: y[0] > d, lines[i + 1 :])
+            assert "BroadcastExchange" not in x or not any("MapInArrow" in y for _, y in below)
+
+
+def test_chunks_of_any_size_meet_the_same_pairs(spark, monkeypatch):
+    """Many chunks, crowded ones that are cut by id, and few pairs at a time."""
+    rng = random.Random(9)
+    base = [[rng.gauss(0, 1) for _ in range(70)] for _ in range(3)]
+    rows = [(i, base[0][:40] + [x if rng.random() > 0.3 else -x for x in rng.choice(base)[40:]]) for i in range(120)]  # all alike in their first bits
+    rows += [(200 + i, [x if rng.random() > 0.2 else -x for x in rng.choice(base)]) for i in range(120)] + [(500 + i, base[1]) for i in range(9)]
+    monkeypatch.setattr(hamming_topk, "PROBES", 40)
+    monkeypatch.setattr(hamming_topk, "MEETINGS", 25)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = hamming_topk.top_k(df, k=4, query_step=20, chunk_codes=5)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 4, 20)
