@@ -129,3 +129,28 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
     got = mixing.mix(docs).collect()
     assert len({(r.source, r["__mix_block"]) for r in got}) <= 23
     assert len({r["__mix_position"] for r in got}) == 1000
+
+
+def test_result_does_not_depend_on_the_size_of_buckets_or_pieces(spark, monkeypatch):
+    """The numbering is plain hash order and the plan is the same, however it is cut."""
+    docs = spark.createDataFrame([(i, "big" if i % 4 else f"s{i % 3}") for i in range(900)], "doc_id long, source string")
+    whole = {r.doc_id: (r["__mix_block"], r["__mix_slot"], r["__mix_position"]) for r in mixing.mix(docs, block_docs=2).collect()}
+    for name, value in {"BUCKET_DOCS": 7, "RUN": 8, "PLAN_BLOCKS": 40, "BROADCAST_BLOCKS": 0}.items():
+        monkeypatch.setattr(mixing, name, value)
+    again = {r.doc_id: (r["__mix_block"], r["__mix_slot"], r["__mix_position"]) for r in mixing.mix(docs, block_docs=2).collect()}
+    assert whole == again
+
+
+def test_blocks_keep_their_size_in_large_tables(spark):
+    """4,200,000 documents: more than 2 ** 18 blocks of 16."""
+    docs = spark.range(4_200_000).selectExpr("id AS doc_id", "CAST(id % 3 AS string) AS source")
+    got = mixing.mix(docs)
+    most, least, blocks, places = got.groupBy("source", "__mix_block").count().selectExpr("max(count)", "min(count)", "count(*)", "sum(count)").first()
+    assert (most, least, blocks, places) == (16, 16, 262_500, 4_200_000)
+
+
+def test_many_sources_are_scheduled_one_by_one(spark):
+    """10,001 sources of one document and a large one: each keeps blocks of its own."""
+    docs = spark.range(10_501).selectExpr("id AS doc_id", "IF(id < 500, 'big', CAST(id AS string)) AS source")
+    got = mixing.mix(docs).where("source <> 'big'")
+    assert got.selectExpr("count(DISTINCT __mix_slot)", "max(__mix_block)").first()[:] == (10_001, 0)
