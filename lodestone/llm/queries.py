@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontaminate, hamming_topk, html_text, language, mixing, quality, repeats, simhash, token_output, toxicity
+from lodestone.llm import decontaminate, hamming_topk, html_text, language, mixing, quality, repeats, runs, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality": quality.query,
     "op9_token_output": token_output.query,
     "op10_repeats": repeats.query,
+    "op11_runs": runs.query,
 }
 
 ORACLE_SQL = {
