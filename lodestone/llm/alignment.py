@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from lodestone.plans.staging import stage
 
 #: Bytes of texts in a chunk (a longer text is a chunk), and parts that a worker remembers.
-CHUNK, REMEMBERED = 4 << 20, 300_000
+CHUNK, REMEMBERED = 4 << 20, 600_000
+#: Parts that are encoded as one text, and bytes beyond which a part is encoded by itself.
+TOGETHER, LONG = 512, 512
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPACE = "▁"
 
@@ -69,6 +71,10 @@ class Tokenizers:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.b_space = self.b.piece_to_id(SPACE)
         self.parted = self.parts_at_space(pieces)
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # ids as text with what follows them: an A id, the last A id of a group, a B id, the last B id of a group
+        numbers_a, numbers_b = range(len(self.a_bytes)), range(len(self.b_bytes))
+        self.written = np.array([*(f"{i}," for i in numbers_a), *(f"{i}|" for i in numbers_a), *(f"{i}," for i in numbers_b), *(f"{i};" for i in numbers_b)], object)
 
     def parts_at_space(self, pieces: list[str]) -> bool:
         """Whether texts may be parted before a space or line end that follows a visible character: A is byte-level with the usual pattern and no
@@ -91,15 +97,23 @@ class Tokenizers:
             return [whole]
         return _WORDS(whole) if not _ODD(whole) else _CUT(whole)
 
-    def encode_b(self, parts: list[str]) -> list[list[int]]:
-        """B's ids of parts; it puts a space before what it is given."""
-        found = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        for i, p in enumerate(parts):
-            if p == " ":
-                found[i] = [self.b_space]
-            elif p[0] != " ":
-                found[i] = found[i][1:] if found[i][:1] == [self.b_space] else []
-        return found
+    def encode_alone(self, part: str) -> tuple[list[int], list[int]]:
+        """Ids of one part by A and B; B puts a space before what it is given."""
+        a = self.a.encode(part, add_special_tokens=False).ids
+        if part == " ":
+            return a, [self.b_space]
+        if part[0] == " ":
+            return a, self.b.encode(part[1:])
+        b = self.b.encode(part)
+        return a, b[1:] if b[:1] == [self.b_space] else []
+
+    def encode_together(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids by A and B of runs of parts, each run as one text: every part ends in a visible character."""
+        texts = ["".join(parts[i : i + TOGETHER]) for i in range(0, len(parts), TOGETHER)]
+        a = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        b = self.b.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
+        b = [y if t[0] == " " or y[:1] != [self.b_space] else y[1:] for t, y in zip(texts, b, strict=True)]
+        return [(np.array(x.ids, np.int64), np.array(y, np.int64)) for x, y in zip(a, b, strict=True)]
 
 
 _WORDS = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
@@ -136,8 +150,7 @@ class Parts:
         self.pairs = array("q")
         self.sizes = array("q")  # A tokens, B tokens, groups, links, faults of each part
         self.groups: list[str] = []
-        self.links, self.ends = array("q"), array("q", [0])  # pair numbers of each part, and how often they are linked there
-        self.times = array("q")
+        self.links, self.times, self.ends = array("i"), array("q"), array("q", [0])  # each part's pair numbers and how often they are linked there
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         found = list(map(self.number.get, parts))
@@ -147,42 +160,91 @@ class Parts:
         return np.array(found, np.int64)
 
     def learn(self, fresh: list[str]) -> None:
+        """Encode and merge new parts: short ones many at a time, others, and those of runs that do not come back whole, by themselves."""
         t = self.tokenizers
-        a_bytes, b_bytes = t.a_bytes, t.b_bytes
-        encoded = t.a.encode_batch_fast(fresh, add_special_tokens=False)
-        for part, a, b_ids in zip(fresh, encoded, t.encode_b(fresh), strict=True):
-            self.number[part] = len(self.groups)
-            a_ids, raw = a.ids, part.encode()
-            if b"".join([a_bytes[i] for i in a_ids]) != raw or b"".join([b_bytes[i] for i in b_ids]) != raw:
-                self.sizes.extend((0, 0, 0, 0, 1))
-                self.groups.append("")
-                self.ends.append(len(self.links))
-                continue
-            written, linked, n, i0, j0 = [], {}, 0, 0, 0
-            for i, j in merge(a_ids, b_ids, a_bytes, b_bytes):
-                left, right = a_ids[i0:i], b_ids[j0:j]
-                written.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-                n += len(left) * len(right)
-                left_n, right_n = _tally(left), _tally(right)
-                for x, k in left_n.items():
-                    for y, m in right_n.items():
-                        linked[x << 32 | y] = linked.get(x << 32 | y, 0) + k * m
-                i0, j0 = i, j
-            for key, k in linked.items():
-                at = self.pair.get(key)
-                if at is None:
-                    at = self.pair[key] = len(self.pairs)
-                    self.pairs.append(key)
-                self.links.append(at)
-                self.times.append(k)
-            self.sizes.extend((len(a_ids), len(b_ids), len(written), n, 0))
-            self.groups.append(";".join(written))
+        short = [p for p in fresh if len(p) <= LONG and not p[-1].isspace()] if t.parted else []
+        alone = set(fresh).difference(short)
+        for i, (a, b) in enumerate(t.encode_together(short)):
+            parts = short[i * TOGETHER : (i + 1) * TOGETHER]
+            raw = [p.encode() for p in parts]
+            if b"".join([t.a_bytes[x] for x in a.tolist()]) == b"".join([t.b_bytes[x] for x in b.tolist()]) == b"".join(raw):
+                self._merge_run(parts, np.cumsum([len(x) for x in raw]), a, b)
+            else:
+                alone.update(parts)
+        for part in fresh:
+            if part in alone:
+                self._merge_one(part, *t.encode_alone(part))
+
+    def _remember(self, keys: list[int]) -> list[int]:
+        """Numbers of pairs."""
+        out = []
+        for key in keys:
+            at = self.pair.get(key)
+            if at is None:
+                at = self.pair[key] = len(self.pairs)
+                self.pairs.append(key)
+            out.append(at)
+        return out
+
+    def _merge_run(self, parts: list[str], part_ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        """The two pointers over a run of parts: both lists of ends ascend, so what both hold is found by merging them."""
+        t = self.tokenizers
+        a_ends, b_ends = np.cumsum(t.a_size[a]), np.cumsum(t.b_size[b])
+        closes = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_group, b_group = np.searchsorted(closes, a_ends), np.searchsorted(closes, b_ends)
+        group_part = np.searchsorted(part_ends, closes)
+        k, n = len(closes), len(parts)
+        a_count, b_count = np.bincount(a_group, minlength=k), np.bincount(b_group, minlength=k)
+        # the groups' text: ids in order of group and side
+        last_a, last_b = np.r_[a_group[1:] != a_group[:-1], True], np.r_[b_group[1:] != b_group[:-1], True]
+        va, vb = len(t.a_bytes), len(t.b_bytes)
+        which = np.r_[a + va * last_a, b + 2 * va + vb * last_b][np.argsort(np.r_[2 * a_group, 2 * b_group + 1], kind="stable")]
+        strings = t.written[which].tolist()
+        tokens = np.cumsum(np.bincount(group_part, a_count + b_count, n)).astype(np.int64).tolist()
+        # all links: each A token of a group with each of its B tokens
+        per = b_count[a_group]
+        stop = np.cumsum(per)
+        b_first = np.cumsum(b_count) - b_count
+        at = np.arange(stop[-1]) - np.repeat(stop - per, per) + np.repeat(b_first[a_group], per)
+        keys = np.repeat(a, per) << 32 | b[at]
+        owner = np.repeat(group_part[a_group], per)
+        distinct, inverse = np.unique(keys, return_inverse=True)
+        linked, times = np.unique(owner * len(distinct) + inverse, return_counts=True)
+        numbers = np.array(self._remember(distinct.tolist()), np.int64)[linked % len(distinct)]
+        sizes = np.stack([np.bincount(group_part[a_group], minlength=n), np.bincount(group_part[b_group], minlength=n), np.bincount(group_part, minlength=n), np.bincount(owner, minlength=n), np.zeros(n, np.int64)], axis=1)
+        first = len(self.groups)
+        self.number.update(zip(parts, range(first, first + n), strict=True))
+        self.groups += ["".join(strings[x:y])[:-1] for x, y in zip([0, *tokens], tokens, strict=False)]
+        self.sizes.frombytes(sizes.astype(np.int64).tobytes())
+        self.ends.frombytes((len(self.links) + np.cumsum(np.bincount(linked // len(distinct), minlength=n))).astype(np.int64).tobytes())
+        self.links.frombytes(numbers.astype(np.int32).tobytes())
+        self.times.frombytes(times.astype(np.int64).tobytes())
+
+    def _merge_one(self, part: str, a_ids: list[int], b_ids: list[int]) -> None:
+        a_bytes, b_bytes, raw = self.tokenizers.a_bytes, self.tokenizers.b_bytes, part.encode()
+        self.number[part] = len(self.groups)
+        if b"".join([a_bytes[i] for i in a_ids]) != raw or b"".join([b_bytes[i] for i in b_ids]) != raw:
+            self.sizes.extend((0, 0, 0, 0, 1))
+            self.groups.append("")
             self.ends.append(len(self.links))
+            return
+        written, linked, n, i0, j0 = [], {}, 0, 0, 0
+        for i, j in merge(a_ids, b_ids, a_bytes, b_bytes):
+            left, right = a_ids[i0:i], b_ids[j0:j]
+            written.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
+            n += len(left) * len(right)
+            for x, k in _tally(left).items():
+                for y, m in _tally(right).items():
+                    linked[x << 32 | y] = linked.get(x << 32 | y, 0) + k * m
+            i0, j0 = i, j
+        self.links.extend(self._remember(list(linked)))
+        self.times.extend(linked.values())
+        self.sizes.extend((len(a_ids), len(b_ids), len(written), n, 0))
+        self.groups.append(";".join(written))
+        self.ends.append(len(self.links))
 
 
 def _tally(ids: list[int]) -> dict[int, int]:
-    if len(ids) == 1:
-        return {ids[0]: 1}
     out: dict[int, int] = {}
     for i in ids:
         out[i] = out.get(i, 0) + 1
@@ -225,7 +287,7 @@ def chunk_rows(store: Parts, texts: list[str | None]) -> tuple[dict[str, list],
     n = ends[at + 1] - ends[at]
     stop = np.cumsum(n)
     where = np.arange(stop[-1] if len(stop) else 0) + np.repeat(ends[at] - (stop - n), n)
-    link, times, doc = np.frombuffer(store.links, np.int64)[where], np.frombuffer(store.times, np.int64)[where], np.repeat(doc, n)
+    link, times, doc = np.frombuffer(store.links, np.int32)[where].astype(np.int64), np.frombuffer(store.times, np.int64)[where], np.repeat(doc, n)
     there = np.zeros(len(store.pairs), bool)
     there[link] = True
     pairs = np.frombuffer(store.pairs, np.int64)[there]
