@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lodestone.plans.staging import stage
 
 #: Bytes of texts in a chunk (a longer text is a chunk), and parts that a worker remembers.
-CHUNK, REMEMBERED = 4 << 20, 600_000
+CHUNK, REMEMBERED = 2 << 20, 300_000
 #: Parts that are encoded as one text, and bytes beyond which a part is encoded by itself.
 TOGETHER, LONG = 512, 512
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
