@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import alignment, decontaminate, hamming_topk, html_text, language, mixing, quality, repeats, runs, simhash, token_output, toxicity
+from lodestone.llm import alignment, decontaminate, hamming_topk, html_text, language, mixing, personal, quality, repeats, runs, simhash, token_output, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_output": token_output.query,
     "op10_repeats": repeats.query,
     "op11_runs": runs.query,
+    "op12_personal": personal.query,
     "op13_alignment": alignment.query,
 }
 
