@@ -1,15 +1,31 @@
-"""Blocking: candidate pairs from equal keys, and bounds on their number before any pair exists."""
+"""Blocking: candidate pairs from equal keys, bounds on their number before any pair exists, and their even distribution.
+
+A block of ``n`` rows makes ``n (n - 1) / 2`` pairs, so a join dealt by key is as slow as its largest block.  Counts of blocks, taken first,
+tell the number of pairs.  Where one block holds more than a work unit's pairs, its rows are dealt into parts by a hash of their id, and
+its pairs into tiles ``(part, part)`` of about one unit each; a row travels to the tiles of its part.  Keys and tiles together deal the join, so that no
+task holds more than its share of pairs, and the number of tasks follows the number of pairs (not of bytes, of which pairs have none before the join).
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import col, present, quote
+from lodestone.plans.staging import stage
 
 ID_L, ID_R = "__id_l__", "__id_r__"
+#: Pairs that a task should make, at most on average; units into which its share is cut; bounds of a unit.
+PAIRS_PER_TASK, UNITS_PER_TASK = 20_000_000, 8
+LEAST_UNIT, LARGEST_UNIT = 2_000, 4_000_000
+#: Below so many pairs tasks are left to the engine.
+FEW_PAIRS = 500_000
+#: Rows of keys and counts of large blocks that may be broadcast.
+BROADCAST_BLOCKS = 100_000
 
 
 def blocks(df: DataFrame, rule: Sequence[str]) -> DataFrame:
@@ -20,31 +36,51 @@ def blocks(df: DataFrame, rule: Sequence[str]) -> DataFrame:
     return df.where(valid).groupBy(*[col(c).alias(f"k{i}") for i, c in enumerate(rule)]).agg(F.count(F.lit(1)).alias("n"))
 
 
+@dataclass(frozen=True)
+class Work:
+    """What a rule's blocks make: bounds on all pairs and on those of the largest block."""
+
+    pairs: int
+    largest: int
+
+    def tasks(self, parallelism: int) -> int:
+        return max(parallelism, math.ceil(self.pairs / PAIRS_PER_TASK))
+
+    def unit(self, parallelism: int) -> int:
+        """Pairs of a work unit."""
+        return max(LEAST_UNIT, min(LARGEST_UNIT, self.pairs // (self.tasks(parallelism) * UNITS_PER_TASK)))
+
+
+def _sizes(df: DataFrame, rule: Sequence[str], right: DataFrame | None) -> DataFrame:
+    """Rows ``(k0, ..., n, m, p)`` of blocks: rows on both sides and pairs."""
+    left = blocks(df, rule)
+    if right is None:
+        return left.withColumn("m", F.col("n")).withColumn("p", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+    other = blocks(right, rule).select(*[F.col(f"k{j}").alias(f"r{j}") for j in range(len(rule))], F.col("n").alias("m"))
+    same = F.lit(True)
+    for j in range(len(rule)):
+        same = same & (F.col(f"k{j}") == F.col(f"r{j}"))
+    both = left.join(other, same) if rule else left.join(F.broadcast(other), F.lit(True))  # one row a side
+    return both.withColumn("p", F.col("n") * F.col("m"))
+
+
+def _work(df: DataFrame, rules: Sequence[Sequence[str]], right: DataFrame | None) -> DataFrame:
+    out = None
+    for i, rule in enumerate(rules or [()]):
+        total = [F.coalesce(f("p"), F.lit(0)).cast("long").alias(n) for f, n in ((F.sum, "pairs"), (F.max, "largest"))]
+        part = _sizes(df, rule, right).agg(*total).select(F.lit(i).alias("rule"), "pairs", "largest")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def pair_bounds(df: DataFrame, rules: Sequence[Sequence[str]], right: DataFrame | None = None) -> DataFrame:
     """Rows ``(rule, pairs)``: an upper bound for each rule (their sum bounds the union); without rules all pairs."""
-    parts = []
-    pairs = F.coalesce(F.sum("p"), F.lit(0)).cast("long").alias("pairs")
-    for i, rule in enumerate(rules):
-        left = blocks(df, rule)
-        if right is None:
-            counted = left.select((F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("p"))
-        else:
-            other = blocks(right, rule).select(*[F.col(f"k{j}").alias(f"r{j}") for j in range(len(rule))], F.col("n").alias("m"))
-            same = F.lit(True)
-            for j in range(len(rule)):
-                same = same & (F.col(f"k{j}") == F.col(f"r{j}"))
-            counted = left.join(other, same).select((F.col("n") * F.col("m")).alias("p"))
-        parts.append(counted.agg(pairs).select(F.lit(i).alias("rule"), "pairs"))
-    if not parts:
-        n = df.agg(F.count(F.lit(1)).alias("n"))
-        if right is None:
-            return n.select(F.lit(0).alias("rule"), (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"))
-        m = right.agg(F.count(F.lit(1)).alias("m"))
-        return n.join(F.broadcast(m), F.lit(True)).select(F.lit(0).alias("rule"), (F.col("n") * F.col("m")).alias("pairs"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _work(df, rules, right).select("rule", "pairs")
+
+
+def pair_work(df: DataFrame, rules: Sequence[Sequence[str]], right: DataFrame | None = None) -> list[Work]:
+    """The work of each rule (without rules: of all pairs), in one job."""
+    return [Work(r.pairs, r.largest) for r in sorted(_work(df, rules, right).collect())]
 
 
 def _side(df: DataFrame, id_column: str, columns: Sequence[str], rules: Sequence[Sequence[str]], tag: str) -> DataFrame:
@@ -54,16 +90,26 @@ def _side(df: DataFrame, id_column: str, columns: Sequence[str], rules: Sequence
     return df.select(col(id_column).alias(ID_L if tag == "l" else ID_R), *wide, *keys.values())
 
 
-def candidates(df: DataFrame, id_column: str, rules: Sequence[Sequence[str]], columns: Sequence[str] = (), right: DataFrame | None = None) -> DataFrame:
+def candidates(
+    df: DataFrame, id_column: str, rules: Sequence[Sequence[str]], columns: Sequence[str] = (), right: DataFrame | None = None,
+    *, work: Sequence[Work] | None = None, max_pairs: int | None = None, unit_pairs: int | None = None,
+) -> DataFrame:
     """Rows ``(__id_l__, __id_r__, c_l, c_r, ...)``: each pair once.
 
     One equi-join for each rule (a disjunction would become a nested loop).  A pair belongs to the first
     rule it satisfies, so that the union needs no shuffle to drop repeats.  The compared ``columns``
-    travel through the join.  Within one table pairs are ordered by id.
-    """
+    travel through the join.  Within one table pairs are ordered by id; rows without id make none.
+
+    ``work`` is what ``pair_work`` found, if the caller knows it.  Without rules every pair is a candidate,
+    and a bound ``max_pairs`` must be given; beyond it (with or without rules) a MemoryError tells so before any pair is made.
+    ``unit_pairs`` fixes the pairs of a work unit."""
+    if not rules and max_pairs is None:
+        raise ValueError("all pairs are asked for: give max_pairs")
+    work = list(work) if work is not None else pair_work(df, rules, right)
+    if max_pairs is not None and sum(w.pairs for w in work) > max_pairs:
+        raise MemoryError(f"up to {sum(w.pairs for w in work)} pairs exceed {max_pairs}")
     left = _side(df, id_column, columns, rules, "l")
     other = _side(df if right is None else right, id_column, columns, rules, "r")
-    once = F.col(ID_L) < F.col(ID_R) if right is None else F.lit(True)
     keep = [ID_L, ID_R, *[f"{c}_{t}" for c in columns for t in "lr"]]
 
     def satisfies(rule: Sequence[str]) -> Column:
@@ -72,15 +118,72 @@ def candidates(df: DataFrame, id_column: str, rules: Sequence[Sequence[str]], co
             out = out & (F.col(quote(f"__k_{c}_l")) == F.col(quote(f"__k_{c}_r")))
         return out
 
-    parts = []
-    for i, rule in enumerate(rules):
-        cond = satisfies(rule) & once
+    out = None
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    for i, (rule, w) in enumerate(zip(rules or [()], work, strict=True)):
+        first = F.lit(True)
         for earlier in rules[:i]:
-            cond = cond & ~F.coalesce(satisfies(earlier), F.lit(False))
-        parts.append(left.join(other, cond).select(*[F.col(quote(c)) for c in keep]))
-    if not parts:
-        return left.join(other, once).select(*[F.col(quote(c)) for c in keep])
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            first = first & ~F.coalesce(satisfies(earlier), F.lit(False))
+        unit = unit_pairs or w.unit(parallelism)
+        tasks = w.tasks(parallelism) if unit_pairs or w.pairs >= FEW_PAIRS else None
+        if rule and w.largest <= 2 * unit:
+            a, b = left, other
+            if tasks:
+                a, b = a.repartition(tasks, *_keys(rule, "l")), b.repartition(tasks, *_keys(rule, "r"))
+            once = F.col(ID_L) < F.col(ID_R) if right is None else F.lit(True)
+            part = a.join(b, satisfies(rule) & once & first).select(*[F.col(quote(c)) for c in keep])
+        else:
+            a, b = _tiles(left, other, rule, _parts(df, rule, right, unit), right is None)
+            # tiles are made of keys and two numbers; few ones are dealt to as many tasks as the pairs ask for
+            a, b = (x.repartition(tasks or parallelism, *_keys(rule, t), f"__i_{t}", f"__j_{t}") for x, t in ((a, "l"), (b, "r")))
+            same = satisfies(rule) & (F.col("__i_l") == F.col("__i_r")) & (F.col("__j_l") == F.col("__j_r"))
+            once = (F.col("__i_l") < F.col("__j_l")) | (F.col(ID_L) < F.col(ID_R)) if right is None else F.lit(True)
+            part = a.join(b, same & once & first).select(*_in_order(keep, right is None))
+        out = part if out is None else out.unionByName(part)
     return out
+
+
+def _keys(rule: Sequence[str], tag: str) -> list[Column]:
+    return [F.col(quote(f"__k_{c}_{tag}")) for c in rule]
+
+
+def _in_order(keep: Sequence[str], within: bool) -> list[Column]:
+    """The pair's columns, the smaller id on the left."""
+    if not within:
+        return [F.col(quote(c)) for c in keep]
+    turned = F.col(ID_L) > F.col(ID_R)
+    other = {ID_L: ID_R, ID_R: ID_L} | {c: c[:-1] + ("r" if c[-1] == "l" else "l") for c in keep if c not in (ID_L, ID_R)}
+    return [F.when(turned, F.col(quote(other[c]))).otherwise(F.col(quote(c))).alias(c) for c in keep]
+
+
+def _parts(df: DataFrame, rule: Sequence[str], right: DataFrame | None, unit: int) -> DataFrame:
+    """Rows ``(k0, ..., sl, sr)`` of blocks that make more than a unit's pairs: into how many parts either side is dealt."""
+    side = max(1, math.isqrt(unit))
+    large = _sizes(df, rule, right).where(F.col("p") > unit)
+    large = large.select(*[f"k{j}" for j in range(len(rule))], *[F.ceil(F.col(n) / side).cast("int").alias(s) for n, s in (("n", "sl"), ("m", "sr"))])
+    large = stage(large, "blocks")
+    return F.broadcast(large) if large.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS else large
+
+
+def _tiles(left: DataFrame, other: DataFrame, rule: Sequence[str], parts: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the tiles ``(__i, __j)`` that each row belongs to.  A left row of part ``i`` meets right rows of part ``j``; within one table only
+    tiles with ``i <= j`` exist, which hold each pair of parts once."""
+    if within:
+        left, other = left.where(F.col(ID_L).isNotNull()), other.where(F.col(ID_R).isNotNull())
+
+    def dealt(side: DataFrame, tag: str, own: str, across: str) -> DataFrame:
+        names = [c for c in side.columns]
+        p = parts.select(*[F.col(f"k{j}").alias(f"__b{j}") for j in range(len(rule))], F.col("sl").alias("__sl"), F.col("sr").alias("__sr"))
+        same = F.lit(True)
+        for j, key in enumerate(_keys(rule, tag)):
+            same = same & (key == F.col(f"__b{j}"))
+        known = side.join(p, same, "left") if rule else side.join(F.broadcast(p), F.lit(True), "left")  # without keys: one row
+        mine = F.pmod(F.xxhash64(F.col(ID_L if tag == "l" else ID_R)), F.coalesce(F.col(own), F.lit(1))).cast("int")
+        known = known.withColumn("__own", mine)
+        last = F.coalesce(F.col(across), F.lit(1)) - 1
+        low, high = (F.lit(0), last) if not within else (F.col("__own"), last) if tag == "l" else (F.lit(0), F.col("__own"))
+        known = known.withColumn("__across", F.explode(F.sequence(low, high)))
+        i, j = ("__own", "__across") if tag == "l" else ("__across", "__own")
+        return known.select(*[F.col(quote(c)) for c in names], F.col(i).alias(f"__i_{tag}"), F.col(j).alias(f"__j_{tag}"))
+
+    return dealt(left, "l", "__sl", "__sr"), dealt(other, "r", "__sr", "__sl")

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions.columns import col, family, is_float, is_nested, quote, strip, type_of
 from lodestone.functions.strings import StringNormalization, normalize
-from lodestone.operators.blocking import ID_L, ID_R, candidates, pair_bounds
+from lodestone.operators.blocking import ID_L, ID_R, Work, candidates, pair_work
 from lodestone.operators.components import connected_components
 from lodestone.operators.fellegi_sunter import Fit, fit, score
 from lodestone.operators.levels import patterns, with_levels
@@ -166,14 +166,15 @@ def normalize_records(df: DataFrame, config: LinkConfig) -> DataFrame:
     return df.select(*[normalize(col(c), todo[c], plain[c]).alias(c) if c in todo else col(c) for c in df.columns])
 
 
-def guard(df: DataFrame, config: LinkConfig, right: DataFrame | None) -> int:
-    """The bound on pairs; MemoryError beyond the caps."""
-    bound = pair_bounds(df, config.blocking_rules, right).agg(F.sum("pairs")).first()[0] or 0
+def guard(df: DataFrame, config: LinkConfig, right: DataFrame | None) -> list[Work]:
+    """The bounds on pairs of each rule; MemoryError beyond the caps."""
+    work = pair_work(df, config.blocking_rules, right)
+    bound = sum(w.pairs for w in work)
     if bound > config.max_pairs_hard_cap:
         raise MemoryError(f"up to {bound} pairs exceed the cap of {config.max_pairs_hard_cap}")
     if not config.blocking_rules and bound > config.max_pairs_warning:
         raise MemoryError(f"{bound} pairs without blocking exceed {config.max_pairs_warning}")
-    return bound
+    return work
 
 
 def score_pairs(levelled: DataFrame, config: LinkConfig, fitted: Fit, levels: np.ndarray) -> DataFrame:
@@ -247,9 +248,9 @@ def link(df: DataFrame, config: LinkConfig, right: DataFrame | None = None) -> L
                 raise TypeError(f"column {spec.column!r} has types {a} and {b}")
     left, other = normalize_records(df, config), None if right is None else normalize_records(right, config)
     lap("normalize")
-    guard(left, config, other)
+    work = guard(left, config, other)
     lap("estimate")
-    pairs = candidates(left, config.unique_id_column, config.blocking_rules, [c.column for c in config.comparisons], other)
+    pairs = candidates(left, config.unique_id_column, config.blocking_rules, [c.column for c in config.comparisons], other, work=work, max_pairs=config.max_pairs_hard_cap)
     levelled = with_levels(pairs, config.comparisons).select(ID_L, ID_R, *[F.col(quote(f"level__{c.column}")) for c in config.comparisons])
     levelled = stage(levelled, "levels")
     lap("compare")

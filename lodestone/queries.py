@@ -330,7 +330,16 @@ def blocking_link(spark, sf):
 
 @query('SELECT a.s_suppkey AS "__id_l__", b.s_suppkey AS "__id_r__" FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey')
 def blocking_none(spark, sf):
-    return candidates(table(spark, sf, "supplier"), "s_suppkey", [])
+    return candidates(table(spark, sf, "supplier"), "s_suppkey", [], max_pairs=10**12)
+
+
+_HALF = "(SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE c_nationkey END AS k FROM customer)"
+
+
+@query(f'SELECT a.c_custkey AS "__id_l__", b.c_custkey AS "__id_r__", a.k AS k_l, b.k AS k_r FROM {_HALF} a JOIN {_HALF} b ON a.k = b.k AND a.c_custkey < b.c_custkey')
+def blocking_hot_block(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, -1).otherwise(F.col("c_nationkey")).alias("k"))
+    return candidates(c, "c_custkey", [("k",)], ["k"])
 
 
 _PAIRS = "customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey"

@@ -218,7 +218,7 @@ def link_guard(spark, sf):
     rows = []
     for cap in (10, 50_000_000):
         try:
-            rows.append((cap, False, int(guard(_digits(spark, sf), _link_config(max_pairs_warning=min(cap, 5_000_000), max_pairs_hard_cap=cap), None))))
+            rows.append((cap, False, sum(w.pairs for w in guard(_digits(spark, sf), _link_config(max_pairs_warning=min(cap, 5_000_000), max_pairs_hard_cap=cap), None))))
         except MemoryError:
             rows.append((cap, True, None))
     return spark.createDataFrame(rows, "cap long, refused boolean, pairs long")
