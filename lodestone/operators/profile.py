@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.columns import col, key, present, strip, type_of
+from lodestone.operators.quantile import exact_quantiles
 
 #: Columns whose distinct values are counted by one multi-distinct aggregate.
 MULTI_DISTINCT = 8
@@ -59,19 +60,22 @@ def top_values(df: DataFrame, name: str, n: int = 10) -> DataFrame:
     return counted.select(F.col("v").cast("string").alias("value"), "count").orderBy(F.desc("count"), "value").limit(n)
 
 
-def quantile_columns(df: DataFrame, columns: Sequence[str], qs: Sequence[float], approximate: bool = False) -> list[Column]:
-    """For each column an array of quantiles of its present values (null if there are none)."""
+def quantile_values(df: DataFrame, columns: Sequence[str], qs: Sequence[float], approximate: bool = False) -> dict[str, list[float | None]]:
+    """For each column the quantiles of its present values (None if there are none): by rank selection, or by sketches of bounded size."""
+    if not approximate:
+        return exact_quantiles(df, columns, qs)
+    if not columns:
+        return {}
     array = F.array(*[F.lit(float(q)) for q in qs])
-    if approximate:
-        return [F.percentile_approx(key(df, c).cast("double"), array, F.lit(APPROXIMATE_ACCURACY)) for c in columns]
-    return [F.percentile(key(df, c).cast("double"), array) for c in columns]
+    row = df.agg(*[F.percentile_approx(key(df, c).cast("double"), array, F.lit(APPROXIMATE_ACCURACY)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {c: list(row[i]) if row[i] is not None else [None] * len(qs) for i, c in enumerate(columns)}
 
 
 def quantiles(df: DataFrame, columns: Sequence[str], qs: Sequence[float], approximate: bool = False) -> DataFrame:
     """Rows ``(column, quantile, value)``: linear interpolation unless ``approximate``; NaN for an empty column."""
-    wide = df.agg(*[c.alias(f"q{i}") for i, c in enumerate(quantile_columns(df, columns, qs, approximate))])
-    nan = F.lit(float("nan"))
-    return unpivot(wide, [(("column", F.lit(c)), ("quantile", F.lit(float(q))), ("value", F.coalesce(F.get(F.col(f"q{i}"), F.lit(j)), nan))) for i, c in enumerate(columns) for j, q in enumerate(qs)])
+    found = quantile_values(df, columns, qs, approximate)
+    rows = [(c, float(q), float("nan") if v is None else float(v)) for c in columns for q, v in zip(qs, found[c], strict=True)]
+    return df.sparkSession.createDataFrame(rows, "column string, quantile double, value double")
 
 
 def quantile_provenance(approximate: bool) -> dict:
@@ -99,12 +103,9 @@ def rows_outside(df: DataFrame, name: str, low, high, n: int | None = None) -> D
 
 def fences(df: DataFrame, columns: Sequence[str], k: float = 1.5, approximate: bool = False) -> DataFrame:
     """Rows ``(column, lower_bound, upper_bound)`` of the interquartile rule; null for a column without values."""
-    wide = df.agg(*[c.alias(f"q{i}") for i, c in enumerate(quantile_columns(df, columns, [0.25, 0.75], approximate))])
-    rows = []
-    for i, c in enumerate(columns):
-        q1, q3 = F.col(f"q{i}")[0], F.col(f"q{i}")[1]
-        rows.append((("column", F.lit(c)), ("lower_bound", q1 - k * (q3 - q1)), ("upper_bound", q3 + k * (q3 - q1))))
-    return unpivot(wide, rows)
+    found = quantile_values(df, columns, [0.25, 0.75], approximate)
+    rows = [(c, None, None) if q1 is None else (c, float(q1 - k * (q3 - q1)), float(q3 + k * (q3 - q1))) for c, (q1, q3) in ((c, found[c]) for c in columns)]
+    return df.sparkSession.createDataFrame(rows, "column string, lower_bound double, upper_bound double")
 
 
 def outliers(df: DataFrame, columns: Sequence[str], k: float = 1.5, approximate: bool = False) -> DataFrame:
