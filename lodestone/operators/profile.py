@@ -13,10 +13,13 @@ from pyspark.sql import types as T
 
 from lodestone.functions.columns import col, key, present, strip, type_of
 from lodestone.operators.quantile import exact_quantiles
+from lodestone.plans.staging import stage
 
 #: Columns whose distinct values are counted by one multi-distinct aggregate.
 MULTI_DISTINCT = 8
 APPROXIMATE_ACCURACY = 1000
+#: Repeated digests (16 bytes each) that may be broadcast.
+BROADCAST_DIGESTS = 1_000_000
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -122,21 +125,55 @@ def _keys(df: DataFrame, subset: Sequence[str] | None) -> list[str]:
     return list(subset) if subset else df.columns
 
 
+def _is_wide(df: DataFrame, names: Sequence[str]) -> bool:
+    """Whether keys take more room than a digest, or no fixed room."""
+    fixed = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return len(names) > 2 or not all(isinstance(type_of(df, c), fixed) for c in names)
+
+
+def digest(keys: Sequence[Column]) -> list[Column]:
+    """128 bits of a row's keys, of which NULLs are part."""
+    parts = [p for k in keys for p in (k, k.isNull())]
+    return [F.xxhash64(F.lit(i), *parts) for i in (1, 2)]
+
+
+def _suspects(df: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    """The rows whose digest occurs more than once (None: there are no such rows).  Only digests and counts are shuffled to find
+    them; then, unless more digests are repeated than may be broadcast, no row moves."""
+    h = digest([key(df, c) for c in names])
+    twice = df.select(h[0].alias("h"), h[1].alias("i")).groupBy("h", "i").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = stage(twice.select(F.col("h").alias("__h"), F.col("i").alias("__i")), "digests")
+    some = twice.limit(BROADCAST_DIGESTS + 1).count()
+    if not some:
+        return None
+    return df.join(F.broadcast(twice) if some <= BROADCAST_DIGESTS else twice, (h[0] == F.col("__h")) & (h[1] == F.col("__i")), "left_semi")
+
+
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """One row ``duplicate_count``: members of groups of equal keys with more than one row; NULL and NaN are one key."""
-    grouped = df.groupBy(*[key(df, c).alias(f"k{i}") for i, c in enumerate(_keys(df, subset))]).agg(F.count(F.lit(1)).alias("n"))
+    """One row ``duplicate_count``: members of groups of equal keys with more than one row; NULL and NaN are one key.  Wide keys are
+    searched by digest first; rows of repeated digests are then compared in full."""
+    names = _keys(df, subset)
+    rows = df.select(*[col(c) for c in dict.fromkeys(names)])
+    if _is_wide(df, names):
+        rows = _suspects(rows, names)
+        if rows is None:
+            return df.sparkSession.range(1).select(F.lit(0).cast("long").alias("duplicate_count"))
+    grouped = rows.groupBy(*[key(rows, c).alias(f"k{i}") for i, c in enumerate(names)]).agg(F.count(F.lit(1)).alias("n"))
     return grouped.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_count"))
 
 
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, n: int | None = None) -> DataFrame:
-    """The rows of groups with more than one member, all or any ``n``.  The repeated keys are found by a pre-aggregated
-    count and joined back, so that a huge group is never gathered in one task."""
+    """The rows of groups with more than one member, all or any ``n``.  Repeated keys are found by a pre-aggregated
+    count (of wide ones: among rows of repeated digests) and joined back, so that a huge group is never gathered in one task."""
     names = _keys(df, subset)
-    dup = df.groupBy(*[key(df, c).alias(f"__k{i}") for i, c in enumerate(names)]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    rows = _suspects(df, names) if _is_wide(df, names) else df
+    if rows is None:
+        return df.limit(0)
+    dup = rows.groupBy(*[key(df, c).alias(f"__k{i}") for i, c in enumerate(names)]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     same = F.lit(True)
     for i, c in enumerate(names):
         same = same & key(df, c).eqNullSafe(dup[f"__k{i}"])
-    found = df.join(dup, same, "left_semi")
+    found = rows.join(dup, same, "left_semi")
     return found if n is None else found.limit(n)
 
 

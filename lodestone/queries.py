@@ -153,6 +153,24 @@ def duplicate_null_nan_key(spark, sf):
     return profile.duplicate_count(d.select(v.alias("v"), "event_type"))
 
 
+_DEALT = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@query(f"SELECT coalesce(sum(n), 0)::BIGINT AS duplicate_count FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(_DEALT)} HAVING count(*) > 1)")
+def duplicates_wide_keys(spark, sf):
+    return profile.duplicate_count(table(spark, sf, "lineitem"), _DEALT)
+
+
+@query("SELECT coalesce(sum(n), 0)::BIGINT AS duplicate_count FROM (SELECT *, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1)")
+def duplicates_whole_rows(spark, sf):
+    return profile.duplicate_count(table(spark, sf, "lineitem"))
+
+
+@query("SELECT doc_id, text, lang FROM documents QUALIFY count(*) OVER (PARTITION BY text, lang) > 1")
+def duplicate_documents(spark, sf):
+    return profile.duplicate_rows(table(spark, sf, "documents").select("doc_id", "text", "lang"), ["text", "lang"])
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1")
 def duplicate_rows(spark, sf):
     return profile.duplicate_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"])
