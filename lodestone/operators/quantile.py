@@ -24,9 +24,8 @@ from lodestone.functions.columns import key
 
 #: Rows of a range that are grouped by value and ordered in one task.
 BOUND = 100_000
-#: Accuracy of the sketches, and how far from a wanted rank, in shares of all, its splitters are asked for.
-ACCURACY = 10_000
-MARGIN = 2 / ACCURACY
+#: Accuracy of the sketches: splitters are asked for two of its steps below and above a wanted rank.
+ACCURACY = 4_000
 
 
 @dataclass
@@ -86,11 +85,32 @@ def _split(df: DataFrame, values: Sequence[Column], cuts: list[tuple[Range, int,
     return found, list(ranges.values())
 
 
+def _apart(ranges: list[Range]) -> list[Range]:
+    """Ranges of a column that overlap, as one."""
+    out: list[Range] = []
+    least = lambda r: -math.inf if r.low is None else r.low
+    for r in sorted(ranges, key=lambda r: (r.column, r.low is not None, least(r))):
+        last = out[-1] if out and out[-1].column == r.column else None
+        if last and (last.high is None or r.low is None or r.low < last.high):
+            last.high = None if last.high is None or r.high is None else max(last.high, r.high)
+            last.ranks += r.ranks
+        else:
+            out.append(Range(r.column, r.low, r.high, r.below, r.inside, list(r.ranks)))
+    return out
+
+
 def _pick(df: DataFrame, values: Sequence[Column], ranges: list[Range]) -> dict[tuple[int, int], float]:
     """Values of the wanted ranks of small ranges: grouped by value, numbered within each range."""
-    hits = F.array(*[F.when(r.holds(values[r.column]) & values[r.column].isNotNull(), F.struct(F.lit(i).alias("r"), values[r.column].alias("x"))) for i, r in enumerate(ranges)])
-    rows = df.select(F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("h")).groupBy(F.col("h.r").alias("r"), F.col("h.x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("r").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))  # at most BOUND rows a range
+    ranges = _apart(ranges)
+    numbers: dict[int, Column] = {}  # the range of each column that a row's value is in
+    for i, r in enumerate(ranges):
+        inside = r.holds(values[r.column])
+        numbers[r.column] = numbers[r.column].when(inside, i) if r.column in numbers else F.when(values[r.column].isNotNull() & inside, i)
+    slim = df.select(*[values[c].alias(f"x{c}") for c in numbers], *[n.alias(f"r{c}") for c, n in numbers.items()])
+    slim = slim.where(F.coalesce(*[F.col(f"r{c}") for c in numbers]).isNotNull())
+    each = F.explode(F.array(*[F.struct(F.col(f"r{c}").alias("r"), F.col(f"x{c}").alias("x")) for c in numbers]))
+    rows = slim.select(each.alias("h")).where("h.r IS NOT NULL").groupBy(F.col("h.r").alias("r"), F.col("h.x").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("r").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))  # a few times BOUND rows a range, at most
     rows = rows.withColumn("last", upto)
     wanted = F.lit(False)
     for i, r in enumerate(ranges):
