@@ -25,7 +25,7 @@ from lodestone.plans.config import Config, NarrativeConfig, comparison_spec, pla
 from lodestone.plans.staging import drop_staged, stage
 from lodestone.sources import intake
 from lodestone.sources.load import load
-from lodestone.sources.sinks import linkage_audit, publish, stream_json
+from lodestone.sources.sinks import linkage_audit, linkage_audit_tree, publish, stream_json
 
 log = logging.getLogger("lodestone")
 
@@ -125,6 +125,7 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--normalize-strings", action="store_true", default=True)
     k.add_argument("--raw-strings", dest="normalize_strings", action="store_false")
     k.add_argument("--output", "--audit", "-o", dest="audit", help="JSON of parameters, matched pairs and clusters")
+    k.add_argument("--audit-tree", help="folder of the same, written by all tasks, with a tree of digests")
     k.add_argument("--deduplicated-output", "--dedupe-output", dest="dedupe_output")
     k.add_argument("--dedupe-format", choices=["parquet", "csv", "jsonl", "ndjson"], help="default: the output's suffix, else parquet")
     k.add_argument("--survivor-sort", type=parse_sort, action="append", default=[])
@@ -226,12 +227,14 @@ def run_link(a: argparse.Namespace, spark: SparkSession) -> int:
         kind = a.dedupe_format or (suffix if suffix in ("csv", "jsonl", "ndjson") else "parquet")
         found = merge.deduplicate(normalize_records(df, config), config, consolidation(a, df))  # normal forms stay as they are when normalised again
         result = found.linkage
-        publish(found.consolidation, a.dedupe_output, a.audit + ".dedupe", kind)
+        publish(found.consolidation, a.dedupe_output, a.audit + ".dedupe", kind, replace=True)
     else:
         result = link(df, config, right)
     if a.audit:
         linkage_audit(a.audit, result, json.dumps(plain(config), sort_keys=True))
         log.info("linkage written", extra={"output_path": a.audit, "format": "json"})
+    if a.audit_tree:
+        linkage_audit_tree(a.audit_tree, result, json.dumps(plain(config), sort_keys=True), replace=True)
     if not a.quiet:
         print(json.dumps(result.summary(), default=str))
     return 2 if result.status == "rejected" else 0
