@@ -176,9 +176,16 @@ NO_CONTENT = {"nav", "footer", "aside", "form", "menu", "dialog", "button"}
 #: Words of class, id or role that hint at no content.
 MARKS = set(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored sponsors promo promoted promotion sidebar aside rail nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup "
+    "footer masthead topbar toolbar comment comments commentlist commenter reply replies respond disqus discussion talkback feedback cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup "
     "related recommended recommendations share sharing social widget widgets popup modal overlay login register search pagination pager pages legal copyright disclaimer complementary contentinfo skip".split()
 )
+#: Words of a name that say where or how, not what; they do not count beside those that do.
+PLACES = set(
+    "container wrapper wrap inner outer box body text bar item items list block area section panel content holder slot unit zone group row col column cell card entry post posts "
+    "user users reader site page main left right top bottom small large mini inline new latest all area link links button title heading hd bd ft js id".split()
+)
+#: Together: what readers wrote.
+READERS, WRITINGS = {"user", "users", "reader", "readers", "customer", "customers", "visitor", "visitors", "guest", "member"}, {"review", "reviews", "rating", "ratings", "opinion", "opinions", "post", "posts", "message", "messages"}
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -194,9 +201,12 @@ def _named(attributes: str) -> tuple[float, bool, bool]:
         elif name in ("class", "id", "role"):
             for one in value.split():
                 words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", one).lower()) if w]
-                if words:
-                    named = max(named, sum(w in MARKS for w in words) / len(words))
+                telling = [w for w in words if w in MARKS or w not in PLACES and not w.isdigit()]
+                if telling:
+                    named = max(named, sum(w in MARKS for w in telling) / len(telling))
                     header |= "header" in words
+                if READERS.intersection(words) and WRITINGS.intersection(words):
+                    named = 1.0
     return named, hidden, header
 
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,14 @@ WINDOW, CONTEXT, HIDDEN = 64, 8, 8
 #: Bounds of what is learned from: documents of a language, of all, pieces of a document, characters of a piece.
 PER_LANGUAGE, SAMPLE, PIECES, PIECE_CHARS = 800, 16_000, 4, 200
 BATCH, STEPS, RATE, SEED = 256, 300, 0.02, 11
-#: Windows run at once; it bounds a task's memory.
-LANES = 2048
-_letter = re.compile(r"[^\W\d_]").search
+#: Windows run at once with up to ``FEW`` languages, and fewer with more; it bounds a task's memory.
+LANES, FEW = 2048, 16
+_alphanumeric = re.compile(r"[^\W\d_]").finditer
+
+
+def _letter(text: str) -> bool:
+    """Whether a character is of a category of letters (numbers such as one half are not)."""
+    return any(unicodedata.category(m[0])[0] == "L" for m in _alphanumeric(text))
 
 
 def _forward(x: np.ndarray, table: np.ndarray, u: np.ndarray, inside: np.ndarray | None = None, keep: bool = False):
@@ -174,8 +180,9 @@ class Network:
         buf = np.frombuffer(b"".join([bytes(CONTEXT), *texts, bytes(WINDOW + CONTEXT)]), np.uint8)
         total = np.zeros((len(texts), len(self.languages)))
         by = np.lexsort((-before, -after, -left))
-        for i in range(0, len(by), LANES):
-            w = by[i : i + LANES]
+        lanes = max(16, LANES * FEW // max(FEW, len(self.languages)))
+        for i in range(0, len(by), lanes):
+            w = by[i : i + lanes]
             steps = np.arange(CONTEXT + int((left[w] + after[w]).max()))[:, None] - CONTEXT
             inside = (steps >= -before[w]) & (steps < (left + after)[w])
             x = np.where(inside, buf[at[w][None, :] + steps], 0).astype(np.uint8)
@@ -206,7 +213,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     d = d.select(F.col(lang_col).cast("string").alias("lang"), place(id_col, text_col).alias("p"), F.array(*pieces).alias("pieces"))
     # the first of a language by place (of id and text, so that rows of one id have places of their own): a share of it by
     # its count, repeated rows once, cut to the bound here
-    counts = dict(tuple(r) for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string")).count().collect())  # one row a language
+    counts = dict(tuple(r) for r in d.groupBy("lang").count().collect())  # one row a language; of learnable rows alone
     if not counts:
         return None
     most = max(4, min(PER_LANGUAGE, SAMPLE // len(counts)))

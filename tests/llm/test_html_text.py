@@ -94,3 +94,25 @@ def test_features_are_those_of_a_plain_reading():
         want = [words, linked / words, before[0], before[1] / max(1, before[0]), after[0], after[1] / max(1, after[0])]
         want += [max(before[0], after[0]), min(want[3], want[5]), 0, 0, 0, 0, 0]
         assert x[i].tolist() == want
+
+
+PARAGRAPH = "<p>The committee met on Tuesday to discuss the new budget, and after three hours of debate the members agreed that the plan should go forward with small changes to the schedule.</p>"
+BOX = "This is what I wanted to say about it because it seems to me that nobody else has noticed the point that was made before by others in the room."
+
+
+def boxed(name, layout, attribute="class"):
+    a, b = {"article": ("<article>", "</article>"), "div": ("<div>", "</div>"), "main": ('<main id="content"><div class="post">', "</div></main>")}[layout]
+    return f"<html><body><h1>The new budget</h1>{a}{PARAGRAPH}{PARAGRAPH}<div {attribute}='{name}'><p>{BOX}</p></div>{PARAGRAPH}{b}</body></html>"
+
+
+def test_names_of_boxes():
+    tree = ht.grow(*ht.labelled())
+    noise = "ad-container comment-body comment-text user-comment related-posts newsletter-box cookie-bar notice-box disclaimer-text post-footer talkback user-review sidebar adBox commentList__item reader-opinions site-footer-inner js-cookie-consent promo_unit_2 notice".split()
+    prose = "share-price main-content post-body article-text entry-content pull-quote review-body story-2 address lead loader shadow canadian".split()
+    for layout in ("article", "div", "main"):
+        for attribute in ("class", "id"):
+            for name in noise:
+                text = ht.main_text(boxed(name, layout, attribute), tree)
+                assert BOX not in text and text.count("committee") == 3, (name, layout)
+            for name in prose:
+                assert BOX in ht.main_text(boxed(name, layout, attribute), tree), (name, layout)

@@ -105,3 +105,33 @@ def test_fold(spark):
 
     got = spark.range(50).select("id", held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def test_numbers_are_no_letters():
+    assert not any(language._letter(t) for t in ("", "\u00bd \u2461", "\u2167 12", "\u00b2_", "!? \u0301"))
+    assert all(language._letter(t) for t in ("\u00bd a", "\u00aa", "\u02b0", "\u6f22", "1\u00e9"))
+
+
+def test_labels_of_held_out_rows_change_nothing(spark):
+    import random
+    import zlib
+
+    rng = random.Random(8)
+    words = {"aa": ["thou", "wither", "nought"], "bb": ["jag", "och", "inte"]}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(12)), g) for i in range(120) for g in [rng.choice(["aa", "bb"])]]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    turned = [(i, t, f"x{i}" if out(i) else g) for i, t, g in rows]
+    found = []
+    for table in (rows, turned):
+        df = spark.createDataFrame(table, "doc_id long, text string, lang string").coalesce(1)
+        found.append(sorted(tuple(r) for r in language.identify(df, language.learn(df)).collect()))
+    assert found[0] == found[1] and {r[2] for r in found[0]} == {"aa", "bb"}
+
+
+def test_windows_at_once_follow_the_number_of_languages():
+    net = language.Network([f"l{i}" for i in range(300)])
+    sizes = []
+    inner = net._positions
+    net._positions = lambda x, inside=None: sizes.append(x.shape[1]) or inner(x, inside)
+    p = net.predict([b"some words of a text " * 400])
+    assert p.shape == (1, 300) and abs(p.sum() - 1) < 1e-3 and max(sizes) <= language.LANES * language.FEW // 300
