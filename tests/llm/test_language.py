@@ -108,8 +108,8 @@ def test_fold(spark):
 
 
 def test_numbers_are_no_letters():
-    assert not any(language._letter(t) for t in ("", "\u00bd \u2461", "\u2167 12", "\u00b2_", "!? \u0301"))
-    assert all(language._letter(t) for t in ("\u00bd a", "\u00aa", "\u02b0", "\u6f22", "1\u00e9"))
+    assert not any(la._letter(t) for t in ("", "\u00bd \u2461", "\u2167 12", "\u00b2_", "!? \u0301"))
+    assert all(la._letter(t) for t in ("\u00bd a", "\u00aa", "\u02b0", "\u6f22", "1\u00e9"))
 
 
 def test_labels_of_held_out_rows_change_nothing(spark):
@@ -124,14 +124,14 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     found = []
     for table in (rows, turned):
         df = spark.createDataFrame(table, "doc_id long, text string, lang string").coalesce(1)
-        found.append(sorted(tuple(r) for r in language.identify(df, language.learn(df)).collect()))
+        found.append(sorted(tuple(r) for r in la.identify(df, la.learn(df)).collect()))
     assert found[0] == found[1] and {r[2] for r in found[0]} == {"aa", "bb"}
 
 
 def test_windows_at_once_follow_the_number_of_languages():
-    net = language.Network([f"l{i}" for i in range(300)])
+    net = la.Network([f"l{i}" for i in range(300)])
     sizes = []
     inner = net._positions
     net._positions = lambda x, inside=None: sizes.append(x.shape[1]) or inner(x, inside)
     p = net.predict([b"some words of a text " * 400])
-    assert p.shape == (1, 300) and abs(p.sum() - 1) < 1e-3 and max(sizes) <= language.LANES * language.FEW // 300
+    assert p.shape == (1, 300) and abs(p.sum() - 1) < 1e-3 and max(sizes) <= la.LANES * la.FEW // 300
