@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.columns import validate_names
+from lodestone.sources import csv_blocks
 
 _RESULT = "file string, header string, problem string, spans boolean"
 
@@ -24,15 +25,20 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_problems(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``(file, header, problem, spans)``: each file's header once, each kind of problem of its rows, and whether a
-    field holds a line end.  Whole files are read as one record each because quotes may span lines."""
-    whole = spark.read.format("binaryFile").load(path).select("path", "content")
+    field holds a line end.  Files are read in blocks; a file's row here is made of its blocks' short answers."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "answer"))), lambda x: x["answer"])
+    answers = csv_blocks.blocks(spark, path).groupBy("file").agg(ordered.alias("answers"))
+    names = spark.read.text(path).inputFiles()  # what the reader's own index lists: a file without a line has no block
+    files = spark.createDataFrame([(n,) for n in names], "f string")
+    plain = lambda c: F.regexp_replace(c, r"^([A-Za-z0-9+.-]+):///", "$1:/")  # noqa: E731  two spellings of an empty authority
+    whole = files.join(answers, plain("f") == plain("file"), "left").select("f", "answers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                header, problems = check_csv(content)
-                rows += [(file, json.dumps(header), p, not problems and spans_lines(content)) for p in problems or [None]]
+            for file, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                header, problems, spans = csv_blocks.findings(found or [])
+                rows += [(file, json.dumps(header), p, spans) for p in problems or [None]]
             types = (pa.string(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["file", "header", "problem", "spans"])
 
@@ -40,8 +46,9 @@ def csv_problems(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_csv(content: bytes) -> tuple[list[str], list[str]]:
-    """The header of a file and what is wrong with it."""
+    """The header of a file's content and what is wrong with it, by the standard parser (``csv_problems`` finds the same in blocks)."""
     problems: list[str] = []
+    csv.field_size_limit((1 << 31) - 1)
     try:
         text = content.decode("utf-8-sig")
     except UnicodeDecodeError:
@@ -61,8 +68,7 @@ def check_csv(content: bytes) -> tuple[list[str], list[str]]:
                 problems.append("blank row")
             elif len(row) != len(header):
                 problems.append("ragged row")
-            if len(problems) > 10:
-                break
+            problems = list(dict.fromkeys(problems))
     except csv.Error as e:
         problems.append(f"bad quoting: {e}")
     if not header:
