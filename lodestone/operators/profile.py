@@ -5,18 +5,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.columns import col, key, present, strip, type_of
+from lodestone.functions.columns import col, is_nested, key, present, strip, type_of
 from lodestone.operators.quantile import exact_quantiles
 from lodestone.plans.staging import stage
 
-#: Columns whose distinct values are counted by one multi-distinct aggregate.
-MULTI_DISTINCT = 8
+#: Columns whose distinct values are counted by one multi-distinct aggregate, and up to which that is done at all.
+MULTI_DISTINCT, FEW_DISTINCT = 8, 2
 APPROXIMATE_ACCURACY = 1000
 #: Repeated digests (16 bytes each) that may be broadcast.
 BROADCAST_DIGESTS = 1_000_000
@@ -43,18 +42,42 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return unpivot(wide, [(("column", F.lit(c)), ("null_count", F.col(f"m{i}")), ("row_count", F.col("n"))) for i, c in enumerate(names)])
 
 
+def _counted(df: DataFrame, names: Sequence[str], count) -> dict[str, int]:
+    found: dict[str, int] = {}
+    for at in range(0, len(names), MULTI_DISTINCT):
+        some = names[at : at + MULTI_DISTINCT]
+        found |= dict(zip(some, df.agg(*[count(key(df, c)).alias(f"d{i}") for i, c in enumerate(some)]).first(), strict=True))
+    return found
+
+
+def _digested(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
+    """Distinct values of many columns in one scan: pairs of column number and value digest are made distinct, within tasks first.  A third hash tells
+    where two values share a digest; such a column is counted by its values."""
+    values = [key(df, c) for c in names]
+    each = F.array(*[F.struct(F.lit(i).alias("c"), *[F.when(v.isNotNull(), h).alias(n) for n, h in zip("hgt", [*value_digest(v), F.xxhash64(F.lit(3), v)], strict=True)]) for i, v in enumerate(values)])
+    pairs = df.select(F.explode(each).alias("p")).select("p.*").where("h IS NOT NULL")
+    distinct = pairs.groupBy("c", "h", "g").agg(F.min("t").alias("least"), F.max("t").alias("most"))
+    rows = distinct.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("least") != F.col("most")).alias("shared")).collect()  # one row a column
+    found = dict.fromkeys(names, 0) | {names[r.c]: r.n for r in rows}
+    return found | _counted(df, [names[r.c] for r in rows if r.shared], F.count_distinct)
+
+
+def value_digest(v: Column) -> list[Column]:
+    """128 bits of a value."""
+    return [F.xxhash64(F.lit(i), v) for i in (1, 2)]
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Rows ``(column, distinct_count)`` of present values; exact unless ``approximate``.  Exact counts take a few columns
-    at a time: one multi-distinct aggregate multiplies its rows by its columns."""
+    """Rows ``(column, distinct_count)`` of present values.  Exact: a few columns by one aggregate, many by digests in one scan (nested ones, which
+    may have no hash, by value).  ``approximate``: by sketches of bounded size, about 5 % off, in one scan."""
     names = list(columns or df.columns)
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    step = len(names) if approximate else MULTI_DISTINCT
-    parts = []
-    for at in range(0, len(names), max(1, step)):
-        some = names[at : at + step]
-        wide = df.agg(*[count(key(df, c)).alias(f"d{i}") for i, c in enumerate(some)])
-        parts.append(unpivot(wide, [(("column", F.lit(c)), ("distinct_count", F.col(f"d{i}"))) for i, c in enumerate(some)]))
-    return reduce(DataFrame.unionAll, parts)
+    if approximate:
+        wide = df.agg(*[F.approx_count_distinct(key(df, c)).alias(f"d{i}") for i, c in enumerate(names)])
+        return unpivot(wide, [(("column", F.lit(c)), ("distinct_count", F.col(f"d{i}"))) for i, c in enumerate(names)])
+    flat = [c for c in names if not is_nested(type_of(df, c))]
+    flat = flat if len(flat) > FEW_DISTINCT else []
+    found = (_digested(df, flat) if flat else {}) | _counted(df, [c for c in names if c not in set(flat)], F.count_distinct)
+    return df.sparkSession.createDataFrame([(c, found[c]) for c in names], "column string, distinct_count long")
 
 
 def top_values(df: DataFrame, name: str, n: int = 10) -> DataFrame:

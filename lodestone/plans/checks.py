@@ -167,13 +167,14 @@ class Cardinality(Check):
     name = "cardinality"
 
     def judge(self, ctx, facts):
-        counts = {r["column"]: r.distinct_count for r in profile.distinct_counts(ctx.df).collect()}
+        counts = {r["column"]: r.distinct_count for r in profile.distinct_counts(ctx.df, approximate=ctx.config.approximate_cardinality).collect()}
         per = []
         for c in ctx.columns:
             top = [(r.value, r["count"]) for r in profile.top_values(ctx.df, c).collect()] if ctx.config.include_top_values else []
             per.append({"column": c, "distinct_count": counts[c], "unique_ratio": round(counts[c] / (ctx.row_count or 1), 6), "top_values": top})
         constant = ctx.row_count > 1 and any(p["distinct_count"] <= 1 for p in per)
-        return ("warn" if constant else "ok"), {"per_column": per}
+        payload = {"per_column": per} | ({"distinct_provenance": {"method": "approximate", "relative_error": 0.05}} if ctx.config.approximate_cardinality else {})
+        return ("warn" if constant else "ok"), payload
 
 
 class Freshness(Check):

@@ -140,6 +140,7 @@ class CheckConfig:
     expected_dtypes: dict[str, str] = field(default_factory=dict)
     outlier_iqr_multiplier: float = 1.5
     approximate_quantiles: bool = False
+    approximate_cardinality: bool = False
     duplicate_subset: list[str] | None = None
     column_ranges: dict[str, ColumnRange] = field(default_factory=dict)
     freshness_columns: list[str] = field(default_factory=list)

@@ -94,6 +94,14 @@ def cardinality_wide(spark, sf):
     return profile.distinct_counts(table(spark, sf, "lineitem"), _LI)
 
 
+_SIXTY = [f"(l_orderkey * {i + 1} + l_partkey) % {1000 + i}" for i in range(60)]
+
+
+@query(f"""SELECT "column", distinct_count FROM (UNPIVOT (SELECT {', '.join(f'count(DISTINCT {e}) AS c{i}' for i, e in enumerate(_SIXTY))} FROM lineitem) ON COLUMNS(*) INTO NAME "column" VALUE distinct_count)""")
+def cardinality_60_columns(spark, sf):
+    return profile.distinct_counts(table(spark, sf, "lineitem").select(*[F.expr(e).alias(f"c{i}") for i, e in enumerate(_SIXTY)]))
+
+
 @query("SELECT props AS value, count(*) AS count FROM events GROUP BY props ORDER BY count DESC, value LIMIT 10")
 def top_values(spark, sf):
     return profile.top_values(table(spark, sf, "events"), "props")
