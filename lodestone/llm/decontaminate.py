@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.folds import fresh
 from lodestone.plans.staging import stage
 
 WORDS = 5
@@ -97,8 +98,10 @@ def contamination(
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, columns unchanged, that hold no item; ties and repeats stay or go together."""
     id_col = options.get("id_col", "doc_id")
-    bad = contamination(docs, items, **options).select(F.col("doc_id").alias("__contaminated_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__contaminated_id")), "left_anti")
+    name = fresh("__contaminated_id", docs)
+    # ids only: counted, so that few of them are broadcast and no text moves
+    bad = stage(contamination(docs, items, **options).select(F.col("doc_id").alias(name)).distinct(), "contaminated")
+    return docs.join(_sized(bad, options.get("broadcast_rows", BROADCAST_ROWS)), docs[id_col].eqNullSafe(F.col(name)), "left_anti")
 
 
 SQL = r"""

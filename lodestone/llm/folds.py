@@ -39,3 +39,11 @@ def bounded(small: DataFrame, limit: int | None = None) -> DataFrame:
     """Broadcast only what was counted and is within the limit."""
     limit = BROADCAST_ROWS if limit is None else limit
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores as tell it from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.folds import fresh
 from lodestone.operators.components import connected_components
 from lodestone.plans.staging import stage
 
@@ -347,8 +348,9 @@ def _few(df: DataFrame) -> DataFrame:
 
 def _matches(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
     """``docs`` whose id and hash of the text are (``left_semi``) or are not (``left_anti``) among ``rows``: ``(doc_id, th)``."""
-    named = rows.select(F.col("doc_id").alias("__row_id"), F.col("th").alias("__row_th"))
-    return docs.join(_few(named), docs[id_col].cast("long").eqNullSafe(F.col("__row_id")) & (F.xxhash64(docs[text_col]) == F.col("__row_th")), how)
+    i, th = fresh("__row_id", docs), fresh("__row_th", docs)
+    named = rows.select(F.col("doc_id").alias(i), F.col("th").alias(th))
+    return docs.join(_few(named), docs[id_col].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(th)), how)
 
 
 def similar_links(docs: DataFrame, nodes: DataFrame, similarity: Fraction, *, wide: int, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, tile: int = TILE, crowd_tile: int | None = None) -> DataFrame:
@@ -391,7 +393,8 @@ def _units(met: DataFrame, tile: int) -> DataFrame:
     sizes = sizes.where("far > 0").select("c", F.ceil(F.col("far") / tile).cast("int").alias("gf"), F.ceil(F.col("close") / tile).cast("int").alias("gc"))
     t = F.when(F.col("near"), F.col("gf") + F.pmod(F.xxhash64("node"), F.col("gc"))).otherwise(F.pmod(F.xxhash64("node"), F.col("gf"))).cast("int")
     last = F.when(F.col("near"), F.col("gf") - 1).otherwise(F.col("gf") + F.col("gc") - 1)
-    rows = met.join(sizes, F.col("root") == F.col("c")).select("node", "root", t.alias("t"), F.explode(F.sequence(F.lit(0), last)).alias("u"))
+    # one row a crowd: counted, then broadcast, so that a crowd's nodes are not dealt by its root
+    rows = met.join(_few(sizes), F.col("root") == F.col("c")).select("node", "root", t.alias("t"), F.explode(F.sequence(F.lit(0), last)).alias("u"))
     side = F.when(F.col("t") == F.col("u"), 0).when(F.col("t") < F.col("u"), 1).otherwise(2)
     return rows.select("node", F.struct("root", F.least("t", "u").alias("x"), F.greatest("t", "u").alias("y")).alias("unit"), side.alias("side"))
 
@@ -474,7 +477,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if again.isEmpty():
         return left
     once = _matches(left, again, id_col, text_col, "left_anti")
-    key = ["__key_id", "__key_th"]
+    key = [fresh("__key_id", docs), fresh("__key_th", docs)]
     twice = _matches(left, again, id_col, text_col, "left_semi").withColumns({key[0]: F.col(id_col), key[1]: F.xxhash64(text_col)})
     return once.unionByName(twice.dropDuplicates(key).drop(*key))
 

@@ -59,3 +59,11 @@ def test_main_path_is_native(spark):
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     plan = decontaminate.contamination(docs, items)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 7, "x"), (2, "none of it", 8, "y")], "doc_id long, text string, __contaminated_id int, __Contaminated_ID_ string")
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    clean = decontaminate.decontaminate(docs, items)
+    assert clean.columns == docs.columns and [tuple(r) for r in clean.collect()] == [(2, "none of it", 8, "y")]
+    assert decontaminate.decontaminate(docs, items, broadcast_rows=0).count() == 1

@@ -224,3 +224,13 @@ def test_units_hold_every_pair_that_is_not_known(spark):
         assert len(members) <= 40
         pairs |= {frozenset((x, y)) for x, s in members for y, t in members if x < y and (s == 0 or s != t)}
     assert pairs >= {frozenset((x, y)) for x in range(40) for y in range(x) if x % 3 or y % 3}
+
+
+def test_keep_one_with_clashing_names(spark):
+    from lodestone.llm import simhash
+
+    text = "a b c d e f g h i j k l m n o p"
+    rows = [(1, text, 5, "u", "v", 2), (2, text, 6, "u", "v", 2), (1, text, 5, "u", "v", 2), (3, "other words in this one than there", 7, "u", "v", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row_id int, __row_th string, __key_id string, __key_th int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
