@@ -189,6 +189,23 @@ def score_pairs(levelled: DataFrame, config: LinkConfig, fitted: Fit, levels: np
     return levelled.join(F.broadcast(table) if len(rows) <= BROADCAST_PATTERNS else table, same).select(ID_L, ID_R, "match_probability", *[F.col(quote(n)) for n in names])
 
 
+def score_matches(pairs: DataFrame, config: LinkConfig, fitted: Fit, levels: np.ndarray, threshold: float) -> DataFrame:
+    """``matches`` of ``score_pairs`` of candidate pairs without levels.  Texts are compared only where the other levels leave the
+    outcome open: the patterns that reach the threshold name the levels which such a pair must have."""
+    at = [i for i, c in enumerate(config.comparisons) if c.kind != "fuzzy"]
+    out = with_levels(pairs, [config.comparisons[i] for i in at])
+    p = score(levels, fitted) if fitted.status != "rejected" else np.zeros(len(levels))
+    able = sorted({tuple(int(row[i]) for i in at) for row in levels[p >= _threshold(threshold)]})
+    if at and len(at) < len(config.comparisons) and len(able) <= BROADCAST_PATTERNS:
+        table = pairs.sparkSession.createDataFrame(able, ", ".join(f"p{i} int" for i in range(len(at))))
+        same = F.lit(True)
+        for j, i in enumerate(at):
+            same = same & (F.col(quote(f"level__{config.comparisons[i].column}")) == F.col(f"p{j}"))
+        out = out.join(F.broadcast(table), same, "left_semi")
+    out = with_levels(out, [c for c in config.comparisons if c.kind == "fuzzy"])
+    return matches(score_pairs(out, config, fitted, levels), threshold)
+
+
 def label_clusters(members: DataFrame, id_column: str = "id", root: str = "root") -> DataFrame:
     """Rows ``(id, cluster_id)``: clusters numbered from zero by the smallest text form of a member id.
 

@@ -4,6 +4,7 @@ The tables are clean, so NULLs, NaNs and broken references are derived by rule,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from lodestone.operators import contracts, entities, merge, profile
 from lodestone.operators.blocking import candidates, pair_bounds
 from lodestone.operators.fellegi_sunter import Fit
 from lodestone.operators.levels import ExactMatch, FuzzyString, NumericDiff, patterns, with_levels
-from lodestone.operators.linkage import LinkConfig, cluster, cluster_sizes, evaluate, label_clusters, link, matches, score_pairs
+from lodestone.operators.linkage import LinkConfig, cluster, cluster_sizes, evaluate, label_clusters, link, score_matches, score_pairs
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -413,13 +414,22 @@ _SCORES = f"""(SELECT "__id_l__", "__id_r__", 1 / (1 + exp(-(ln(0.01::DOUBLE) -
 FROM (SELECT a.c_custkey AS "__id_l__", b.c_custkey AS "__id_r__", {_L_EXACT} AS d, {_L_NUM} AS n, {_L_FUZZY} AS f FROM {_PAIRS}))"""
 
 
+_FIXED = LinkConfig("c_custkey", _SPECS, (("c_nationkey", "c_mktsegment"),))
+_GRID = [(a, b, c) for a in (1, 2) for b in (1, 2, 3) for c in (1, 2, 3)]
+
+
+def fixed_fit() -> Fit:
+    return Fit([np.array(_M[c.column], float) for c in _SPECS], [np.array(_U[c.column], float) for c in _SPECS], 0.01)
+
+
 def fixed_scores(spark, sf) -> DataFrame:
-    import numpy as np
+    return score_pairs(levelled(spark, sf), _FIXED, fixed_fit(), np.array(_GRID))
+
 
-    config = LinkConfig("c_custkey", _SPECS, (("c_nationkey", "c_mktsegment"),))
-    f = Fit([np.array(_M[c.column], float) for c in _SPECS], [np.array(_U[c.column], float) for c in _SPECS], 0.01)
-    grid = np.array([(a, b, c) for a in (1, 2) for b in (1, 2, 3) for c in (1, 2, 3)])
-    return score_pairs(levelled(spark, sf), config, f, grid)
+def fixed_matches(spark, sf, threshold: float) -> DataFrame:
+    c = table(spark, sf, "customer").withColumn("digit", F.col("c_custkey") % 10)
+    pairs = candidates(c, "c_custkey", _FIXED.blocking_rules, [s.column for s in _SPECS])
+    return score_matches(pairs, _FIXED, fixed_fit(), np.array(_GRID), threshold)
 
 
 @query(f'SELECT "__id_l__", "__id_r__", round(p, 9) AS match_probability FROM {_SCORES}')
@@ -429,7 +439,7 @@ def pair_scores_fixed(spark, sf):
 
 @query(f'SELECT "__id_l__", "__id_r__" FROM {_SCORES} WHERE p >= 0.3')
 def match_filter(spark, sf):
-    return matches(fixed_scores(spark, sf), 0.3).select("__id_l__", "__id_r__")
+    return fixed_matches(spark, sf, 0.3).select("__id_l__", "__id_r__")
 
 
 @query()
@@ -445,7 +455,7 @@ g AS (SELECT id, min(x) AS root FROM r GROUP BY id), n AS (SELECT root, row_numb
 SELECT id, cluster_id FROM g JOIN n USING (root)"""
 )
 def linkage_clusters(spark, sf):
-    return cluster(table(spark, sf, "customer"), "c_custkey", matches(fixed_scores(spark, sf), 0.5))
+    return cluster(table(spark, sf, "customer"), "c_custkey", fixed_matches(spark, sf, 0.5))
 
 
 @query("SELECT count(*) AS duplicate_clusters, sum(n)::BIGINT AS records_in_duplicate_groups FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1)")

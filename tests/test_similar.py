@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 
 from lodestone.functions import strings
-from lodestone.operators import blocking
-from lodestone.operators.levels import FuzzyString, with_levels
+from lodestone.operators import blocking, linkage
+from lodestone.operators.fellegi_sunter import Fit
+from lodestone.operators.levels import ExactMatch, FuzzyString, with_levels
 
 
 def words(rng, n, letters, most):
@@ -34,3 +35,16 @@ def test_tiles_compared_whole_lose_no_pair_and_no_level(spark, unit):
         plain = with_levels(blocking.candidates(df, "id", rules, ["v", "s"], right), spec).select(*cols)
         whole = with_levels(blocking.candidates(df, "id", rules, ["v", "s"], right, unit_pairs=unit, similar=["s"]), spec).select(*cols)
         assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_matches_compare_texts_only_where_other_levels_leave_it_open(spark):
+    rng = random.Random(7)
+    data = [(i, rng.choice("ab"), rng.choice("xy"), rng.choice(["martha", "marhta", "dixon"])) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, k string, e string, s string")
+    config = linkage.LinkConfig("id", (ExactMatch("e"), FuzzyString("s", (0.9, 0.97))), (("k",),))
+    f = Fit([np.array([0, 0.1, 0.9]), np.array([0, 0.1, 0.2, 0.7])], [np.array([0, 0.9, 0.1]), np.array([0, 0.8, 0.1, 0.1])], 0.1)
+    grid = np.array([(a, b) for a in (0, 1, 2) for b in (0, 1, 2, 3)])
+    pairs = blocking.candidates(df, "id", config.blocking_rules, ["e", "s"])
+    scored = linkage.score_pairs(with_levels(pairs, config.comparisons), config, f, grid)
+    for t in (0.0, 0.3, 0.6, 1.0):
+        assert sorted(map(tuple, linkage.score_matches(pairs, config, f, grid, t).collect())) == sorted(map(tuple, linkage.matches(scored, t).collect()))
