@@ -13,7 +13,7 @@ from lodestone.functions.columns import family
 from lodestone.operators import entities, merge
 from lodestone.operators.fellegi_sunter import PSEUDOCOUNT
 from lodestone.operators.levels import ExactMatch, NumericDiff
-from lodestone.operators.linkage import LinkConfig, guard, link, validate
+from lodestone.operators.linkage import LinkConfig, fit_pairs, guard, validate
 from lodestone.plans.checker import DataQualityChecker
 from lodestone.plans.checks import register_check, unregister_check
 from lodestone.plans.config import CheckConfig, ColumnRange, ComparisonRule, Config, ForeignKeyRule, QualityContract, SchemaPolicy
@@ -205,7 +205,7 @@ FROM p, s{k - 1}, t{k - 1} a, t{k - 1} b WHERE a.c = 0 AND a.v = x AND b.c = 1 A
 
 @query(f"""{_em_sql(_STEPS)} SELECT CASE c WHEN 0 THEN 'digit' ELSE 'c_acctbal' END AS "column", v::INTEGER AS level, round(m, 9) AS m, round(u, 9) AS u, round(share, 9) AS share FROM t{_STEPS}, s{_STEPS}""")
 def em_steps(spark, sf):
-    f = link(_digits(spark, sf), _link_config(em_max_iter=_STEPS, em_tolerance=1e-300)).fit
+    f = fit_pairs(_digits(spark, sf), _link_config(em_max_iter=_STEPS, em_tolerance=1e-300)).fit
     rows = [(c, v, round(float(f.m[i][v]), 9), round(float(f.u[i][v]), 9), round(f.match_share, 9)) for i, c in enumerate(("digit", "c_acctbal")) for v in range(1, len(f.m[i]))]
     return spark.createDataFrame(rows, "column string, level int, m double, u double, share double")
 
@@ -251,8 +251,8 @@ UNION ALL SELECT 'no candidates', 0, 0, 'not_fitted'"""
 )
 def link_without_fit(spark, sf):
     c = table(spark, sf, "customer").withColumn("one", F.lit("x"))
-    same = link(c, LinkConfig("c_custkey", (ExactMatch("one"),), _BLOCKS))
-    lone = link(c, LinkConfig("c_custkey", (ExactMatch("one"),), (("c_name",),)))
+    same = fit_pairs(c, LinkConfig("c_custkey", (ExactMatch("one"),), _BLOCKS))
+    lone = fit_pairs(c, LinkConfig("c_custkey", (ExactMatch("one"),), (("c_name",),)))
     rows = [(n, a, b, s) for n, (a, b, _, s) in (("no information", _summary(same)), ("no candidates", _summary(lone)))]
     return spark.createDataFrame(rows, "input string, candidate_pairs long, matched_pairs long, fit_status string")
 
