@@ -48,3 +48,22 @@ def test_matches_compare_texts_only_where_other_levels_leave_it_open(spark):
     scored = linkage.score_pairs(with_levels(pairs, config.comparisons), config, f, grid)
     for t in (0.0, 0.3, 0.6, 1.0):
         assert sorted(map(tuple, linkage.score_matches(pairs, config, f, grid, t).collect())) == sorted(map(tuple, linkage.matches(scored, t).collect()))
+
+
+def test_labelled_pairs_are_found_among_candidates_by_id(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, rng.choice(["a", "b", None]), rng.choice([1, 2, None])) for i in range(40)], "id long, k string, g int")
+    ids = spark.createDataFrame([(rng.randrange(45), rng.randrange(45)) for _ in range(400)], "__id_l__ long, __id_r__ long")
+    for rules in ([("k",)], [("k", "g")], [("k",), ("g",)]):
+        some = {(r[0], r[1]) for r in ids.collect()}
+        want = sorted(tuple(r) for r in blocking.candidates(df, "id", rules, ["g"]).collect() if (r[0], r[1]) in some)
+        assert sorted(map(tuple, blocking.candidates_of(ids, df, "id", rules, ["g"]).collect())) == want
+
+
+def test_the_fit_holds_no_pairs_and_needs_no_cap_on_them(spark):
+    df = spark.createDataFrame([(i, "k", i % 7, f"name{i % 11}") for i in range(60)], "id long, k string, v long, s string")
+    few = linkage.LinkConfig("id", (ExactMatch("v"), FuzzyString("s", (0.9, 0.97))), (("k",),), max_pairs_warning=10, max_pairs_hard_cap=10)
+    with pytest.raises(MemoryError):
+        linkage.link(df, few)
+    got, want = linkage.fit_pairs(df, few), linkage.link(df, linkage.LinkConfig("id", few.comparisons, few.blocking_rules))
+    assert sorted(map(tuple, got.pairs.collect())) == sorted(map(tuple, want.pairs.collect())) and got.fit.match_share == want.fit.match_share
