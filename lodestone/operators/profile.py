@@ -4,9 +4,12 @@ answered by one aggregate is."""
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +20,10 @@ from lodestone.plans.staging import stage
 #: Columns whose distinct values are counted by one multi-distinct aggregate, and up to which that is done at all.
 MULTI_DISTINCT, FEW_DISTINCT = 8, 2
 APPROXIMATE_ACCURACY = 1000
+#: Hashes of a column that a task holds back to drop their repeats.
+HELD_HASHES = 1 << 13
+#: Types whose values have at most eight bytes.
+FIXED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
 #: Repeated digests (16 bytes each) that may be broadcast.
 BROADCAST_DIGESTS = 1_000_000
 
@@ -50,18 +57,65 @@ def _counted(df: DataFrame, names: Sequence[str], count) -> dict[str, int]:
     return found
 
 
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """While this holds, expressions over many columns are not fused into one generated method of more than 8,000 bytes: the JVM compiles none that
+    long and would interpret it for every row."""
+    name, limit = "spark.sql.codegen.hugeMethodLimit", 8000
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(limit, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _digested(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
-    """Distinct values of many columns in one scan: pairs of column number and value digest are made distinct, within tasks first.  A third hash tells
-    where two values share a digest; such a column is counted by its values."""
+    """Distinct values of many columns in one scan: pairs of column number and value digest are made distinct, within tasks first.  Values of at most
+    eight bytes have one hash, which is a bijection of them; others have a digest, and a third hash tells where two values share it: such a
+    column is counted by its values."""
     values = [key(df, c) for c in names]
-    each = F.array(*[F.struct(F.lit(i).alias("c"), *[F.when(v.isNotNull(), h).alias(n) for n, h in zip("hgt", [*value_digest(v), F.xxhash64(F.lit(3), v)], strict=True)]) for i, v in enumerate(values)])
-    pairs = df.select(F.explode(each).alias("p")).select("p.*").where("h IS NOT NULL")
+    small = [isinstance(type_of(df, c), FIXED) for c in names]
+    hashes = [[F.xxhash64(v)] if s else [*value_digest(v), F.xxhash64(F.lit(3), v)] for v, s in zip(values, small, strict=True)]
+    flat = df.select(*[F.when(v.isNotNull(), h).alias(f"{n}{i}") for i, (v, hs) in enumerate(zip(values, hashes, strict=True)) for n, h in zip("hgt", hs, strict=False)])
+    pairs = flat.mapInArrow(_distinct_within(small), "c int, h long, g long, t long")
     distinct = pairs.groupBy("c", "h", "g").agg(F.min("t").alias("least"), F.max("t").alias("most"))
-    rows = distinct.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("least") != F.col("most")).alias("shared")).collect()  # one row a column
+    counts = distinct.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("least") != F.col("most")).alias("shared"))
+    with compiled(df.sparkSession):
+        rows = counts.collect()  # one row a column
     found = dict.fromkeys(names, 0) | {names[r.c]: r.n for r in rows}
     return found | _counted(df, [names[r.c] for r in rows if r.shared], F.count_distinct)
 
 
+def _distinct_within(small: Sequence[bool]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each column the hashes that occur in a task, repeated as seldom as ``HELD_HASHES`` allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, pa.Table] = {}
+
+        def rows(i: int, found: pa.Table) -> Iterator[pa.RecordBatch]:
+            zero = pa.repeat(pa.scalar(0, pa.int64()), len(found))
+            columns = [pa.repeat(pa.scalar(i, pa.int32()), len(found)), *[found[n] if n in found.column_names else zero for n in "hgt"]]
+            yield from pa.table(columns, names=["c", "h", "g", "t"]).combine_chunks().to_batches()
+
+        for batch in batches:
+            at = 0
+            for i, one in enumerate(small):
+                width = 1 if one else 3
+                some = pa.table(batch.columns[at : at + width], names=["h", "g", "t"][:width])
+                at += width
+                some = pa.concat_tables([held.pop(i), some]) if i in held else some
+                some = pa.table([pc.unique(some["h"]).drop_null()], names=["h"]) if one else some.filter(pc.is_valid(some["h"])).group_by(["h", "g", "t"], use_threads=False).aggregate([])
+                if len(some) > HELD_HASHES:
+                    yield from rows(i, some)
+                else:
+                    held[i] = some
+        for i, some in held.items():
+            yield from rows(i, some)
+
+    return run
+
+
 def value_digest(v: Column) -> list[Column]:
     """128 bits of a value."""
     return [F.xxhash64(F.lit(i), v) for i in (1, 2)]
@@ -150,8 +204,7 @@ def _keys(df: DataFrame, subset: Sequence[str] | None) -> list[str]:
 
 def _is_wide(df: DataFrame, names: Sequence[str]) -> bool:
     """Whether keys take more room than a digest, or no fixed room."""
-    fixed = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)
-    return len(names) > 2 or not all(isinstance(type_of(df, c), fixed) for c in names)
+    return len(names) > 2 or not all(isinstance(type_of(df, c), FIXED) for c in names)
 
 
 def digest(keys: Sequence[Column]) -> list[Column]:

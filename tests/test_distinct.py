@@ -48,3 +48,20 @@ def test_approximate_check(spark):
     found = next(r for r in report.results if r.name == "cardinality").payload
     assert found["distinct_provenance"]["method"] == "approximate"
     assert abs(found["per_column"][0]["distinct_count"] - 2000) < 300 and found["per_column"][1]["distinct_count"] == 10
+
+
+def test_wide_expressions_are_compiled(spark, monkeypatch):
+    """Sixty hashed columns make a generated method that the JVM never compiles; it must not be run fused."""
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    inner, before = type(spark.range(1)).collect, spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    df = spark.range(100).select(*[((F.col("id") * (i + 1)) % (7 + i)).alias(f"c{i}") for i in range(60)])
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(int(spark.conf.get(name))) or inner(self))
+    profile.distinct_counts(df)
+    assert seen == [8000] and spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("held", [0, 3, 1 << 13])
+def test_few_or_no_hashes_held_back(spark, monkeypatch, held):
+    monkeypatch.setattr(profile, "HELD_HASHES", held)
+    df, rows = table(spark)
+    assert [r.distinct_count for r in profile.distinct_counts(df).collect()] == expected(rows)
