@@ -14,12 +14,16 @@ from pathlib import Path
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions.columns import col, family, is_float, type_of
 
+#: Text, in bytes, that a worker turns into Python's strings at once.
+TEXT_BYTES = 1 << 20
+
 
 @dataclass(frozen=True)
 class NamedEntity:
@@ -137,6 +141,20 @@ def directory_sha256(root: Path) -> str:
     return total.hexdigest()
 
 
+def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in slices of at most ``TEXT_BYTES`` of text (one row at least), so that Python holds few texts at once, however many rows the
+    engine sends."""
+    sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    low = total = 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > low and total + size > TEXT_BYTES:
+            yield batch.slice(low, at - low)
+            low, total = at, 0
+        total += size
+    if low < len(sizes):
+        yield batch.slice(low)
+
+
 def extract(df: DataFrame, recognizer: Recognizer, *, id_col: str, text_col: str = "text", max_chars: int | None = None, labels: Iterable[str] | None = None) -> DataFrame:
     """Rows ``(row_id, text, label, start_char, end_char, kb_id)``.  A text longer than ``max_chars`` (default: what the recognizer
     itself can take, if it has a limit) fails the query."""
@@ -146,7 +164,7 @@ def extract(df: DataFrame, recognizer: Recognizer, *, id_col: str, text_col: str
         raise ValueError(f"unknown labels {sorted(only - recognizer.labels)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _small(whole)):
             rows = [(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             if max_chars is not None and any(len(t) > max_chars for _, t in rows):
                 raise ValueError(f"a text has more than {max_chars} characters")
