@@ -61,3 +61,12 @@ def test_all_pairs_need_a_bound(spark):
     assert blocking.candidates(df.limit(0), "id", [], max_pairs=0).count() == 0
     nulls = df.select(F.when(F.col("id") > 3, F.col("id")).alias("id"), F.lit(1).alias("k"))
     assert blocking.candidates(nulls, "id", [("k",)], unit_pairs=10).count() == 46 * 45 // 2
+
+
+def test_pairs_open_plain_arrays(spark):
+    """A pair makes no object: each column of a tile's right rows is an array of its own, missing values in place."""
+    df, data = rows(spark, random.Random(4), 150, 0.4)
+    pairs = blocking.candidates(df, "id", [("k",)], ["v", "g"], unit_pairs=40)
+    assert "inline(" not in pairs._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["__id_l__"], r["__id_r__"], r.v_l, r.v_r) for r in pairs.collect())
+    assert got == expected(data, [("k",)])
