@@ -78,3 +78,15 @@ def test_scores_are_rounded_a_pattern_at_a_time(spark, monkeypatch):
     assert len(got) == 8 and [r[2] for r in got] == [round(r[2], 3) for r in exact] and [r[2] for r in got] != [r[2] for r in exact]
     monkeypatch.setattr(linkage, "ARRAY_PATTERNS", 0)
     assert sorted(map(tuple, linkage.score_pairs(levelled, config, f, grid, 3).collect())) == got
+
+
+def test_pairs_leave_their_tiles_with_scores(spark):
+    df = rows(spark, 3, 60, TEXTS["short"]).select("id", "k", "e", "s")
+    config = linkage.LinkConfig("id", (ExactMatch("e"), FuzzyString("s", (0.9, 0.97))), (("k",),))
+    f = Fit([np.array([0, 0.1, 0.9]), np.array([0, 0.1, 0.2, 0.7])], [np.array([0, 0.9, 0.1]), np.array([0, 0.8, 0.1, 0.1])], 0.1)
+    grid = np.array([(a, b) for a in (1, 2) for b in (0, 1, 2, 3)])  # no score where e is missing
+    want = linkage.score_pairs(with_levels(blocking.candidates(df, "id", config.blocking_rules, ["e", "s"]), config.comparisons), config, f, grid, 4)
+    got = linkage.scored_pairs(df, config, f, grid, digits=4)
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert linkage.scored_pairs(df, config, f, grid, keep_levels=False).columns == ["__id_l__", "__id_r__", "match_probability"]
